@@ -16,11 +16,6 @@ from fieldtally import fixed
 from fieldtally.functions.resistance import effective_rf, season_factor
 
 
-def _history(df: DataFrame, keys: Sequence[str], columns: Sequence[Column]) -> DataFrame:
-    entry = F.struct(*columns)
-    return df.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_history"))
-
-
 def replay_rf(
     ledger: DataFrame,
     plot: Sequence[str] = ("run_id", "plot_x", "plot_y"),
@@ -37,63 +32,64 @@ def replay_rf(
     the compound of a season is chosen from the plot's own pools, the lower one
     winning and the first at a tie; that is exact where all plots of a run are
     sprayed alike.
+
+    What does not depend on the pools (decay since the last row, gain of the
+    season) is computed beforehand by windows over the same plots, so the fold
+    itself is one multiplication, one sum and one cap per pool and the rows are
+    shuffled once.
     """
-    rows = _history(
-        ledger,
-        plot,
-        [
-            F.col("season").cast("int").alias("season"),
-            F.col("pesticide_choice").alias("compound"),
-            F.col("selection_pressure").cast("double").alias("pressure"),
-            F.col("spray_count").cast("int").alias("sprays"),
-        ],
-    )
+    order = Window.partitionBy(*plot).orderBy("season")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     kept = (1.0 - immigration) * (1.0 - fitness_cost)
-    decays = immigration > 0.0 or fitness_cost > 0.0
-    season_type = "struct<season:int,compound:string,sprays:int,pool_a:double,pool_b:double,resistant_fraction:double>"
-    state_type = f"struct<season:int,a:double,b:double,lifetime:int,rf:double,out:array<{season_type}>>"
-    start = F.from_json(F.lit('{"a":0.0,"b":0.0,"lifetime":0,"rf":0.0,"out":[]}'), state_type)
-
-    def step(state: Column, entry: Column) -> Column:
-        gap = F.coalesce(entry["season"] - state["season"], F.lit(0))
-        factor = F.pow(F.lit(kept), gap.cast("double"))
-        a0, b0 = state["a"] * factor, state["b"] * factor
-        compound = entry["compound"]
-        if reactive:
-            compound = F.when(b0 < a0, fixed.COMPOUND_B).otherwise(fixed.COMPOUND_A)
-        gain = entry["pressure"] * season_factor(state["lifetime"], entry["sprays"])
-        a = F.when(compound == fixed.COMPOUND_B, a0).otherwise(F.least(F.lit(1.0), a0 + gain))
-        b = F.when(compound == fixed.COMPOUND_A, b0).otherwise(F.least(F.lit(1.0), b0 + gain))
-        rested = F.greatest(a0, b0) if decays else state["rf"]
-        rested = F.when(gap > 0, rested).otherwise(state["rf"])
-        rf = F.when(entry["sprays"] > 0, effective_rf(compound, a, b, spillover)).otherwise(rested)
+    before = F.coalesce(F.sum("spray_count").over(earlier), F.lit(0))
+    gap = F.coalesce(F.col("season") - F.lag("season").over(order), F.lit(0))
+    dosed = ledger.withColumns({"_before": before, "_gap": gap}).select(
+        *plot,
+        F.col("season").cast("int").alias("season"),
+        F.col("pesticide_choice").alias("compound"),
+        F.col("spray_count").cast("int").alias("sprays"),
+        (F.col("selection_pressure") * season_factor("_before", "spray_count")).alias("gain"),
+        F.pow(F.lit(kept), F.col("_gap").cast("double")).alias("kept"),
+    )
+    history = dosed.groupBy(*plot).agg(
+        F.array_sort(F.collect_list(F.struct("season", "compound", "sprays", "gain", "kept"))).alias("_history")
+    )
+    line_type = "struct<season:int,compound:string,sprays:int,a:double,b:double>"
+    start = F.array().cast(f"array<{line_type}>")
+
+    def step(lines: Column, entry: Column) -> Column:
+        last = F.try_element_at(lines, F.lit(-1))
+        a = F.coalesce(last["a"], F.lit(0.0)) * entry["kept"]
+        b = F.coalesce(last["b"], F.lit(0.0)) * entry["kept"]
+        compound = F.when(b < a, fixed.COMPOUND_B).otherwise(fixed.COMPOUND_A) if reactive else entry["compound"]
         line = F.struct(
             entry["season"].alias("season"),
             compound.alias("compound"),
             entry["sprays"].alias("sprays"),
-            a.alias("pool_a"),
-            b.alias("pool_b"),
-            rf.alias("resistant_fraction"),
+            F.when(compound == fixed.COMPOUND_B, a).otherwise(F.least(F.lit(1.0), a + entry["gain"])).alias("a"),
+            F.when(compound == fixed.COMPOUND_A, b).otherwise(F.least(F.lit(1.0), b + entry["gain"])).alias("b"),
         )
-        return F.struct(
-            entry["season"].alias("season"),
-            a.alias("a"),
-            b.alias("b"),
-            (state["lifetime"] + entry["sprays"]).cast("int").alias("lifetime"),
-            rf.alias("rf"),
-            F.concat(state["out"], F.array(line)).alias("out"),
-        ).cast(state_type)
-
-    folded = rows.select(*plot, F.aggregate("_history", start, step, lambda s: s["out"]).alias("_out"))
-    lines = folded.select(*plot, F.explode("_out").alias("_line"))
+        return F.concat(lines, F.array(line))
+
+    lines = history.select(*plot, F.explode(F.aggregate("_history", start, step)).alias("_line")).select(
+        *plot, "_line.*"
+    )
+    met = effective_rf("compound", "a", "b", spillover)
+    if immigration > 0.0 or fitness_cost > 0.0:
+        # Decay sets the logged value to the larger pool; without sprays it stays there.
+        logged = F.when(F.col("sprays") > 0, met).otherwise(F.greatest("a", "b"))
+    else:
+        so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        sprayed = F.last(F.when(F.col("sprays") > 0, met), ignorenulls=True).over(so_far)
+        logged = F.coalesce(sprayed, F.lit(0.0))
     return lines.select(
         *plot,
-        F.col("_line.season").alias("season"),
-        F.col("_line.compound").alias("pesticide_choice"),
-        F.col("_line.sprays").alias("spray_count"),
-        F.col("_line.pool_a").alias("pool_a"),
-        F.col("_line.pool_b").alias("pool_b"),
-        F.col("_line.resistant_fraction").alias("resistant_fraction"),
+        "season",
+        F.col("compound").alias("pesticide_choice"),
+        F.col("sprays").alias("spray_count"),
+        F.col("a").alias("pool_a"),
+        F.col("b").alias("pool_b"),
+        logged.alias("resistant_fraction"),
     )
 
 

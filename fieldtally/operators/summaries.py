@@ -21,7 +21,12 @@ SUMMARY_MEASURES = ("grain_tha", "pest_loss_tha", "resistant_fraction", "spray_c
 
 def keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows that have all their keys."""
-    return df.dropna(subset=list(keys)) if keys else df
+    kinds = dict(df.dtypes)
+    for key in keys:
+        df = df.filter(F.col(key).isNotNull())
+        if kinds[key] in ("double", "float"):
+            df = df.filter(~F.isnan(key))
+    return df
 
 
 def _group(df: DataFrame, keys: Sequence[str]):
@@ -283,20 +288,11 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).filter(F.col("n_rows") > 1)
 
 
-def rf_growth(df: DataFrame, id_cols: Sequence[str]) -> DataFrame:
-    """Change of mean resistance from season to season."""
-    from fieldtally.operators.windows import lagged
-
-    seasons = season_summary(df, id_cols, ("resistant_fraction",))
-    before = lagged("resistant_fraction", id_cols, "season")
-    return seasons.withColumn("rf_change", F.col("resistant_fraction") - before)
-
-
 def rf_plateau(df: DataFrame, id_cols: Sequence[str], last: int = 3, slope: float = 0.005) -> DataFrame:
     """Mean change of resistance over the last seasons, and whether it still climbs.
 
-    The mean of successive changes telescopes: it needs only the end points of
-    the horizon, which plain aggregates deliver.
+    The mean of successive changes telescopes, so only the ends of the horizon
+    count.  A condition has one row per season here, which bounds its list.
     """
     seasons = season_summary(df, id_cols, ("resistant_fraction",))
     ends = seasons.groupBy(*id_cols).agg(

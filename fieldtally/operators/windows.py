@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from fieldtally import fixed
@@ -31,10 +31,6 @@ def _before(keys: Sequence[str], order: str) -> WindowSpec:
     return _ordered(keys, order).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def lagged(column: str, keys: Sequence[str], order: str) -> Column:
-    return F.lag(column).over(_ordered(keys, order))
-
-
 def cumulative_exposure(
     df: DataFrame, keys: Sequence[str] = ("plot_id",), day: str = "day", load: str = "pest_load"
 ) -> DataFrame:
@@ -159,3 +155,10 @@ def best_and_worst(conditions: DataFrame, by: Sequence[str], keys: Sequence[str]
 def trajectory(df: DataFrame, id_cols: Sequence[str], measures: Sequence[str] = ("resistant_fraction",)) -> DataFrame:
     """Season means of each condition in order of season."""
     return season_summary(df, id_cols, measures).orderBy(*id_cols, "season")
+
+
+def rf_growth(df: DataFrame, id_cols: Sequence[str]) -> DataFrame:
+    """Change of mean resistance from season to season."""
+    seasons = season_summary(df, id_cols, ("resistant_fraction",))
+    before = F.lag("resistant_fraction").over(_ordered(id_cols, "season"))
+    return seasons.withColumn("rf_change", F.col("resistant_fraction") - before)

@@ -12,6 +12,7 @@ from fieldtally.operators import inference
 from fieldtally.operators.ranks import average_rank
 from fieldtally.operators.summaries import run_means, run_season_means, run_total
 from fieldtally.plans.base import plan, r6, sql
+from fieldtally.session import durable
 from fieldtally.sources import views
 
 WELCH = """
@@ -124,7 +125,8 @@ SELECT 'spearman', test, round(rho, 6), {_VERDICT} FROM ({T_P.format(source='rho
     "run_season", "run_profit", welch=WELCH.format(**_BY_SEASON), u_test=U_TEST.format(**_BY_SEASON),
     rho_test=_RHO))
 def _verdicts(spark, folder):
-    seasons = _run_seasons(spark, folder)
+    # Two tests read the run means, so they are written once.
+    seasons = durable(_run_seasons(spark, folder))
     runs = run_total(views.harvest(spark, folder), ["strategy", "immigration_rate"])
     welch = inference.welch(seasons, *_PAIR, "grain_tha", ["season"])
     ranks = inference.mann_whitney(seasons, *_PAIR, "grain_tha", ["season"])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldtally.operators import adaptive, replay, windows
 from fieldtally.operators.joins import with_compound
-from fieldtally.operators.summaries import balanced_profit, rf_growth, rf_plateau
+from fieldtally.operators.summaries import balanced_profit, rf_plateau
 from fieldtally.plans.base import IDS, plan, r6, shifted6, sql
 from fieldtally.plans.rows import _SINCE, GROWN, STAGED
 from fieldtally.plans.summaries import _TOTALS, CONDITION
@@ -240,7 +240,7 @@ SELECT strategy, pesticide_choice, season, resistant_fraction, round(resistant_f
        OVER (PARTITION BY strategy, pesticide_choice ORDER BY season), 6) AS rf_change
 FROM seasons""", "seasons"))
 def _rf_growth(spark, folder):
-    found = rf_growth(views.harvest(spark, folder), IDS)
+    found = windows.rf_growth(views.harvest(spark, folder), IDS)
     return found.select(*IDS, "season", "resistant_fraction", r6("rf_change"))
 
 

@@ -83,7 +83,7 @@ def union_logs(parts: Mapping[str, DataFrame], label: str = "source") -> DataFra
     return result
 
 
-_CONFIG = r"sensitivity_output_([a-z]+)_eff(\d+)_inc(\d+)_cost(\d+)\.csv"
+_CONFIG = r"^sensitivity_output_([a-z]+)_eff(\d+)_inc(\d+)_cost(\d+)\.csv$"
 
 
 def with_file_config(df: DataFrame, path: Column | str | None = None) -> DataFrame:
@@ -93,17 +93,18 @@ def with_file_config(df: DataFrame, path: Column | str | None = None) -> DataFra
     follow the pattern give nulls.
     """
     source = F.col("_metadata.file_path") if path is None else as_column(path)
+    # One pattern match per row; a name that does not match stays in one piece.
+    parts = F.split(F.regexp_replace(F.substring_index(source, "/", -1), _CONFIG, "$1,$2,$3,$4"), ",")
 
     def part(index: int) -> Column:
-        text = F.regexp_extract(source, _CONFIG, index)
-        return F.when(text != "", text)
+        return F.when(F.size(parts) == 4, F.get(parts, F.lit(index)))
 
     return df.select(
         "*",
-        part(1).alias("file_compound"),
-        part(2).cast("int").alias("file_efficacy_pct"),
-        part(3).cast("int").alias("file_increment_pct"),
-        part(4).cast("int").alias("file_cost"),
+        part(0).alias("file_compound"),
+        part(1).cast("int").alias("file_efficacy_pct"),
+        part(2).cast("int").alias("file_increment_pct"),
+        part(3).cast("int").alias("file_cost"),
     )
 
 

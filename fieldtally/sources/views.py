@@ -90,8 +90,12 @@ def plotday(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ledger_of(log: DataFrame) -> DataFrame:
+    # The least name is found by its place in the sorted names: a minimum of
+    # strings would make Spark sort all rows instead of hashing them.
+    names = F.array(*[F.lit(c) for c in sorted(fixed.COMPOUNDS)])
+    place = F.min(F.array_position(names, F.col("pesticide_choice")))
     return log.groupBy("run_id", "strategy", "plot_x", "plot_y", "season").agg(
-        F.min("pesticide_choice").alias("pesticide_choice"),
+        F.element_at(names, place.cast("int")).alias("pesticide_choice"),
         F.max("spray_count").alias("spray_count"),
         F.avg("grain_tha").alias("grain_tha"),
         F.max("resistant_fraction").alias("resistant_fraction"),
