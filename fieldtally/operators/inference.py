@@ -43,7 +43,7 @@ def _done(df: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def welch_statistics(
-    df: DataFrame, group_col: str, a: str, b: str, value: str, by: Sequence[str] = ()
+    df: DataFrame, group_col: str, a, b, value: str, by: Sequence[str] = ()
 ) -> DataFrame:
     """Sizes, means, difference, t and degrees of freedom of Welch's test.
 
@@ -51,7 +51,7 @@ def welch_statistics(
     """
     rows, keys = _one_test(df.filter(F.col(group_col).isin(a, b)), by)
 
-    def side(name: str) -> Column:
+    def side(name) -> Column:
         return F.when(F.col(group_col) == F.lit(name), F.col(value))
 
     parts = rows.groupBy(*keys).agg(
@@ -74,13 +74,13 @@ def welch_statistics(
     return _done(result, by)
 
 
-def welch(df: DataFrame, group_col: str, a: str, b: str, value: str, by: Sequence[str] = ()) -> DataFrame:
+def welch(df: DataFrame, group_col: str, a, b, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Welch's t test of ``a`` against ``b``, two-sided."""
     return welch_statistics(df, group_col, a, b, value, by).withColumn("p", student_two_sided_p("t", "df"))
 
 
 def mann_whitney_statistics(
-    df: DataFrame, group_col: str, a: str, b: str, value: str, by: Sequence[str] = ()
+    df: DataFrame, group_col: str, a, b, value: str, by: Sequence[str] = ()
 ) -> DataFrame:
     """U of ``a`` and its normal score under the alternative that ``a`` is greater.
 
@@ -90,7 +90,7 @@ def mann_whitney_statistics(
     chosen = df.filter(F.col(group_col).isin(a, b) & F.col(value).isNotNull())
     rows, keys = _one_test(chosen, by)
 
-    def members(name: str) -> Column:
+    def members(name) -> Column:
         return F.count(F.when(F.col(group_col) == F.lit(name), 1))
 
     hist = rows.groupBy(*keys, value).agg(members(a).alias("_a"), members(b).alias("_b"))
@@ -114,7 +114,7 @@ def mann_whitney_statistics(
 
 
 def mann_whitney(
-    df: DataFrame, group_col: str, a: str, b: str, value: str, by: Sequence[str] = ()
+    df: DataFrame, group_col: str, a, b, value: str, by: Sequence[str] = ()
 ) -> DataFrame:
     """Mann-Whitney U test, one-sided: ``a`` tends to be greater than ``b``."""
     return mann_whitney_statistics(df, group_col, a, b, value, by).withColumn("p", normal_upper_p("z"))

@@ -31,14 +31,19 @@ def with_compound(df: DataFrame, dimension: DataFrame, compound: str = "pesticid
     )
 
 
-def with_stage(df: DataFrame, dimension: DataFrame, heat="heat") -> DataFrame:
+def with_stage(df: DataFrame, heat="heat", rows=fixed.STAGE_ROWS) -> DataFrame:
     """Look up the crop stage whose range of heat units holds a row's total.
 
-    The stage number follows from the fixed bounds, so the lookup is an equality
-    join with four rows and not a comparison of every pair.
+    ``rows`` are the few stages with their bounds, light share and damage weight.
+    The stage number follows from the bounds, so the lookup is an equality join
+    with those rows and not a comparison of every pair.
     """
-    side = broadcast_if_small(dimension.select("stage", "fapar", "weight"))
-    return df.withColumn("stage", growth_stage(as_column(heat))).join(side, "stage", "left")
+    stages = df.sparkSession.createDataFrame(
+        [(n, share, weight) for n, _, _, share, weight in rows], "stage int, fapar double, weight double"
+    )
+    return df.withColumn("stage", growth_stage(as_column(heat), rows)).join(
+        broadcast_if_small(stages), "stage", "left"
+    )
 
 
 def reconcile(computed: DataFrame, reported: DataFrame, keys: Sequence[str]) -> DataFrame:

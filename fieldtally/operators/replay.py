@@ -16,6 +16,29 @@ from fieldtally import fixed
 from fieldtally.functions.resistance import effective_rf, season_factor
 
 
+def season_ledger(
+    log: DataFrame,
+    plot: Sequence[str] = ("run_id", "strategy", "plot_x", "plot_y"),
+    compounds: Sequence[str] = fixed.COMPOUNDS,
+) -> DataFrame:
+    """One row per plot and season, the form that the replays take.
+
+    A log may repeat a plot and season; partial aggregates shrink the repeats
+    before anything is shuffled.  The least compound name is found by its place
+    among the sorted names: a minimum of strings would make Spark sort all rows
+    instead of hashing them.  Names outside ``compounds`` are read as missing.
+    """
+    names = F.array(*[F.lit(c) for c in sorted(compounds)])
+    place = F.min(F.nullif(F.array_position(names, F.col("pesticide_choice")), F.lit(0)))
+    return log.groupBy(*plot, "season").agg(
+        F.get(names, (place - 1).cast("int")).alias("pesticide_choice"),
+        F.max("spray_count").alias("spray_count"),
+        F.avg("grain_tha").alias("grain_tha"),
+        F.max("resistant_fraction").alias("resistant_fraction"),
+        F.max("cost_per_spray").alias("cost_per_spray"),
+    )
+
+
 def replay_rf(
     ledger: DataFrame,
     plot: Sequence[str] = ("run_id", "plot_x", "plot_y"),
@@ -26,8 +49,8 @@ def replay_rf(
 ) -> DataFrame:
     """Both resistance pools and the logged resistance after each season.
 
-    ``ledger`` has one row per plot and season with ``pesticide_choice``,
-    ``selection_pressure`` and ``spray_count``.  Pools decay at every season
+    ``ledger`` has one row per plot and season, as :func:`season_ledger` gives,
+    with ``pesticide_choice``, ``selection_pressure`` and ``spray_count``.  Pools decay at every season
     boundary, also at those of seasons that were not logged.  With ``reactive``
     the compound of a season is chosen from the plot's own pools, the lower one
     winning and the first at a tie; that is exact where all plots of a run are

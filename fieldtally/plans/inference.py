@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fieldtally.functions.keys import run_number
 from fieldtally.operators import inference
 from fieldtally.operators.ranks import average_rank
 from fieldtally.operators.summaries import run_means, run_season_means, run_total
@@ -144,6 +145,67 @@ def _verdicts(spark, folder):
     )
 
 
+# Four claims, each from plot rows to its verdict.
+_FIRST = "SELECT 1 AS test, strategy, avg(grain_tha) AS g FROM harvest WHERE season = 1 GROUP BY run_id, strategy"
+
+
+def _claim_sql(tests: str, ranks: str) -> str:
+    return f"""
+SELECT CAST(t.n_a AS BIGINT) AS n_a, CAST(t.n_b AS BIGINT) AS n_b, round(t.mean_diff, 6) AS mean_diff,
+       round(t.p, 6) + 0.0 AS p, {_VERDICT.replace('p ', 't.p ')} AS verdict,
+       round(u.p, 6) + 0.0 AS p_rank, {_VERDICT.replace('p ', 'u.p ')} AS verdict_rank
+FROM ({T_P.format(source=tests)}) t, ({NORMAL_P.format(source=ranks)}) u"""
+
+
+def _claim(runs, group, a, b, value):
+    """Welch and rank test of one claim, on one row per run."""
+    runs = durable(runs.withColumn("claim", F.lit(1)))
+    t = inference.with_verdict(inference.welch(runs, group, a, b, value, ["claim"]))
+    u = inference.with_verdict(inference.mann_whitney(runs, group, a, b, value, ["claim"]))
+    return (
+        t.select("claim", "n_a", "n_b", r6("mean_diff"), r6("p"), "verdict")
+        .join(u.select("claim", r6("p", "p_rank"), F.col("verdict").alias("verdict_rank")), "claim")
+        .drop("claim")
+    )
+
+
+_GRAIN = {"by": "test", "group": "strategy", "a": "threshold", "b": "calendar", "value": "g", "source": "first"}
+
+
+@plan("h1a_threshold_grain", sql(_claim_sql("w", "m"), "harvest", first=_FIRST, w=WELCH.format(**_GRAIN),
+                                 m=U_TEST.format(**_GRAIN)))
+def _threshold_grain(spark, folder):
+    runs = run_means(views.harvest(spark, folder), ["strategy"], season=1)
+    return _claim(runs, *_PAIR, "grain_tha")
+
+
+_MODES = """
+SELECT 1 AS test, CASE WHEN mode THEN 'on' ELSE 'off' END AS mode, profit
+FROM (SELECT run_id, CAST(split_part(run_id, '_', 2) AS INT) % 2 = 0 AS mode,
+             sum(grain_tha * 3000 - spray_count * cost_per_spray) AS profit
+      FROM harvest WHERE strategy = 'calendar' GROUP BY run_id) r"""
+_MODE = {"by": "test", "group": "mode", "a": "on", "b": "off", "value": "profit", "source": "modes"}
+
+
+@plan("h1b_backoff_profit", sql(_claim_sql("w", "m"), "harvest", modes=_MODES, w=WELCH.format(**_MODE),
+                                m=U_TEST.format(**_MODE)))
+def _backoff_profit(spark, folder):
+    log = views.harvest(spark, folder).filter(F.col("strategy") == "calendar")
+    log = log.withColumn("adaptive_profit_mode", run_number("run_id") % 2 == 0)
+    runs = run_total(log, ["adaptive_profit_mode"])
+    return _claim(runs, "adaptive_profit_mode", True, False, "profit")
+
+
+@plan("h1d_immigration_profit", sql(f"""
+SELECT n, round(rho, 6) AS rho, round(p, 6) + 0.0 AS p, {_VERDICT} AS verdict
+FROM ({T_P.format(source='rho_test')}) f""", "run_profit", all_runs="SELECT 1 AS one, * FROM run_profit",
+    rho_test=SPEARMAN.format(by="one", x="immigration_rate", y="profit", source="all_runs")))
+def _immigration_profit(spark, folder):
+    runs = run_total(views.harvest(spark, folder), ["immigration_rate"])
+    tests = inference.with_verdict(inference.spearman(runs, "immigration_rate", "profit"))
+    return tests.select("n", r6("rho"), r6("p"), "verdict")
+
+
 @plan("t5_replication_unit", sql("""
 SELECT run_id, strategy, season, CAST(count(*) AS BIGINT) AS n_rows
 FROM harvest GROUP BY run_id, strategy, season HAVING count(*) > 1""", "harvest"))

@@ -136,7 +136,7 @@ SELECT h.plot_id, h.day, h.heat, s.stage, s.fapar, s.weight
 FROM heated h JOIN stages s ON h.heat >= s.lo AND h.heat < s.hi""", "heated", "stages"))
 def _stage_lookup(spark, folder):
     heated = heat_accumulation(views.plotday(spark, folder)).select("plot_id", "day", "heat")
-    return joins.with_stage(heated, views.stages(spark))
+    return joins.with_stage(heated)
 
 
 _DESIGN_SQL = """

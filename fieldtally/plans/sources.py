@@ -151,6 +151,18 @@ def _route_written(spark, folder):
     )
 
 
+@plan("io7_read_dataset", sql("""
+SELECT run_id, strategy, pesticide_choice, season, plot_x, plot_y, grain_tha, pest_loss_tha, spray_count,
+       resistant_fraction, cost_per_spray
+FROM harvest WHERE strategy = 'threshold'""", "harvest"))
+def _read_dataset(spark, folder):
+    path = new_folder(spark, "store")
+    target = contract("harvest_grid_output_rotation")
+    rules = [(F.col("strategy") == "threshold", target.name), (F.lit(True), "harvest_grid_output")]
+    logs.write_routed(logs.route(views.harvest(spark, folder), rules), path, rebalance=True)
+    return logs.read_dataset(spark, path, target)
+
+
 @plan("io8_write_summary", sql("""
 SELECT * FROM (SELECT strategy, pesticide_choice, season, grain_tha, pest_loss_tha, resistant_fraction,
                       spray_count, cost_per_spray FROM seasons) a

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldtally.functions.keys import as_column, nan_to_null
-from fieldtally.sources.contracts import Contract, require_columns
+from fieldtally.sources.contracts import Contract, conform, require_columns
 
 CORRUPT = "_corrupt_record"
 
@@ -175,19 +175,32 @@ def route(df: DataFrame, rules: Iterable[tuple[Column | str, str]] = ROUTES) ->
     return df.withColumn("dataset", F.lit(None).cast("string") if target is None else target)
 
 
-def write_routed(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "append") -> None:
+def write_routed(
+    df: DataFrame, path: str, fmt: str = "parquet", mode: str = "append", rebalance: bool = False
+) -> None:
     """Write every routed row below ``path``, one folder per dataset.
 
-    Unrouted rows are not written.  Rows are not shuffled: each task appends to
-    the datasets it holds rows of, so a dataset of any share spreads over tasks.
+    Unrouted rows are not written.  By default rows are not shuffled: each task
+    appends to the datasets it holds rows of.  Where tasks hold rows of many
+    datasets that leaves many small files; ``rebalance`` then gathers datasets
+    first, and Spark splits those that are too large for one task.
     """
     require_columns(df, ["dataset"])
-    writer = df.filter(F.col("dataset").isNotNull()).write.mode(mode).partitionBy("dataset")
+    rows = df.filter(F.col("dataset").isNotNull())
+    if rebalance:
+        rows = rows.hint("rebalance", F.col("dataset"))
+    writer = rows.write.mode(mode).partitionBy("dataset")
     if fmt == "csv":
         writer = writer.option("header", True)
     writer.format(fmt).save(path)
 
 
+def read_dataset(spark: SparkSession, path: str, log: Contract) -> DataFrame:
+    """One dataset of a routed Parquet store; only its folder is read."""
+    rows = spark.read.parquet(path).filter(F.col("dataset") == log.name)
+    return conform(rows.drop("dataset"), log)
+
+
 def write_summary(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite") -> None:
     """Write a summary; ``overwrite`` replaces what is there, ``append`` adds."""
     writer = df.write.mode(mode).format(fmt)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldtally import fixed
+from fieldtally.operators.replay import season_ledger
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -89,23 +90,9 @@ def plotday(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def ledger_of(log: DataFrame) -> DataFrame:
-    # The least name is found by its place in the sorted names: a minimum of
-    # strings would make Spark sort all rows instead of hashing them.
-    names = F.array(*[F.lit(c) for c in sorted(fixed.COMPOUNDS)])
-    place = F.min(F.array_position(names, F.col("pesticide_choice")))
-    return log.groupBy("run_id", "strategy", "plot_x", "plot_y", "season").agg(
-        F.element_at(names, place.cast("int")).alias("pesticide_choice"),
-        F.max("spray_count").alias("spray_count"),
-        F.avg("grain_tha").alias("grain_tha"),
-        F.max("resistant_fraction").alias("resistant_fraction"),
-        F.max("cost_per_spray").alias("cost_per_spray"),
-    )
-
-
 def ledger(spark: SparkSession, folder: str) -> DataFrame:
     """One row per run, plot and season."""
-    return ledger_of(harvest(spark, folder))
+    return season_ledger(harvest(spark, folder))
 
 
 def snapshot(spark: SparkSession, folder: str) -> DataFrame:
@@ -124,10 +111,3 @@ def compounds(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(
         fixed.COMPOUND_ROWS, "compound string, efficacy double, selection_pressure double, cost double"
     )
-
-
-def stages(spark: SparkSession) -> DataFrame:
-    """Crop-stage dimension: four rows."""
-    return spark.createDataFrame(
-        fixed.STAGE_ROWS, "stage int, lo double, hi double, fapar double, weight double"
-    )

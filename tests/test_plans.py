@@ -5,7 +5,10 @@ import pytest
 from fieldtally.plans import REGISTRY
 
 # Tail probabilities of finished tests are the only Python functions.
-WITH_P_VALUES = {"t1_welch", "t2_mann_whitney", "t3_spearman", "t4_verdicts", "j5_cross_log_test"}
+WITH_P_VALUES = {
+    "t1_welch", "t2_mann_whitney", "t3_spearman", "t4_verdicts", "j5_cross_log_test",
+    "h1a_threshold_grain", "h1b_backoff_profit", "h1d_immigration_profit",
+}
 
 
 @pytest.mark.parametrize("name", sorted(REGISTRY))
