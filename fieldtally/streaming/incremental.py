@@ -82,5 +82,4 @@ def run_update(summary: DataFrame, keys: Sequence[str], out: str, checkpoint: st
     )
     _finish(query)
     versions = spark.read.parquet(out)
-    latest = versions.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_latest"))
-    return latest.select(*keys, "_latest.*")
+    return versions.groupBy(*keys).agg(*[F.max_by(c, "batch").alias(c) for c in values])
