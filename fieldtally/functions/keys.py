@@ -24,6 +24,16 @@ def measure(name: str) -> Column:
     return F.when(~F.isnan(value), value)
 
 
+def with_values(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows in which none of the columns is missing."""
+    kinds = dict(df.dtypes)
+    for name in columns:
+        df = df.filter(F.col(name).isNotNull())
+        if kinds[name] in ("double", "float"):
+            df = df.filter(~F.isnan(name))
+    return df
+
+
 def nan_to_null(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     """Replace NaN by null in the floating columns (all of them by default)."""
     floating = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
@@ -42,10 +52,14 @@ def season_key(value) -> Column:
     return as_column(value).cast("int")
 
 
-def run_strategy(run_id) -> Column:
-    """Initial strategy in a run identifier such as ``calendar_17``."""
-    return F.regexp_extract(as_column(run_id), r"^(.*)_(\d+)$", 1)
+def run_number(run_id) -> Column:
+    """Number at the end of a run identifier such as ``calendar_17``; null if
+    there is none."""
+    return F.substring_index(as_column(run_id), "_", -1).try_cast("int")
 
 
-def run_number(run_id) -> Column:
-    return F.regexp_extract(as_column(run_id), r"^(.*)_(\d+)$", 2).cast("int")
+def run_strategy(run_id) -> Column:
+    """Initial strategy in a run identifier: what stands before its number."""
+    text = as_column(run_id)
+    tail = F.length(F.substring_index(text, "_", -1)) + F.lit(1)
+    return F.when(run_number(text).isNotNull(), F.left(text, F.length(text) - tail))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldtally import fixed
+from fieldtally.functions.keys import measure, with_values
 from fieldtally.functions.tails import normal_upper_p, student_two_sided_p
 from fieldtally.operators.ranks import join_ranks, value_ranks
 from fieldtally.session import durable
@@ -52,7 +53,7 @@ def welch_statistics(
     rows, keys = _one_test(df.filter(F.col(group_col).isin(a, b)), by)
 
     def side(name) -> Column:
-        return F.when(F.col(group_col) == F.lit(name), F.col(value))
+        return F.when(F.col(group_col) == F.lit(name), measure(value))
 
     parts = rows.groupBy(*keys).agg(
         F.count(side(a)).alias("n_a"),
@@ -87,7 +88,7 @@ def mann_whitney_statistics(
     Ranks are needed per value only: values are counted per side, and the rank
     sum of a side is its counts times the ranks.
     """
-    chosen = df.filter(F.col(group_col).isin(a, b) & F.col(value).isNotNull())
+    chosen = with_values(df.filter(F.col(group_col).isin(a, b)), value)
     rows, keys = _one_test(chosen, by)
 
     def members(name) -> Column:
@@ -127,8 +128,7 @@ def spearman_statistics(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -
     pairs are then summed per value of ``x``, where the ranks of ``x`` meet them
     one to one.  Ranks are centred, which keeps the sums small.
     """
-    complete = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    rows, keys = _one_test(complete, by)
+    rows, keys = _one_test(with_values(df, x, y), by)
     # Written once: both rankings and the final sums read the pairs, not the log.
     pairs = durable(
         rows.groupBy(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("_n"))

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldtally.functions.keys import with_values
 from fieldtally.session import durable
 
 #: A value is hot if it holds more than this share of all rows; there can be
@@ -74,7 +75,7 @@ def average_rank(df: DataFrame, by: Sequence[str], value: str, name: str = "rank
 
     Rows without a value have no rank and are left out.
     """
-    rows = df.filter(F.col(value).isNotNull())
+    rows = with_values(df, value)
     hist = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
     ranked = value_ranks(hist, by, value, "_n").withColumnRenamed("rank", name)
     return join_ranks(rows, ranked, [*by, value], "_n", [name])

@@ -14,23 +14,13 @@ from pyspark.sql import functions as F
 
 from fieldtally import fixed
 from fieldtally.functions.economics import net_profit
-from fieldtally.functions.keys import measure
+from fieldtally.functions.keys import measure, with_values
 
 SUMMARY_MEASURES = ("grain_tha", "pest_loss_tha", "resistant_fraction", "spray_count", "cost_per_spray")
 
 
-def keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows that have all their keys."""
-    kinds = dict(df.dtypes)
-    for key in keys:
-        df = df.filter(F.col(key).isNotNull())
-        if kinds[key] in ("double", "float"):
-            df = df.filter(~F.isnan(key))
-    return df
-
-
 def _group(df: DataFrame, keys: Sequence[str]):
-    return keyed(df, keys).groupBy(*keys)
+    return with_values(df, *keys).groupBy(*keys)
 
 
 def summarize(df: DataFrame, keys: Sequence[str], **aggregates: tuple[str, str] | Column) -> DataFrame:
@@ -189,7 +179,7 @@ def run_inventory(df: DataFrame, keys: Sequence[str] = ("strategy", "pesticide_c
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:
     """The distinct values of a column, missing ones left out."""
-    return df.select(column).dropna().distinct()
+    return with_values(df.select(column), column).distinct()
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -201,7 +191,7 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def distinct_conditions(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return keyed(df.select(*keys), keys).distinct()
+    return with_values(df.select(*keys), *keys).distinct()
 
 
 def sweep_fixation(df: DataFrame, first: str, second: str, threshold: float = fixed.FIXATION_RF) -> DataFrame:

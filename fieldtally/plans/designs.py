@@ -23,10 +23,10 @@ SELECT strategy, repeat, season, expected_rows, CAST(coalesce(n, 0) AS BIGINT) A
 FROM cells LEFT JOIN (SELECT strategy, CAST(split_part(run_id, '_', 2) AS INT) AS repeat, season, count(*) AS n
                       FROM harvest GROUP BY ALL) h USING (strategy, repeat, season)""", "harvest", cells=_CELLS))
 def _factorial(spark, folder):
-    log = views.harvest(spark, folder)
-    logged = log.groupBy("strategy", run_number("run_id").alias("repeat"), "season").agg(
+    counts = views.harvest(spark, folder).groupBy("strategy", "run_id", "season").agg(
         F.count(F.lit(1)).alias("logged_rows")
     )
+    logged = counts.select("strategy", run_number("run_id").alias("repeat"), "season", "logged_rows")
     filled = _cells(spark).join(logged, ["strategy", "repeat", "season"], "left")
     return filled.withColumn("logged_rows", F.coalesce("logged_rows", F.lit(0)))
 

@@ -84,9 +84,11 @@ def _clean_log(spark, folder):
     header = F.lit(",".join(columns))
     # Some rows are followed by a cut-off copy, some by a header written again.
     extra = F.when(
-        (F.col("plot_x") == 3) & (F.col("season") == 2), F.substring_index(line, ",", 7)
+        (F.col("plot_x") == 3) & (F.col("season") == 2), F.substring_index("line", ",", 7)
     ).when((F.col("plot_x") == 5) & (F.col("plot_y") == 5) & (F.col("season") == 1), header)
-    lines = log.select(F.explode(F.array_compact(F.array(line, extra))).alias("value"))
+    lines = log.withColumn("line", line).select(
+        F.explode(F.array_compact(F.array("line", extra))).alias("value")
+    )
     lines.write.text(path)
     raw = logs.read_dirty_log(spark, path, HARVEST_LOG)
     good = logs.clean_log(raw).groupBy("strategy").agg(

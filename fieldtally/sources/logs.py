@@ -93,14 +93,15 @@ def with_file_config(df: DataFrame, path: Column | str | None = None) -> DataFra
     follow the pattern give nulls.
     """
     source = F.col("_metadata.file_path") if path is None else as_column(path)
-    # One pattern match per row; a name that does not match stays in one piece.
+    # One pattern match per row, kept in a column of its own so that it is not
+    # repeated for each part; a name that does not match stays in one piece.
     parts = F.split(F.regexp_replace(F.substring_index(source, "/", -1), _CONFIG, "$1,$2,$3,$4"), ",")
 
     def part(index: int) -> Column:
-        return F.when(F.size(parts) == 4, F.get(parts, F.lit(index)))
+        return F.when(F.size("_parts") == 4, F.get("_parts", F.lit(index)))
 
-    return df.select(
-        "*",
+    return df.withColumn("_parts", parts).select(
+        *df.columns,
         part(0).alias("file_compound"),
         part(1).cast("int").alias("file_efficacy_pct"),
         part(2).cast("int").alias("file_increment_pct"),

@@ -17,8 +17,11 @@ def connect(folder):
     con = duckdb.connect()
     for name in TABLES:
         path = f"{folder}/{name}.parquet"
-        if os.path.exists(path):
-            con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{path}')")
+        if os.path.isdir(path):
+            path += "/*.parquet"
+        elif not os.path.exists(path):
+            continue
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{path}')")
     return con
 
 

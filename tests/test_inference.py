@@ -78,7 +78,7 @@ def test_rank_of_a_hot_value(spark):
 
 
 def test_missing_values_have_no_rank(spark):
-    df = spark.createDataFrame([(1, 2.0), (2, None), (3, 1.0)], "id int, v double")
+    df = spark.createDataFrame([(1, 2.0), (2, None), (3, 1.0), (4, float("nan"))], "id int, v double")
     assert {r.id: r.rank for r in ranks.average_rank(df, [], "v").collect()} == {1: 2.0, 3: 1.0}
 
 
@@ -154,3 +154,12 @@ def test_plot_rows_are_refused(spark):
     with pytest.raises(ValueError, match="r1"):
         inference.require_run_unit(rows)
     assert inference.require_run_unit(rows.dropDuplicates(["run_id"])).count() == 2
+
+
+def test_missing_values_are_left_out_of_tests(spark):
+    rows = [("a", 1.0), ("a", 3.0), ("b", 2.0), ("b", 5.0)]
+    gaps = [("a", None), ("b", float("nan"))]
+    full = spark.createDataFrame(rows, "g string, v double")
+    with_gaps = spark.createDataFrame(rows + gaps, "g string, v double")
+    for test in (inference.welch, inference.mann_whitney):
+        assert test(full, "g", "a", "b", "v").first() == test(with_gaps, "g", "a", "b", "v").first()

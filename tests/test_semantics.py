@@ -169,9 +169,11 @@ def test_condition_keys_are_rounded(spark, value, key):
 
 
 def test_run_id_parts(spark):
-    rows = spark.createDataFrame([("calendar_17",), ("no_spray_3",)], "run_id string")
+    rows = spark.createDataFrame([("calendar_17",), ("no_spray_3",), ("run",), ("a_b",)], "run_id string")
     parts = rows.select(keys.run_strategy("run_id").alias("s"), keys.run_number("run_id").alias("n")).collect()
-    assert [tuple(p) for p in parts] == [("calendar", 17), ("no_spray", 3)]
+    assert [tuple(p) for p in parts] == [
+        ("calendar", 17), ("no_spray", 3), (None, None), (None, None),
+    ]
 
 
 def test_distinct_counts_leave_missing_out(spark):
