@@ -12,7 +12,7 @@ from fieldtally.operators.summaries import season_summary
 from fieldtally.plans.base import HARVEST_LOG, IDS, plan, sql
 from fieldtally.session import new_folder
 from fieldtally.sources import logs, views
-from fieldtally.sources.contracts import conform, contract, present_keys
+from fieldtally.sources.contracts import conform, contract, present_keys, to_common
 
 _SEASON_SQL = """
 SELECT strategy, pesticide_choice, season, grain_tha, pest_loss_tha, resistant_fraction, spray_count, cost_per_spray
@@ -37,6 +37,23 @@ def _contract_projection(spark, folder):
     )
 
 
+@plan("io2_common_form", sql("""
+SELECT 'harvest_grid_output' AS dataset, strategy, CAST(NULL AS VARCHAR) AS pesticide_choice,
+       CAST(count(*) AS BIGINT) AS n_rows, sum(grain_tha) AS grain FROM harvest WHERE season <= 3 GROUP BY strategy
+UNION ALL
+SELECT 'harvest_grid_output_rotation', strategy, pesticide_choice, CAST(count(*) AS BIGINT), sum(grain_tha)
+FROM harvest WHERE season > 3 GROUP BY strategy, pesticide_choice""", "harvest"))
+def _common_form(spark, folder):
+    log = views.harvest(spark, folder)
+    short = to_common(log.filter("season <= 3").drop("pesticide_choice"), contract("harvest_grid_output"))
+    rotated = to_common(log.filter("season > 3"), contract("harvest_grid_output_rotation"))
+    return (
+        short.unionByName(rotated)
+        .groupBy("dataset", "strategy", "pesticide_choice")
+        .agg(F.count(F.lit(1)).alias("n_rows"), F.sum("grain_tha").alias("grain"))
+    )
+
+
 @plan("io3_union_logs", sql("""
 SELECT 'low' AS source, run_id, strategy, pesticide_choice, immigration_rate, season, plot_x, plot_y, grain_tha
 FROM harvest WHERE immigration_rate <= 0.2

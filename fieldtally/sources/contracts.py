@@ -275,3 +275,25 @@ def conform(df: DataFrame, log: Contract) -> DataFrame:
         return source.cast(column_type(name)).alias(name)
 
     return df.select(*[typed(c) for c in log.columns])
+
+
+def common_columns(logs: Sequence[Contract] | None = None) -> tuple[str, ...]:
+    """Columns of a table that can hold all grid logs: run, every condition
+    column, then the measures."""
+    chosen = [c for c in CONTRACTS.values() if c.plots > 1] if logs is None else logs
+    ids = dict.fromkeys(c for log in chosen for c in log.id_columns)
+    rest = dict.fromkeys(c for log in chosen for c in log.columns if c not in ids and c != "run_id")
+    return ("run_id", *ids, *rest)
+
+
+def to_common(df: DataFrame, log: Contract) -> DataFrame:
+    """A log in the form shared by all grid logs, with its name in ``dataset``;
+    columns it lacks are null.  Partition such a table by ``dataset``."""
+    own = conform(df, log)
+    return own.select(
+        F.lit(log.name).alias("dataset"),
+        *[
+            F.col(c) if c in own.columns else F.lit(None).cast(column_type(c)).alias(c)
+            for c in common_columns()
+        ],
+    )

@@ -10,12 +10,14 @@ from fieldtally.sources import logs, views
 from fieldtally.sources.contracts import (
     CONTRACTS,
     Contract,
-    conform,
+    common_columns,
     config_file_name,
+    conform,
     contract,
     present_keys,
     register,
     require_columns,
+    to_common,
 )
 
 GRID = contract("harvest_grid_output")
@@ -208,3 +210,13 @@ def test_stage_lookup_bounds(spark):
     found = joins.with_stage(rows).orderBy("heat").collect()
     assert [r.stage for r in found] == [1, 1, 2, 2, 3, 3, 4]
     assert [r.fapar for r in found] == [0.2, 0.2, 0.7, 0.7, 0.9, 0.9, 0.85]
+
+
+def test_common_form_holds_every_grid_log(spark):
+    columns = common_columns()
+    assert len(columns) == len(set(columns))
+    for log in CONTRACTS.values():
+        if log.plots > 1:
+            empty = to_common(spark.createDataFrame([], log.schema), log)
+            assert empty.columns == ["dataset", *columns]
+            assert all(empty.schema[c].dataType == log.schema[c].dataType for c in log.columns)
