@@ -7,7 +7,7 @@ Measures are multiples of 1/1024, so that sums do not depend on their order.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldtally import fixed
@@ -18,42 +18,33 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _grain(value: Column) -> Column:
-    """Round down to a multiple of 1/1024."""
-    return (F.floor(value * 1024) / 1024).cast("double")
-
-
 def harvest_of(lineitem: DataFrame) -> DataFrame:
-    strategy = (
-        F.when(F.col("l_returnflag") == "A", "none")
-        .when(F.col("l_returnflag") == "N", "calendar")
-        .otherwise("threshold")
+    read_as = lineitem.selectExpr(
+        "CASE l_returnflag WHEN 'A' THEN 'none' WHEN 'N' THEN 'calendar' ELSE 'threshold' END AS strategy",
+        "l_suppkey % 40 AS run_no",
+        "l_suppkey % 3 AS third",
+        "l_suppkey % 4 AS fourth",
+        "year(l_shipdate) - 1994 AS season",
+        "l_partkey % 100 AS plot",
+        "l_linenumber AS sprays",
+        "l_extendedprice / 20000 AS grain",
+        "l_tax * 20 AS loss",
+        # Resistance grows by season; the calendar strategy starts lower.
+        "CASE l_returnflag WHEN 'A' THEN 0D WHEN 'N' THEN 0.18D + l_discount / 10 ELSE 0.34D + l_discount / 10 END AS pace",
     )
-    third, fourth = F.col("l_suppkey") % 3, F.col("l_suppkey") % 4
-    compound = (
-        F.when(third == 0, fixed.DEFAULT_COMPOUND).when(third == 1, fixed.COMPOUND_A).otherwise(fixed.COMPOUND_B)
-    )
-    immigration = F.when(fourth == 0, 0.05).when(fourth == 1, 0.2).when(fourth == 2, 0.4).otherwise(0.7)
-    season = (F.year("l_shipdate") - 1994).cast("int")
-    factor = F.when(third == 1, 0.5).otherwise(1.0)
-
-    def ratchet(base: float) -> Column:
-        return F.least(F.lit(1.0), season * (F.lit(base) + F.col("l_discount") / 10) * factor)
-
-    rf = F.when(strategy == "none", 0.0).when(strategy == "calendar", ratchet(0.18)).otherwise(ratchet(0.34))
-    return lineitem.select(
-        F.concat_ws("_", strategy, (F.col("l_suppkey") % 40).cast("int").cast("string")).alias("run_id"),
-        strategy.alias("strategy"),
-        compound.alias("pesticide_choice"),
-        immigration.alias("immigration_rate"),
-        season.alias("season"),
-        (F.col("l_partkey") % 10).cast("int").alias("plot_x"),
-        F.floor((F.col("l_partkey") % 100) / 10).cast("int").alias("plot_y"),
-        _grain(F.col("l_extendedprice") / 20000).alias("grain_tha"),
-        _grain(F.col("l_tax") * 20).alias("pest_loss_tha"),
-        F.when(strategy == "none", 0).otherwise(F.col("l_linenumber")).cast("int").alias("spray_count"),
-        _grain(rf).alias("resistant_fraction"),
-        F.when(third == 1, 110.625).otherwise(100.0).alias("cost_per_spray"),
+    return read_as.selectExpr(
+        "concat_ws('_', strategy, run_no) AS run_id",
+        "strategy",
+        "CASE third WHEN 0 THEN 'starfarm' WHEN 1 THEN 'etofenprox' ELSE 'neonicotinoid' END AS pesticide_choice",
+        "CASE fourth WHEN 0 THEN 0.05D WHEN 1 THEN 0.2D WHEN 2 THEN 0.4D ELSE 0.7D END AS immigration_rate",
+        "CAST(season AS INT) AS season",
+        "CAST(plot % 10 AS INT) AS plot_x",
+        "CAST(plot DIV 10 AS INT) AS plot_y",
+        "floor(grain * 1024) / 1024D AS grain_tha",
+        "floor(loss * 1024) / 1024D AS pest_loss_tha",
+        "CAST(CASE strategy WHEN 'none' THEN 0 ELSE sprays END AS INT) AS spray_count",
+        "floor(least(1D, season * pace * CASE third WHEN 1 THEN 0.5D ELSE 1D END) * 1024) / 1024D AS resistant_fraction",
+        "CASE third WHEN 1 THEN 110.625D ELSE 100D END AS cost_per_spray",
     )
 
 
@@ -63,12 +54,10 @@ def harvest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def daily_of(events: DataFrame) -> DataFrame:
+    load = F.expr("least(1024, floor(max(value) / 200 * 1024)) / 1024D")
     return events.groupBy(
         F.col("user_id").alias("plot_id"), F.dayofyear("ts").cast("int").alias("day")
-    ).agg(
-        (F.least(F.lit(1024), F.floor(F.max("value") / 200 * 1024)) / 1024).cast("double").alias("pest_load"),
-        F.max(F.when(F.col("event_type") == "purchase", 1).otherwise(0)).alias("sprayed"),
-    )
+    ).agg(load.alias("pest_load"), F.expr("max(CASE event_type WHEN 'purchase' THEN 1 ELSE 0 END)").alias("sprayed"))
 
 
 def daily(spark: SparkSession, folder: str) -> DataFrame:
@@ -78,15 +67,14 @@ def daily(spark: SparkSession, folder: str) -> DataFrame:
 
 def plotday(spark: SparkSession, folder: str) -> DataFrame:
     """Plot-day log with weather."""
-    plot, day = F.col("plot_id"), F.col("day")
-    return daily(spark, folder).select(
+    return daily(spark, folder).selectExpr(
         "plot_id",
         "day",
         "pest_load",
         "sprayed",
-        (F.lit(40) + plot % 25 + day % 5).cast("double").alias("t_mean"),
-        F.lit(18.0).alias("solar_rad"),
-        (F.lit(70) + (plot * 7 + day) % 25).cast("double").alias("humidity"),
+        "CAST(40 + plot_id % 25 + day % 5 AS DOUBLE) AS t_mean",
+        "18D AS solar_rad",
+        "CAST(70 + (plot_id * 7 + day) % 25 AS DOUBLE) AS humidity",
     )
 
 
@@ -97,12 +85,12 @@ def ledger(spark: SparkSession, folder: str) -> DataFrame:
 
 def snapshot(spark: SparkSession, folder: str) -> DataFrame:
     """Grid state of every run in season 3."""
-    load = F.least(F.lit(1024), F.floor(F.max("pest_loss_tha") / 2 * 1024)) / 1024
+    load = F.expr("least(1024, floor(max(pest_loss_tha) / 2 * 1024)) / 1024D")
     return (
         harvest(spark, folder)
         .filter(F.col("season") == 3)
         .groupBy("run_id", "plot_x", "plot_y")
-        .agg(load.cast("double").alias("pest_load"))
+        .agg(load.alias("pest_load"))
     )
 
 
