@@ -12,11 +12,16 @@ from fieldtally.functions.keys import as_column
 def scheduled_compound(
     pattern, season, compound_a: str = fixed.COMPOUND_A, compound_b: str = fixed.COMPOUND_B
 ) -> Column:
-    """Compound of a season under a repeating pattern of ``A`` and ``B``."""
-    text = as_column(pattern)
-    position = F.pmod(as_column(season) - F.lit(1), F.length(text)) + F.lit(1)
+    """Compound of a season under a repeating pattern of ``A`` and ``B``.
+
+    A reactive plan starts with the first compound; what it takes later depends
+    on the pools (see ``reactive_compound``) and is null here.
+    """
+    text, number = as_column(pattern), as_column(season)
+    position = F.pmod(number - F.lit(1), F.length(text)) + F.lit(1)
     letter = F.substring(text, position.cast("int"), F.lit(1))
-    return F.when(letter == "B", compound_b).otherwise(compound_a)
+    cycled = F.when(letter == "B", compound_b).otherwise(compound_a)
+    return F.when(text != fixed.REACTIVE, cycled).when(number == 1, compound_a)
 
 
 def should_spray(

@@ -15,6 +15,9 @@ from pyspark.sql.types import DoubleType
 
 _TINY = 1e-300
 _STEPS = 10_000
+#: Beyond this many degrees of freedom Student's t is the normal distribution to
+#: seven places, more than differences of huge log-gammas would keep.
+_NORMAL_FROM = 1e8
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -56,6 +59,8 @@ def student_two_sided(t: float, df: float) -> float:
         return float("nan")
     if math.isinf(t):
         return 0.0
+    if df > _NORMAL_FROM:
+        return 2.0 * normal_upper(abs(t))
     return incomplete_beta(df / 2.0, 0.5, df / (df + t * t))
 
 
@@ -63,21 +68,14 @@ def normal_upper(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2.0))
 
 
-def _optional(value: float):
-    return None if value is None or value != value else float(value)
-
-
 @pandas_udf(DoubleType())
 def student_two_sided_p(t: pd.Series, df: pd.Series) -> pd.Series:
+    known = t.notna() & df.notna() & (df > 0)
     return pd.Series(
-        [
-            None if pd.isna(a) or pd.isna(b) else _optional(student_two_sided(float(a), float(b)))
-            for a, b in zip(t, df)
-        ],
-        dtype="float64",
+        [student_two_sided(a, b) if ok else None for a, b, ok in zip(t, df, known)], dtype="float64"
     )
 
 
 @pandas_udf(DoubleType())
 def normal_upper_p(z: pd.Series) -> pd.Series:
-    return pd.Series([None if pd.isna(a) else normal_upper(float(a)) for a in z], dtype="float64")
+    return pd.Series([normal_upper(a) if ok else None for a, ok in zip(z, z.notna())], dtype="float64")

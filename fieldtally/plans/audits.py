@@ -8,7 +8,7 @@ from fieldtally.operators import adaptive, audit
 from fieldtally.operators.windows import run_seasons
 from fieldtally.plans.base import plan, r6, sql
 from fieldtally.plans.joins import COMPUTED_SQL, MEASURES, REPORTED_SQL, computed, reported
-from fieldtally.plans.windows import _BACKOFF
+from fieldtally.plans.windows import BACKOFF
 from fieldtally.sources import views
 
 _KEYS = ["strategy", "season"]
@@ -78,7 +78,7 @@ SELECT run_id, season, CAST(calendar_interval AS INT) AS calendar_interval,
        round(threshold_in_force, 6) AS pesticide_threshold_replayed
 FROM logged JOIN backoff USING (run_id, season)
 WHERE calendar_interval <> interval_in_force OR abs(pesticide_threshold - threshold_in_force) > 1e-9""",
-    "moves", backoff=_BACKOFF, logged=_LOGGED))
+    "moves", backoff=BACKOFF, logged=_LOGGED))
 def _policy_audit(spark, folder):
     seasons = run_seasons(views.harvest(spark, folder), ["strategy"])
     season, strategy = F.col("season"), F.col("strategy")

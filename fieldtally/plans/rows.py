@@ -135,7 +135,8 @@ SELECT run_id, plot_x, plot_y, season, pesticide_choice, effective_rf,
 FROM met""", "ledger", "compounds", pools=_POOLS, met=_MET))
 def _effective_rf(spark, folder):
     rows = with_compound(views.ledger(spark, folder), views.compounds(spark))
-    rf = resistance.effective_rf("pesticide_choice", "resistant_fraction", F.col("resistant_fraction") / 2, 0.25)
+    half = F.col("resistant_fraction") / 2
+    rf = resistance.effective_rf("pesticide_choice", "resistant_fraction", half, 0.25)
     met = rows.withColumn("effective_rf", rf)
     realized = resistance.realized_efficacy("efficacy", "effective_rf")
     return met.select(
@@ -176,7 +177,8 @@ def _boundary_decay(spark, folder):
     a = resistance.boundary_decay("resistant_fraction", 0.05, 0.01)
     b = resistance.boundary_decay(F.col("resistant_fraction") / 2, 0.05, 0.01)
     return views.ledger(spark, folder).select(
-        "run_id", "plot_x", "plot_y", "season", shifted6(a, "pool_a"), shifted6(b, "pool_b"), shifted6(F.greatest(a, b), "combined")
+        "run_id", "plot_x", "plot_y", "season",
+        shifted6(a, "pool_a"), shifted6(b, "pool_b"), shifted6(F.greatest(a, b), "combined"),
     )
 
 
@@ -192,7 +194,7 @@ def _scheduled(spark, folder):
     )
 
 
-_SINCE = """
+SINCE = """
 SELECT *, day - coalesce(max(CASE WHEN sprayed = 1 THEN day END) OVER (PARTITION BY plot_id ORDER BY day
        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS since
 FROM daily"""
@@ -201,7 +203,7 @@ FROM daily"""
 @plan("c14_spray_decision", sql("""
 SELECT plot_id, day, since, CASE plot_id % 3 WHEN 0 THEN false WHEN 1 THEN since >= 14
        ELSE since >= 7 AND pest_load > 0.3 END AS should_spray
-FROM since_days""", "daily", since_days=_SINCE))
+FROM since_days""", "daily", since_days=SINCE))
 def _decision(spark, folder):
     days = days_since_spray(views.daily(spark, folder))
     strategy = (

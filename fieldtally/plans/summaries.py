@@ -295,7 +295,7 @@ def _sorted_profit(spark, folder):
     return _rounded_profit(found, *IDS).orderBy(F.desc("cumulative_profit"), *IDS)
 
 
-_TOTALS = f"""
+TOTALS = f"""
 SELECT {_COND}, sum(np) AS cumulative_profit
 FROM (SELECT {_COND}, season, avg(np) AS np
       FROM (SELECT {_COND}, run_id, season, avg(grain_tha * 3000 - spray_count * cost_per_spray) AS np
@@ -312,7 +312,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY cumulative_pro
                                    immigration_rate) AS p FROM totals) b
 JOIN (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY cumulative_profit, pesticide_choice,
                                    immigration_rate) AS p FROM totals) w ON b.strategy = w.strategy
-WHERE b.p = 1 AND w.p = 1""", "harvest", totals=_TOTALS))
+WHERE b.p = 1 AND w.p = 1""", "harvest", totals=TOTALS))
 def _best_and_worst(spark, folder):
     totals = ops.balanced_profit(views.harvest(spark, folder), CONDITION)
     ends = best_and_worst(totals, ["strategy"], ["pesticide_choice", "immigration_rate"])
@@ -323,7 +323,7 @@ def _best_and_worst(spark, folder):
 
 @plan("sr2_top_conditions", sql("""
 SELECT strategy, pesticide_choice, immigration_rate, round(cumulative_profit, 6) AS cumulative_profit
-FROM totals ORDER BY cumulative_profit DESC LIMIT 5""", "harvest", totals=_TOTALS))
+FROM totals ORDER BY cumulative_profit DESC LIMIT 5""", "harvest", totals=TOTALS))
 def _top_conditions(spark, folder):
     totals = ops.balanced_profit(views.harvest(spark, folder), CONDITION)
     return (

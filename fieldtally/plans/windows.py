@@ -8,8 +8,8 @@ from fieldtally.operators import adaptive, replay, windows
 from fieldtally.operators.joins import with_compound
 from fieldtally.operators.summaries import balanced_profit, rf_plateau
 from fieldtally.plans.base import IDS, plan, r6, shifted6, sql
-from fieldtally.plans.rows import _SINCE, GROWN, STAGED
-from fieldtally.plans.summaries import _TOTALS, CONDITION
+from fieldtally.plans.rows import SINCE, GROWN, STAGED
+from fieldtally.plans.summaries import TOTALS, CONDITION
 from fieldtally.sources import views
 
 
@@ -30,7 +30,7 @@ def _days_above(spark, folder):
 
 
 @plan("w3_days_since_spray", sql("SELECT plot_id, day, since AS days_since_spray FROM since_days", "daily",
-                                 since_days=_SINCE))
+                                 since_days=SINCE))
 def _days_since(spark, folder):
     return windows.days_since_spray(views.daily(spark, folder)).select("plot_id", "day", "days_since_spray")
 
@@ -87,7 +87,7 @@ def _wallet(spark, folder):
     return found.select("run_id", "season", "revenue", "spray_cost", "end_money")
 
 
-_BACKOFF = """
+BACKOFF = """
 SELECT run_id, strategy, season, declines_before,
        CAST(CASE WHEN strategy = 'calendar' THEN least(28, 14 + 2 * declines_before) ELSE 14 END AS INT)
            AS interval_in_force,
@@ -100,7 +100,7 @@ _FORCE = ("run_id", "strategy", "season", "declines_before", "interval_in_force"
 @plan("w9_backoff", sql("""
 SELECT run_id, strategy, season, declines_before, interval_in_force,
        round(threshold_in_force, 6) AS threshold_in_force
-FROM backoff""", "moves", backoff=_BACKOFF))
+FROM backoff""", "moves", backoff=BACKOFF))
 def _backoff(spark, folder):
     return adaptive.backoff(_run_seasons(spark, folder)).select(*_FORCE, r6("threshold_in_force"))
 
@@ -206,7 +206,7 @@ def _replay(spark, folder):
 @plan("w14_rank_by_profit", sql("""
 SELECT strategy, pesticide_choice, immigration_rate, round(cumulative_profit, 6) AS cumulative_profit,
        CAST(row_number() OVER (PARTITION BY strategy ORDER BY cumulative_profit DESC) AS INT) AS place
-FROM totals""", "harvest", totals=_TOTALS))
+FROM totals""", "harvest", totals=TOTALS))
 def _rank(spark, folder):
     totals = balanced_profit(views.harvest(spark, folder), CONDITION)
     ranked = windows.rank_by_profit(totals, ["strategy"], ["pesticide_choice", "immigration_rate"])

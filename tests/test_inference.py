@@ -29,6 +29,12 @@ def test_student_table(t, df, p):
     assert tails.student_two_sided(-t, df) == tails.student_two_sided(t, df)
 
 
+@pytest.mark.parametrize("df", [1e7, 1e9, 1e12])
+@pytest.mark.parametrize("t", [0.5, 1.75, 3.0, 5.0])
+def test_many_degrees_of_freedom(t, df):
+    assert tails.student_two_sided(t, df) == pytest.approx(2 * tails.normal_upper(t), rel=2e-5)
+
+
 def test_tail_ends():
     assert tails.student_two_sided(0.0, 5) == 1.0
     assert tails.student_two_sided(float("inf"), 5) == 0.0

@@ -45,6 +45,16 @@ def test_spray_decision(spark, strategy, since, load, spray):
     assert one(spark, schedule.should_spray(F.lit(strategy), since, load)) is spray
 
 
+@pytest.mark.parametrize(
+    "pattern,letters",
+    [("AB", "ABABAB"), ("BAA", "BAABAA"), ("ABBB", "ABBBAB"), ("REACTIVE", "A?????")],
+)
+def test_scheduled_compounds(spark, pattern, letters):
+    names = {fixed.COMPOUND_A: "A", fixed.COMPOUND_B: "B", None: "?"}
+    seasons = spark.range(1, 7).select(schedule.scheduled_compound(F.lit(pattern), "id"))
+    assert "".join(names[r[0]] for r in seasons.collect()) == letters
+
+
 def test_calendar_has_no_cooldown(spark):
     assert one(spark, schedule.should_spray(F.lit("calendar"), 1, 0.0, interval=1)) is True
 
@@ -93,7 +103,9 @@ def replay_by_hand(seasons, immigration, fitness, spillover):
     return out
 
 
-@pytest.mark.parametrize("immigration,fitness,spillover", [(0.05, 0.0, 0.0), (0.2, 0.1, 0.5), (0.0, 0.0, 0.25), (1.0, 0.0, 0.0)])
+@pytest.mark.parametrize(
+    "immigration,fitness,spillover", [(0.05, 0.0, 0.0), (0.2, 0.1, 0.5), (0.0, 0.0, 0.25), (1.0, 0.0, 0.0)]
+)
 def test_replay_by_hand(spark, immigration, fitness, spillover):
     rng = random.Random(5)
     rows, expected = [], {}
