@@ -8,11 +8,16 @@ function, evaluated by its continued fraction with Lentz's method.
 from __future__ import annotations
 
 import math
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
+# Sent to the workers as code, so that they need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _TINY = 1e-300
 _STEPS = 10_000
 #: Beyond this many degrees of freedom Student's t is the normal distribution to

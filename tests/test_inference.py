@@ -1,7 +1,10 @@
 """Tests against brute force and printed tables."""
 
 import math
+import os
 import random
+import subprocess
+import sys
 
 import pytest
 from hypothesis import given, settings
@@ -55,6 +58,25 @@ def test_closed_forms_of_the_tail():
         assert tails.student_two_sided(t, 2) == pytest.approx(1 - t / math.sqrt(2 + t * t), abs=1e-12)
 
 
+def test_workers_do_not_need_the_package(tmp_path):
+    """A session started elsewhere, whose workers cannot import this package."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = tmp_path / "elsewhere.py"
+    script.write_text(
+        f"import sys; sys.path.insert(0, {root!r})\n"
+        "from fieldtally.functions.tails import normal_upper_p, student_two_sided_p\n"
+        "from fieldtally.session import local_session\n"
+        "spark = local_session(1)\n"
+        "rows = spark.createDataFrame([(0.0, 5.0)], 't double, df double')\n"
+        "print(rows.select(student_two_sided_p('t', 'df'), normal_upper_p('t')).first())\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run(
+        [sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180
+    )
+    assert "=1.0" in done.stdout and "=0.5" in done.stdout, done.stderr[-2000:]
+
+
 def samples(seed, count, places):
     rng = random.Random(seed)
     return [
