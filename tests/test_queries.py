@@ -27,4 +27,6 @@ def test_entry(spark):
 
 
 def test_all_queries_have_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(REGISTRY) <= set(entry.queries())
+    assert set(REGISTRY) <= set(entry.oracle_sql())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
