@@ -181,6 +181,7 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
 def pack(found: DataFrame, capacity: int = CAPACITY, partitions: int | None = None) -> DataFrame:
     """Adds sequence_id and offset to rows that have doc_id, piece and length."""
     spark = found.sparkSession
+    found = durable(found)  # the sort below reads it twice, to learn the ranges and to deal
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["length", "doc_id", "piece", "start", "ids_crc32"]
     ranged = durable(found.repartitionByRange(parts, *order).sortWithinPartitions(*order))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from fieldtally.llm import packing, quality
+from fieldtally.llm import language, packing, quality, toxicity
 
 QUERIES = {
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op8_language_id": language.op8_language_id,
     "op9_quality_rules": quality.op9_quality_rules,
 }
 
