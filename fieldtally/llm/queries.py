@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from fieldtally.llm import language, packing, quality, toxicity
+from fieldtally.llm import decontamination, language, packing, pii, quality, toxicity
 
 QUERIES = {
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op4_decontamination": decontamination.op4_decontamination,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_pii": pii.op7_pii,
     "op8_language_id": language.op8_language_id,
     "op9_quality_rules": quality.op9_quality_rules,
 }

@@ -103,8 +103,9 @@ class Model:
         return total / (1 + total)
 
 
-def train(texts: list[bytes], toxic: np.ndarray, steps: int = 120, rate: float = 0.05) -> Model:
-    """Full-batch Adam on the mean log-loss, both classes weighing the same."""
+def train(texts: list[bytes], toxic: np.ndarray, steps: int = 100, rate: float = 0.1) -> Model:
+    """Full-batch Adam on the mean log-loss, clean documents weighing three times as
+    much as toxic ones: what is flagged goes."""
     if not len(texts) or toxic.min() == toxic.max():
         share = float(toxic.mean()) if len(texts) else 0.0
         return Model(np.zeros(BUCKETS, np.float32), float(np.log((share + 0.01) / (1.01 - share))))
@@ -134,7 +135,7 @@ def train(texts: list[bytes], toxic: np.ndarray, steps: int = 120, rate: float =
     gram = np.searchsorted(learned, gram[often[gram]])
     first, last, owner = segment_bounds(np.bincount(text, minlength=len(texts)))
     length = np.maximum(last - first, 1)
-    weight = np.where(toxic == 1, 0.5 / max(1, (toxic == 1).sum()), 0.5 / max(1, (toxic == 0).sum()))
+    weight = np.where(toxic == 1, 0.25 / (toxic == 1).sum(), 0.75 / (toxic == 0).sum())
     vectors = rng.normal(0, 0.1, (len(learned), WIDTH)).astype(np.float32)
     soft = rng.normal(0, 1, WIDTH).astype(np.float32)
     bias = -3.0
