@@ -173,7 +173,11 @@ def masked(docs: DataFrame) -> DataFrame:
     """The documents with each span replaced by its kind in brackets, and ``n_chars``,
     if there is one, as it is then."""
     found = spans(docs)
-    tagged = F.concat(*[F.transform(k, lambda s, k=k: F.struct(s["start"], s["end"], F.lit(f"[{k.upper()}]").alias("tag"))) for k in (*KINDS, "other")])
+
+    def tags_of(kind: str) -> Column:
+        return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{kind.upper()}]").alias("tag")))
+
+    tagged = F.concat(*[tags_of(k) for k in (*KINDS, "other")])
     # Rows that share an id are told apart by their text's hash.
     per_doc = found.select(F.col("doc_id").alias("s_doc"), F.col("text_hash").alias("s_hash"), tagged.alias("tags"))
     per_doc = stored(per_doc.where(F.size("tags") > 0).dropDuplicates(["s_doc", "s_hash"]), "tags")

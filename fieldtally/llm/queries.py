@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from fieldtally.llm import decontamination, language, packing, pii, quality, toxicity
+from fieldtally.llm import decontamination, jaccard, language, packing, pii, quality, toxicity
 
 QUERIES = {
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op4_decontamination": decontamination.op4_decontamination,
+    "op5_ngram_jaccard": jaccard.op5_ngram_jaccard,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_pii": pii.op7_pii,
     "op8_language_id": language.op8_language_id,
