@@ -83,6 +83,13 @@ class Hasher:
         np.cumsum(TABLE[data] * self.powers[: len(data)], out=out[1:])
         return out
 
+    def sums_of(self, values: np.ndarray) -> np.ndarray:
+        """As :meth:`sums`, of 64-bit values in place of bytes."""
+        self._grow(len(values) + 1)
+        out = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * self.powers[: len(values)], out=out[1:])
+        return out
+
     def ranges(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((sums[end] - sums[start]) * self.inverses[start] + (end - start).astype(np.uint64))
 
