@@ -1,11 +1,58 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and gives a DataFrame; all but the last give the
+columns of ``docs``.  The last one's pieces carry doc_id, piece, start, length, ids_crc32,
+sequence_id and offset.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from fieldtally.llm import decontamination, jaccard, language, packing, pii
+from fieldtally.llm.tables import stored
+
+
+def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is clear; ``lang`` is their declaration, ``source`` their host."""
+    return language.accepted(docs)
+
+
+def keep_first_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document (the smallest doc_id) of each group of near copies: five-word
+    shingles, similarity of 0.8 or more."""
+    return jaccard.first_of_each(docs, 5, 80)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark item occurs."""
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind."""
+    return pii.masked(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(docs))
+
+
+STAGES = [
+    ("language_id", keep_known_language),
+    ("ngram_jaccard", keep_first_of_similar),
+    ("decontamination", drop_contaminated),
+    ("pii", mask_personal_data),
+    ("best_fit_packing", pack_sequences),
+]
+
+#: Models, bootstrapping and tokenisation are beyond SQL; tests hold the stages against
+#: brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

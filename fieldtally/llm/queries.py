@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from fieldtally.llm import decontamination, jaccard, language, packing, pii, quality, substrings, toxicity
+from fieldtally.llm import decontamination, jaccard, language, packing, pii, quality, scoring, substrings, toxicity
 
 QUERIES = {
+    "op10_lm_scoring": scoring.op10_lm_scoring,
     "op1_substring_dedup": substrings.op1_substring_dedup,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op4_decontamination": decontamination.op4_decontamination,

@@ -6,13 +6,25 @@ from pyspark.sql import DataFrame
 
 from fieldtally.session import new_folder
 
+#: Has Spark remove a query's shuffle files once the query is done.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def stored(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and go on from the files.
 
     Survives lost executors, and Spark then knows the size, so that it broadcasts only
-    what is small.
+    what is small.  The shuffle files that led there go at once.
     """
-    path = new_folder(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = new_folder(spark, label)
+    before = spark.conf.get(_TIDY, None)
+    spark.conf.set(_TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_TIDY)
+        else:
+            spark.conf.set(_TIDY, before)
+    return spark.read.schema(df.schema).parquet(path)

@@ -179,10 +179,16 @@ def learn(docs: DataFrame, labels: DataFrame, use: F.Column) -> Model:
     told = told.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = told.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE)
-    # At most SAMPLE rows a class.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "toxic")), "doc_id").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
-    return train([(r["text"] or "").encode() for r in rows], np.array([int(r["toxic"]) for r in rows], float))
+    # At most SAMPLE rows a class, so one task holds them.
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "toxic")), "doc_id")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = sorted((d, t or "", y) for b in batches for d, t, y in zip(*(c.to_pylist() for c in b.columns)))
+        model = train([t.encode() for _, t, _ in told], np.array([y for *_, y in told], float))
+        yield pa.RecordBatch.from_arrays([pa.array([model.value.tobytes()]), pa.array([model.bias])], ["value", "bias"])
+
+    found = rows.select("doc_id", "text", F.col("toxic").cast("double")).coalesce(1).mapInArrow(work, "value binary, bias double").first()
+    return Model(np.frombuffer(found["value"], np.float32), found["bias"])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
