@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from fieldtally.llm import decontamination, jaccard, language, packing, pii, quality, scoring, substrings, toxicity
+from fieldtally.llm import decontamination, jaccard, language, packing, pii, quality, scoring, substrings, suffixes, toxicity
 
 QUERIES = {
-    "op10_lm_scoring": scoring.op10_lm_scoring,
     "op1_substring_dedup": substrings.op1_substring_dedup,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op3_suffix_dedup": suffixes.op3_suffix_dedup,
     "op4_decontamination": decontamination.op4_decontamination,
     "op5_ngram_jaccard": jaccard.op5_ngram_jaccard,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_pii": pii.op7_pii,
     "op8_language_id": language.op8_language_id,
     "op9_quality_rules": quality.op9_quality_rules,
+    "op10_lm_scoring": scoring.op10_lm_scoring,
 }
 
 ORACLE_SQL: dict[str, str] = {}

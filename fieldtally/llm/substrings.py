@@ -198,8 +198,8 @@ def dedupe(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if asked for, the kept words."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     named = stored(plain.mapInArrow(lambda b: Reader().named(b), "doc_id long, names array<long>"), "names")
-    shared = shared_names(named)
-    windows = plain.join(shared, plain.doc_id == shared.s_doc).select("doc_id", "text", "shared")
+    shared, _ = shared_names(named, 1)
+    windows = plain.join(shared, plain.doc_id == shared.s_doc).select("doc_id", "text", F.col("shared.name").alias("shared"))
     windows = stored(windows.mapInArrow(lambda b: Reader().candidates(b), "doc_id long, windows array<long>"), "windows")
     each = windows.select("doc_id", F.explode("windows").alias("window"))
     first = stored(
