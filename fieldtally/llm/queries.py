@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from fieldtally.llm import decontamination, jaccard, language, packing, pii, quality, scoring, substrings, suffixes, toxicity
+from fieldtally.llm.sql import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 QUERIES = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
@@ -16,5 +19,3 @@ QUERIES = {
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_lm_scoring": scoring.op10_lm_scoring,
 }
-
-ORACLE_SQL: dict[str, str] = {}
