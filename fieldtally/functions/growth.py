@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from fieldtally import fixed
-from fieldtally.functions.keys import as_column
+from fieldtally.functions.keys import as_column, as_measure
 
 
 def heat_units(t_mean="t_mean", base: float = fixed.BASE_TEMPERATURE) -> Column:
@@ -15,17 +15,17 @@ def heat_units(t_mean="t_mean", base: float = fixed.BASE_TEMPERATURE) -> Column:
 
 def growth_stage(heat, rows=fixed.STAGE_ROWS) -> Column:
     """Stage number of accumulated heat units; a stage starts at its lower bound."""
-    total = as_column(heat)
+    total = as_measure(heat)
     first, *later = rows
-    stage = F.lit(first[0])
+    stage = F.when(total.isNotNull(), F.lit(first[0]))
     for row in later:
         stage = F.when(total >= F.lit(row[1]), F.lit(row[0])).otherwise(stage)
     return stage
 
 
 def _by_stage(heat, position: int) -> Column:
-    total = as_column(heat)
-    value = F.lit(fixed.STAGE_ROWS[-1][position])
+    total = as_measure(heat)
+    value = F.when(total.isNotNull(), F.lit(fixed.STAGE_ROWS[-1][position]))
     for row in reversed(fixed.STAGE_ROWS[:-1]):
         value = F.when(total < F.lit(row[2]), F.lit(row[position])).otherwise(value)
     return value
@@ -49,14 +49,14 @@ def potential_growth(radiation, share, light_use: float = fixed.LIGHT_USE) -> Co
 
 def load_band(load="pest_load", has_crop=True) -> Column:
     """Named band of pest load; the healthy band excludes its upper limit, the
-    light and moderate bands include theirs."""
-    value = as_column(load)
+    light and moderate bands include theirs.  A missing load has no band."""
+    value = as_measure(load)
     return (
         F.when(~as_column(has_crop), "fallow")
         .when(value < fixed.BAND_HEALTHY, "healthy")
         .when(value <= fixed.BAND_LIGHT, "light")
         .when(value <= fixed.BAND_MODERATE, "moderate")
-        .otherwise("overwhelmed")
+        .when(value > fixed.BAND_MODERATE, "overwhelmed")
     )
 
 

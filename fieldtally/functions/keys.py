@@ -24,6 +24,12 @@ def measure(name: str) -> Column:
     return F.when(~F.isnan(value), value)
 
 
+def as_measure(value) -> Column:
+    """As :func:`measure`, of a column, a name or a number."""
+    known = as_column(value).cast("double")
+    return F.when(~F.isnan(known), known)
+
+
 def with_values(df: DataFrame, *columns: str) -> DataFrame:
     """Rows in which none of the columns is missing."""
     kinds = dict(df.dtypes)

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from fieldtally import fixed
-from fieldtally.functions.keys import as_column
+from fieldtally.functions.keys import as_column, as_measure
 
 
 def scheduled_compound(
@@ -20,7 +20,7 @@ def scheduled_compound(
     text, number = as_column(pattern), as_column(season)
     position = F.pmod(number - F.lit(1), F.length(text)) + F.lit(1)
     letter = F.substring(text, position.cast("int"), F.lit(1))
-    cycled = F.when(letter == "B", compound_b).otherwise(compound_a)
+    cycled = F.when(letter == "B", compound_b).when(letter == "A", compound_a)
     return F.when(text != fixed.REACTIVE, cycled).when(number == 1, compound_a)
 
 
@@ -32,10 +32,12 @@ def should_spray(
     threshold=fixed.SPRAY_THRESHOLD,
     cooldown=fixed.SPRAY_COOLDOWN,
 ) -> Column:
-    """Spray decision of a plot day.  The calendar rule has no cooldown."""
+    """Spray decision of a plot day.  The calendar rule has no cooldown.
+
+    Null without a known strategy, and where the threshold rule lacks the load."""
     plan, since = as_column(strategy), as_column(days_since)
     return (
         F.when(plan == "none", F.lit(False))
         .when(plan == "calendar", since >= as_column(interval))
-        .otherwise((since >= as_column(cooldown)) & (as_column(load) > as_column(threshold)))
+        .when(plan == "threshold", (since >= as_column(cooldown)) & (as_measure(load) > as_column(threshold)))
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fieldtally import fixed
 from fieldtally.functions.growth import growth_stage
 from fieldtally.functions.keys import as_column
-from fieldtally.operators.summaries import balanced_season_profit, run_means
+from fieldtally.operators.summaries import balanced_season_profit, run_means, season_summary
 from fieldtally.session import broadcast_if_small
 
 
@@ -75,10 +75,18 @@ def profit_lead(df: DataFrame, ahead: str = "threshold", behind: str = "calendar
     )
 
 
-def labelled_run_means(logs: dict[str, DataFrame], season: int, column: str = "grain_tha") -> DataFrame:
-    """Run means of several logs at one season, one row per log and run."""
+def labelled_run_means(logs: dict[str, DataFrame], season: int | None = None, column: str = "grain_tha") -> DataFrame:
+    """Run means of several logs at one season, one row per log and run; by default at
+    the last season that any of them has."""
     result = None
     for label, log in logs.items():
-        part = run_means(log, [], season, column).withColumn("log", F.lit(label))
+        if season is None:
+            part = season_summary(log, ["run_id"], (column,))
+        else:
+            part = run_means(log, [], season, column)
+        part = part.withColumn("log", F.lit(label))
         result = part if result is None else result.unionByName(part)
+    if season is None:
+        last = result.agg(F.max("season").alias("last"))
+        result = result.join(F.broadcast(last), F.col("season") == F.col("last")).drop("season", "last")
     return result

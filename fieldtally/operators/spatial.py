@@ -18,9 +18,11 @@ def _on_border(value: Column, size: int) -> Column:
 def plot_position(
     x="plot_x", y="plot_y", width: int = fixed.GRID_WIDTH, height: int = fixed.GRID_HEIGHT
 ) -> Column:
-    """Whether a plot lies in a corner, on an edge or inside."""
+    """Whether a plot lies in a corner, on an edge or inside; null without both
+    coordinates."""
     across, down = _on_border(as_column(x), width), _on_border(as_column(y), height)
-    return F.when(across & down, "corner").when(across | down, "edge").otherwise("interior")
+    placed = as_column(x).isNotNull() & as_column(y).isNotNull()
+    return F.when(across & down, "corner").when(placed & (across | down), "edge").when(placed, "interior")
 
 
 def outbreak_ring(
@@ -32,7 +34,13 @@ def outbreak_ring(
     px, py = as_column(x), as_column(y)
     far = F.greatest(F.abs(px - cx), F.abs(py - cy))
     corner = _on_border(px, width) & _on_border(py, height)
-    return F.when(far == 0, "centre").when(far == 1, "neighbour").when(corner, "corner").otherwise("other")
+    placed = px.isNotNull() & py.isNotNull()
+    return (
+        F.when(placed & (far == 0), "centre")
+        .when(placed & (far == 1), "neighbour")
+        .when(placed & corner, "corner")
+        .when(placed, "other")
+    )
 
 
 def neighbour_count(
@@ -100,7 +108,8 @@ def neighbour_agg(
 
     Plots are unique within ``within``; neighbours the frame lacks do not count.
     """
-    cells = _scatter(df, x, y, within, F.col(value), F.col(value), width, height)
+    known = measure(value)
+    cells = _scatter(df, x, y, within, known, known, width, height)
     return (
         cells.groupBy(*within, x, y)
         .agg(

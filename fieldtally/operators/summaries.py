@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from fieldtally import fixed
 from fieldtally.functions.economics import net_profit
-from fieldtally.functions.keys import measure, with_values
+from fieldtally.functions.keys import measure, nan_to_null, with_values
 
 SUMMARY_MEASURES = ("grain_tha", "pest_loss_tha", "resistant_fraction", "spray_count", "cost_per_spray")
 
@@ -34,11 +34,13 @@ def summarize(df: DataFrame, keys: Sequence[str], **aggregates: tuple[str, str]
         if isinstance(spec, Column):
             return spec
         column, function = spec
+        # NaN is missing to every aggregate; of other columns it does not exist.
+        known = measure(column) if dict(df.dtypes).get(column) in ("double", "float") else F.col(column)
         if function in ("mean", "std", "std_pop"):
             return functions[function](measure(column))
         if function == "sum":
-            return F.coalesce(F.sum(column), F.lit(0))
-        return functions[function](column)
+            return F.coalesce(F.sum(known), F.lit(0))
+        return functions[function](known)
 
     return _group(df, keys).agg(*[build(spec).alias(name) for name, spec in aggregates.items()])
 
@@ -124,8 +126,9 @@ def balanced_profit(df: DataFrame, id_cols: Sequence[str], price: float = fixed.
 
 
 def run_total(df: DataFrame, keys: Sequence[str], price: float = fixed.GRAIN_PRICE) -> DataFrame:
-    """Net profit of a run over all its plots and seasons."""
-    return _group(df, ["run_id", *keys]).agg(F.coalesce(F.sum(net_profit(price)), F.lit(0.0)).alias("profit"))
+    """Net profit of a run over all its plots and seasons; rows without a profit are
+    skipped."""
+    return _group(nan_to_null(df), ["run_id", *keys]).agg(F.coalesce(F.sum(net_profit(price)), F.lit(0.0)).alias("profit"))
 
 
 def run_means(df: DataFrame, keys: Sequence[str], season: int, column: str = "grain_tha") -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from fieldtally import fixed
 from fieldtally.functions import growth
 from fieldtally.functions.economics import net_profit, revenue, spray_bill
+from fieldtally.functions.keys import measure, nan_to_null, with_values
 from fieldtally.operators.summaries import season_summary
 
 
@@ -35,7 +36,7 @@ def cumulative_exposure(
     df: DataFrame, keys: Sequence[str] = ("plot_id",), day: str = "day", load: str = "pest_load"
 ) -> DataFrame:
     """Running sum of daily load."""
-    return df.withColumn("cumulative_exposure", F.sum(load).over(_so_far(keys, day)))
+    return df.withColumn("cumulative_exposure", F.sum(measure(load)).over(_so_far(keys, day)))
 
 
 def days_above(
@@ -46,7 +47,7 @@ def days_above(
     threshold: float = fixed.SPRAY_THRESHOLD,
 ) -> DataFrame:
     """Running number of days with a load beyond the threshold."""
-    hit = F.when(F.col(load) > threshold, 1).otherwise(0)
+    hit = F.when(measure(load) > threshold, 1).otherwise(0)
     return df.withColumn("days_above_threshold", F.sum(hit).over(_so_far(keys, day)))
 
 
@@ -91,7 +92,7 @@ def growth_accumulation(df: DataFrame, keys: Sequence[str] = ("plot_id",), day:
 
 def run_seasons(df: DataFrame, keys: Sequence[str] = (), price: float = fixed.GRAIN_PRICE) -> DataFrame:
     """Money and mean resistance of a run's season, over all its plots."""
-    return df.groupBy("run_id", *keys, "season").agg(
+    return with_values(nan_to_null(df), "run_id", *keys, "season").groupBy("run_id", *keys, "season").agg(
         F.coalesce(F.sum(revenue(price=price)), F.lit(0.0)).alias("revenue"),
         F.coalesce(F.sum(spray_bill()), F.lit(0.0)).alias("spray_cost"),
         F.coalesce(F.sum(net_profit(price)), F.lit(0.0)).alias("profit"),

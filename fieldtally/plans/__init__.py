@@ -6,6 +6,7 @@ from fieldtally.plans import (  # noqa: F401
     designs,
     inference,
     joins,
+    missing,
     rows,
     sources,
     streams,

@@ -111,6 +111,10 @@ FROM harvest GROUP BY run_id, strategy, plot_x, plot_y, season"""),
 SELECT run_id, plot_x, plot_y,
        CAST(least(1024, floor(max(pest_loss_tha) / 2 * 1024)) / 1024 AS DOUBLE) AS pest_load
 FROM harvest WHERE season = 3 GROUP BY run_id, plot_x, plot_y"""),
+    "grids": (("harvest",), """
+SELECT run_id, season, plot_x, plot_y,
+       CAST(least(1024, floor(max(pest_loss_tha) / 2 * 1024)) / 1024 AS DOUBLE) AS pest_load
+FROM harvest GROUP BY run_id, season, plot_x, plot_y"""),
     "compounds": ((), """
 SELECT CAST(c AS VARCHAR) AS compound, CAST(e AS DOUBLE) AS efficacy, CAST(s AS DOUBLE) AS selection_pressure,
        CAST(k AS DOUBLE) AS cost

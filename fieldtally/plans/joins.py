@@ -84,10 +84,10 @@ def _profit_lead(spark, folder):
 
 _LOGS = """
 SELECT 'rotation' AS log, run_id, avg(grain_tha) AS grain_tha FROM harvest
-WHERE season = 4 AND strategy = 'calendar' AND pesticide_choice <> 'starfarm' GROUP BY run_id
+WHERE season = (SELECT max(season) FROM harvest) AND strategy = 'calendar' AND pesticide_choice <> 'starfarm' GROUP BY run_id
 UNION ALL
 SELECT 'single', run_id, avg(grain_tha) FROM harvest
-WHERE season = 4 AND strategy = 'calendar' AND pesticide_choice = 'starfarm' GROUP BY run_id"""
+WHERE season = (SELECT max(season) FROM harvest) AND strategy = 'calendar' AND pesticide_choice = 'starfarm' GROUP BY run_id"""
 
 
 def _labelled(spark, folder):
@@ -96,7 +96,7 @@ def _labelled(spark, folder):
         "rotation": log.filter(F.col("pesticide_choice") != "starfarm"),
         "single": log.filter(F.col("pesticide_choice") == "starfarm"),
     }
-    return joins.labelled_run_means(parts, season=4)
+    return joins.labelled_run_means(parts)
 
 
 @plan("j5_cross_log_comparison", sql("SELECT * FROM logs", "harvest", logs=_LOGS))
@@ -122,13 +122,14 @@ def _cross_log_test(spark, folder):
 
 
 @plan("j6_neighbour_mean", sql("""
-SELECT s.run_id, s.plot_x, s.plot_y, s.pest_load, avg(n.pest_load) AS neighbour_value,
+SELECT s.run_id, s.season, s.plot_x, s.plot_y, s.pest_load, round(avg(n.pest_load), 6) AS neighbour_value,
        CAST(count(n.pest_load) AS BIGINT) AS n_neighbours
-FROM snapshot s LEFT JOIN snapshot n ON s.run_id = n.run_id AND abs(s.plot_x - n.plot_x) <= 1
+FROM grids s LEFT JOIN grids n ON s.run_id = n.run_id AND s.season = n.season AND abs(s.plot_x - n.plot_x) <= 1
      AND abs(s.plot_y - n.plot_y) <= 1 AND NOT (s.plot_x = n.plot_x AND s.plot_y = n.plot_y)
-GROUP BY s.run_id, s.plot_x, s.plot_y, s.pest_load""", "snapshot"))
+GROUP BY s.run_id, s.season, s.plot_x, s.plot_y, s.pest_load""", "grids"))
 def _neighbours(spark, folder):
-    return spatial.neighbour_agg(views.snapshot(spark, folder), "pest_load")
+    found = spatial.neighbour_agg(views.grids(spark, folder), "pest_load", ("run_id", "season"))
+    return found.select("run_id", "season", "plot_x", "plot_y", "pest_load", r6("neighbour_value"), "n_neighbours")
 
 
 @plan("j7_stage_lookup", sql("""

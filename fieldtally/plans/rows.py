@@ -185,9 +185,9 @@ def _boundary_decay(spark, folder):
 @plan("c13_scheduled_compound", sql("""
 SELECT run_id, plot_x, plot_y, season, pesticide_choice,
        CASE WHEN substr('ABBB', (season - 1) % 4 + 1, 1) = 'B' THEN 'neonicotinoid' ELSE 'etofenprox' END AS scheduled
-FROM ledger WHERE season >= 1""", "ledger"))
+FROM ledger""", "ledger"))
 def _scheduled(spark, folder):
-    rows = views.ledger(spark, folder).filter("season >= 1")
+    rows = views.ledger(spark, folder)
     return rows.select(
         "run_id", "plot_x", "plot_y", "season", "pesticide_choice",
         schedule.scheduled_compound(F.lit("ABBB"), "season").alias("scheduled"),

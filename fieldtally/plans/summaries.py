@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fieldtally import fixed
 from fieldtally.functions.economics import with_net_profit
 from fieldtally.operators import summaries as ops
 from fieldtally.operators.analysis import analyze
@@ -335,10 +336,10 @@ def _top_conditions(spark, folder):
 
 @plan("so1_labelled_union", sql("""
 SELECT strategy AS log, season, avg(grain_tha) AS grain_tha, CAST(count(*) AS BIGINT) AS n_rows
-FROM harvest WHERE strategy IN ('none', 'calendar') GROUP BY strategy, season""", "harvest"))
+FROM harvest GROUP BY strategy, season""", "harvest"))
 def _labelled_union(spark, folder):
     log = views.harvest(spark, folder)
-    parts = {name: log.filter(F.col("strategy") == name) for name in ("none", "calendar")}
+    parts = {name: log.filter(F.col("strategy") == name) for name in fixed.STRATEGIES}
     return (
         union_logs(parts, "log")
         .groupBy("log", "season")

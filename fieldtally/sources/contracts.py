@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldtally import fixed
+from fieldtally.functions.keys import run_strategy
 
 # Column types of all logs (fixed values); columns not listed are doubles.
 _TYPES = {
@@ -47,6 +48,7 @@ MEASURES = (
     "grain_tha", "pest_loss_tha", "resistant_fraction", "spray_count", "cost_per_spray",
     "pest_load", "end_money",
 )
+INITIAL_STRATEGY = "initial_strategy"
 #: Columns logged live by adaptive runs: they are outcomes, not conditions.
 LIVE_COLUMNS = (
     "strategy", "pesticide_choice", "calendar_interval", "pesticide_threshold", "strategyswap_count",
@@ -69,6 +71,8 @@ class Contract:
     repeats: int = 0
     seasons: int = 0
     plots: int = 1
+    #: Conditions that the file does not spell out, but its run identifiers do.
+    derived: tuple[str, ...] = ()
 
     @property
     def schema(self) -> T.StructType:
@@ -80,8 +84,8 @@ class Contract:
 
     @property
     def keys(self) -> tuple[str, ...]:
-        """Condition columns that stay constant over a run."""
-        return tuple(c for c in self.id_columns if c not in self.live_columns)
+        """Condition columns that stay constant over a run, derived ones last."""
+        return tuple(c for c in self.id_columns if c not in self.live_columns) + self.derived
 
     @property
     def conditions(self) -> int:
@@ -212,7 +216,11 @@ def _build() -> dict[str, Contract]:
         if name.endswith("longterm"):
             core.insert(core.index("pest_loss_tha"), "pest_load")
         found.append(
-            Contract(name, ("run_id", *ids, *core), ids, _live(name, ids), sweep, repeats, seasons, plots)
+            Contract(
+                name, ("run_id", *ids, *core), ids, _live(name, ids), sweep, repeats, seasons, plots,
+                # The strategy a run starts with is swept, the logged one changes.
+                (INITIAL_STRATEGY,) if "strategyswap" in name else (),
+            )
         )
     found.append(
         Contract("harvest_output", ("run_id", "strategy", *PLOT_CORE), ("strategy",), (), {_S: _ALL}, 40, 3)
@@ -261,8 +269,15 @@ def require_columns(df: DataFrame, required: Sequence[str]) -> DataFrame:
 
 
 def present_keys(df: DataFrame, log: Contract) -> list[str]:
-    """Condition columns of the contract that the frame has."""
-    return [c for c in log.id_columns if c in df.columns]
+    """Condition columns of the contract that the frame has; live ones are none."""
+    return [c for c in log.keys if c in df.columns]
+
+
+def with_derived(df: DataFrame, log: Contract) -> DataFrame:
+    """Add the conditions that run identifiers spell out."""
+    if INITIAL_STRATEGY in log.derived and INITIAL_STRATEGY not in df.columns:
+        return df.withColumn(INITIAL_STRATEGY, run_strategy("run_id"))
+    return df
 
 
 def conform(df: DataFrame, log: Contract) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldtally.functions.keys import as_column, nan_to_null
-from fieldtally.sources.contracts import Contract, conform, require_columns
+from fieldtally.sources.contracts import Contract, conform, require_columns, with_derived
 
 CORRUPT = "_corrupt_record"
 
@@ -25,7 +25,7 @@ def read_log(spark: SparkSession, path: str, log: Contract, required: Sequence[s
 
     The header is checked for ``required`` columns (all of the contract's by
     default); types come from the contract and are never inferred.  NaN is read
-    as missing.
+    as missing.  Conditions that only run identifiers spell out become columns.
     """
     header = header_of(spark, path)
     missing = [c for c in (log.columns if required is None else required) if c not in header]
@@ -33,13 +33,14 @@ def read_log(spark: SparkSession, path: str, log: Contract, required: Sequence[s
         raise ValueError(f"{path}: missing columns: {', '.join(missing)}")
     kinds = {f.name: f.dataType for f in log.schema.fields}
     schema = T.StructType([T.StructField(c, kinds.get(c, T.StringType()), True) for c in header])
-    return nan_to_null(
+    rows = (
         spark.read.schema(schema)
         .option("header", True)
         .option("enforceSchema", False)
         .option("nanValue", "NaN")
         .csv(path)
     )
+    return with_derived(nan_to_null(rows), log)
 
 
 def read_dirty_log(spark: SparkSession, path: str, log: Contract) -> DataFrame:
@@ -83,19 +84,19 @@ def union_logs(parts: Mapping[str, DataFrame], label: str = "source") -> DataFra
     return result
 
 
-_CONFIG = r"^sensitivity_output_([a-z]+)_eff(\d+)_inc(\d+)_cost(\d+)\.csv$"
+_CONFIG = r"^(?:.*/)?sensitivity_output_([a-z]+)_eff(\d+)_inc(\d+)_cost(\d+)\.csv(?:/[^/]*)?$"
 
 
 def with_file_config(df: DataFrame, path: Column | str | None = None) -> DataFrame:
     """Add the run configuration that a file name spells out.
 
-    ``path`` defaults to the file each row was read from; names that do not
-    follow the pattern give nulls.
+    ``path`` defaults to the file each row was read from, which may lie in a folder of
+    that name; names that do not follow the pattern give nulls.
     """
     source = F.col("_metadata.file_path") if path is None else as_column(path)
     # One pattern match per row, kept in a column of its own so that it is not
     # repeated for each part; a name that does not match stays in one piece.
-    parts = F.split(F.regexp_replace(F.substring_index(source, "/", -1), _CONFIG, "$1,$2,$3,$4"), ",")
+    parts = F.split(F.regexp_replace(source, _CONFIG, "$1,$2,$3,$4"), ",")
 
     def part(index: int) -> Column:
         return F.when(F.size("_parts") == 4, F.get("_parts", F.lit(index)))

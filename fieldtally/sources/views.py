@@ -94,6 +94,12 @@ def snapshot(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def grids(spark: SparkSession, folder: str) -> DataFrame:
+    """Grid state of every run in every season."""
+    load = F.expr("least(1024, floor(max(pest_loss_tha) / 2 * 1024)) / 1024D")
+    return harvest(spark, folder).groupBy("run_id", "season", "plot_x", "plot_y").agg(load.alias("pest_load"))
+
+
 def compounds(spark: SparkSession) -> DataFrame:
     """Compound dimension: two rows."""
     return spark.createDataFrame(

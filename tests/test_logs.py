@@ -18,6 +18,7 @@ from fieldtally.sources.contracts import (
     register,
     require_columns,
     to_common,
+    with_derived,
 )
 
 GRID = contract("harvest_grid_output")
@@ -132,7 +133,9 @@ def test_source_report(spark, folder):
 
 def test_contract_keys_leave_trajectories_out():
     swaps = contract("sensitivity_output_strategyswap_grid_profit")
-    assert swaps.keys == ("adaptive_strategyswap_profit_mode", "adaptive_strategyswap_resistance_mode")
+    assert swaps.keys == (
+        "adaptive_strategyswap_profit_mode", "adaptive_strategyswap_resistance_mode", "initial_strategy",
+    )
     sequence = contract("sensitivity_output_compound_sequence_grid_calendar")
     assert sequence.keys == ("strategy", "rotation_pattern")
     assert contract("sensitivity_output_decay_grid").keys == ("strategy", "resistance_fitness_cost")
@@ -141,6 +144,20 @@ def test_contract_keys_leave_trajectories_out():
     assert longterm.columns[6:9] == ("grain_tha", "pest_load", "pest_loss_tha")
 
 
+def test_every_swept_column_is_a_key():
+    """Or, where a run logs it live, its first value is."""
+    for log in CONTRACTS.values():
+        missing = set(log.sweep) - set(log.keys)
+        assert missing == ({"strategy"} if log.derived == ("initial_strategy",) else set()), log.name
+
+
+def test_swap_logs_get_their_first_strategy(spark):
+    log = contract("sensitivity_output_strategyswap_grid_profit")
+    rows = spark.createDataFrame([("calendar_3", "none")], "run_id string, strategy string")
+    assert with_derived(rows, log).first()["initial_strategy"] == "calendar"
+    assert with_derived(rows, contract("harvest_grid_output_longterm")).columns == rows.columns
+
+
 def test_unknown_contract_and_own_contract(spark):
     with pytest.raises(KeyError):
         contract("nothing")
