@@ -18,8 +18,6 @@ from fieldtally.session import durable
 #: A value is hot if it holds more than this share of all rows; there can be
 #: at most 1 / HOT_SHARE such values, which bounds what is broadcast.
 HOT_SHARE = 1 / 1000
-#: Pieces a hot value is split into when ranks are joined back.
-SALTS = 32
 
 
 def prefix_counts(hist: DataFrame, by: Sequence[str], value: str, count: str) -> DataFrame:
@@ -45,29 +43,29 @@ def prefix_counts(hist: DataFrame, by: Sequence[str], value: str, count: str) ->
 
 
 def value_ranks(hist: DataFrame, by: Sequence[str], value: str, count: str) -> DataFrame:
-    """Add ``rank``: the mean of the places that the rows of a value take."""
-    return prefix_counts(hist, by, value, count).withColumn(
-        "rank", F.col("before") + (F.col(count) + F.lit(1)) / F.lit(2.0)
+    """Add ``rank``: the mean of the places that the rows of a value take.  Written
+    once, as rank plans are long and their result is read several times."""
+    return durable(
+        prefix_counts(hist, by, value, count).withColumn(
+            "rank", F.col("before") + (F.col(count) + F.lit(1)) / F.lit(2.0)
+        )
     )
 
 
 def join_ranks(rows: DataFrame, ranks: DataFrame, keys: Sequence[str], count: str, extra: Sequence[str]) -> DataFrame:
-    """Attach ``extra`` columns of ``ranks`` (unique on ``keys``) to ``rows``.
+    """Attach ``extra`` columns of ``ranks`` (unique on ``keys``, written) to ``rows``.
 
-    Rows of hot values are dealt over ``SALTS`` pieces and only the hot entries
-    of ``ranks`` are repeated for each piece, so no task gets a whole hot value.
+    Hot values are few by construction, so their ranks are broadcast and their rows
+    stay where they are; all other rows meet their ranks by shuffle.
     """
     total = ranks.agg(F.sum(count)).first()[0] or 0
     limit = F.lit(int(total * HOT_SHARE))
-    hot = ranks.filter(F.col(count) > limit).select(*keys, F.lit(SALTS).alias("_pieces"))
-    pieces = F.when(F.col(count) > limit, F.lit(SALTS)).otherwise(F.lit(1))
-    repeated = ranks.select(*keys, *extra, F.explode(F.sequence(F.lit(0), pieces - 1)).alias("_piece"))
-    others = [c for c in rows.columns if c not in keys] or list(keys)
-    dealt = rows.join(F.broadcast(hot), list(keys), "left").withColumn(
-        "_piece",
-        F.coalesce(F.pmod(F.xxhash64(*others), F.col("_pieces")).cast("int"), F.lit(0)),
-    )
-    return dealt.join(repeated, [*keys, "_piece"]).drop("_piece", "_pieces")
+    entries = ranks.select(*keys, *extra, count)
+    hot = F.broadcast(entries.filter(F.col(count) > limit).drop(count))
+    cold = entries.filter(F.col(count) <= limit).drop(count)
+    popular = rows.join(hot, list(keys))
+    others = rows.join(hot.select(*keys), list(keys), "left_anti").join(cold, list(keys))
+    return popular.unionByName(others)
 
 
 def average_rank(df: DataFrame, by: Sequence[str], value: str, name: str = "rank") -> DataFrame:
