@@ -113,7 +113,7 @@ FROM ({T_P.format(source='welch')}) w, ({NORMAL_P.format(source='u_test')}) u"""
     u_test=U_TEST.format(by="1", group="log", a="rotation", b="single", value="grain_tha", source="logs")))
 def _cross_log_test(spark, folder):
     # A key that is no literal, so that the tests below meet by an equality join.
-    means = _labelled(spark, folder).withColumn("test", F.when(F.col("run_id").isNotNull(), 1))
+    means = _labelled(spark, folder).withColumn("test", F.least(F.length("run_id"), F.lit(1)))
     by_t = welch(means, "log", "rotation", "single", "grain_tha", ["test"])
     by_rank = mann_whitney(means, "log", "rotation", "single", "grain_tha", ["test"])
     pair = by_t.select("test", "n_a", "n_b", r6("mean_diff"), r6("t"), r6("p")).join(
