@@ -14,7 +14,7 @@ import numpy as np
 LENGTH = 32
 OVERLAP = 8
 WIDTH = 16
-CLASSES = 64
+CLASSES = 48
 ROWS = 8192
 OWN = 6144
 #: Width of a random projection.
@@ -115,15 +115,34 @@ def _attend(p: dict[str, np.ndarray], rows: np.ndarray) -> tuple[np.ndarray, ...
     return x + o @ p["o"], x, q, k, v, a, o
 
 
+#: Logits are kept under this, so that exponentials need no running maximum.
+MOST = np.float32(60)
+CAUSAL = np.tri(LENGTH, dtype=np.float32)
+
+
+def hidden(p: dict[str, np.ndarray], rows: np.ndarray) -> np.ndarray:
+    """As the first of :func:`_attend`, for scoring: sums of exponentials come with the
+    product that uses them, as a column of ones beside the values."""
+    x = p["embed"][rows] + p["place"]
+    q, k = x @ (p["q"] * SCALE), np.ascontiguousarray((x @ p["k"]).transpose(0, 2, 1))
+    v = np.ones((*x.shape[:2], WIDTH + 1), np.float32)
+    v[:, :, :WIDTH] = x @ p["v"]
+    a = np.matmul(q, k)
+    np.minimum(a, MOST, out=a)
+    np.exp(a, out=a)
+    a *= CAUSAL
+    o = np.matmul(a, v)
+    return x + (o[:, :, :WIDTH] / o[:, :, WIDTH:]) @ p["o"]
+
+
 def class_scores(p: dict[str, np.ndarray], rows: np.ndarray, wanted: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """log10 probability of the classes at the wanted places of the windows."""
-    hidden = _attend(p, rows)[0][wanted]
-    logits = hidden @ p["out"]
+    logits = hidden(p, rows)[wanted] @ p["out"]
     logits += p["bias"]
-    logits -= logits.max(axis=1, keepdims=True)
+    np.minimum(logits, MOST, out=logits)
     own = logits[np.arange(len(classes)), classes]
     np.exp(logits, out=logits)
-    return (own - np.log(logits.sum(axis=1))) * np.float32(np.log10(np.e))
+    return (own - np.log(logits @ np.ones(CLASSES, np.float32))) * np.float32(np.log10(np.e))
 
 
 def gradient(p: dict[str, np.ndarray], rows: np.ndarray, classes: np.ndarray, real: np.ndarray, into: dict[str, np.ndarray]) -> float:
@@ -192,7 +211,7 @@ def window_places(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return begin[text] + nth * step, begin[text + 1], np.where(nth > 0, OVERLAP, 0)
 
 
-def score(p: dict[str, np.ndarray], vocabulary: Vocabulary, ids: np.ndarray, before: np.ndarray, lengths: np.ndarray, batch: int = 256) -> np.ndarray:
+def score(p: dict[str, np.ndarray], vocabulary: Vocabulary, ids: np.ndarray, before: np.ndarray, lengths: np.ndarray, batch: int = 128) -> np.ndarray:
     """log10 probability of each text: ``ids`` of all texts in a row, ``before`` the id
     that each follows."""
     classes, rows = vocabulary.of[ids], vocabulary.row[before]

@@ -101,7 +101,9 @@ def matches(docs: DataFrame, of_items: DataFrame) -> DataFrame:
     )
     by_doc = candidates.groupBy(F.col("doc_id").alias("c_doc")).agg(F.collect_set(F.struct("start", "window")).alias("c"))
     by_doc = stored(by_doc, "candidates")
-    verified = texts.join(by_doc, F.col("doc_id").eqNullSafe(F.col("c_doc"))).select(
+    # Whole texts are dealt by id, and cut into words after.
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(by_doc, F.col("doc_id").eqNullSafe(F.col("c_doc")))
+    verified = whole.select("doc_id", "c", words(F.col("text")).alias("w")).select(
         "doc_id",
         F.explode(
             F.filter("c", lambda c: F.slice(F.col("w"), c["start"] + 1, F.size(c["window"])) == c["window"])
@@ -143,7 +145,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no window of the benchmark occurs, unchanged."""
     hit = stored(matches(docs, stored(windows(benchmark), "windows")).select(F.col("doc_id").alias("hit_doc")).distinct(), "hit")
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_doc")), "left_anti")
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["hit_doc"]), "left_anti")
 
 
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:

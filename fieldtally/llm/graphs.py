@@ -19,19 +19,19 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = stored(
         links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct(), "edges"
     )
-    before = None
-    while True:
+    unfinished = True
+    while unfinished:
         both = edges.union(edges.select("v", "u"))
         lowest = stored(both.groupBy("u").agg(F.least("u", F.min("v")).alias("low")), "lowest")
         moved = both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
         edges = stored(moved.where("u != v").distinct(), "edges")
-        lowest = stored(edges.groupBy("u").agg(F.min("v").alias("low")), "lowest")
+        lowest = edges.groupBy("u").agg(F.min("v").alias("low"))
         down = edges.join(lowest, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u != v")
         edges = stored(down.union(lowest.select("u", F.col("low").alias("v"))).distinct(), "edges")
-        now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if now == before:
-            break
-        before = now
+        # Stars: every node has one smaller neighbour or only larger ones.
+        sides = edges.select(F.col("u").alias("node"), F.lit(1).alias("up")).union(edges.select("v", F.lit(0)))
+        seen = sides.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("least"))
+        unfinished = not seen.where("ups > 1 or (ups = 1 and least = 0)").isEmpty()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(
         edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     )

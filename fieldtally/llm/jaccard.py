@@ -24,8 +24,8 @@ inequality leaves open are compared in the end.
 Shingles are 64-bit hashes: within a pair of sets two different shingles are taken for
 one with a probability of about 1e-13.  Null and empty texts have no shingles, are linked with
 nothing and are their own group; a text of fewer words than a shingle is one shingle.
-A doc_id that comes twice is one document in several rows.  A null doc_id takes part and can be
-no group's id unless it is alone.  An empty table gives an empty result.
+A doc_id that comes twice is one document in several rows.  A row with a null doc_id
+is linked with nothing.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,18 +42,23 @@ from fieldtally.llm.tables import stored
 from fieldtally.llm.text import Hasher, LOWER, blocks, mix, shingles, signed, word_bounds
 
 #: Rounds of comparisons with one other node.
-ROUNDS = 5
+ROUNDS = 3
+#: Least number of shingles by which a prefix is longer than necessary: short sets are
+#: taken whole, so that a common line in them joins nothing.
+EXTRA = 24
+#: Nodes of a block.
+TOGETHER = 64
 #: Seeds of the orders by hash: of the prefixes, then of the checks on pairs.
 ORDERS = (11, 12, 13)
 
 
-def missing(n, percent: int):
+def missing(n: int, percent: int) -> int:
     """Most shingles that a set of ``n`` can have outside a similar one."""
     return n - (percent * n + 99) // 100
 
 
-def prefix_size(n, percent: int, least=min):
-    return least(n, missing(n, percent) + 1 + n // 20)
+def prefix_size(n: int, percent: int) -> int:
+    return min(n, missing(n, percent) + 1 + max(n // 20, EXTRA))
 
 
 class Sets:
@@ -116,36 +121,40 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return plain.mapInArrow(work, "doc_id long, n long, node long, prefix array<long>")
 
 
-def compare(pairs: DataFrame, texts: DataFrame, size: int, percent: int, filters: bool = True) -> DataFrame:
-    """a, b, similarity, exact and linked of pairs (a, b).  Of a pair that a filter
-    sends away, the similarity is a bound from above and not exact."""
+_COMPARED = "a long, b long, similarity double, exact boolean, linked boolean"
+
+
+def judge(x: np.ndarray, y: np.ndarray, percent: int, filters: bool) -> tuple[float, bool, bool]:
+    """Similarity, whether it is exact (else a bound from above), and linked."""
+    least, most = sorted((len(x), len(y)))
+    if 100 * least < percent * most:
+        return least / most, False, False
+    if filters and not all(
+        np.isin(_first(x, missing(len(x), percent) + 1, o), _first(y, missing(len(y), percent) + 1, o)).any() for o in ORDERS[1:]
+    ):
+        return percent / 100, False, False
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    union = least + most - common
+    return common / max(union, 1), True, union > 0 and 100 * common >= percent * union
+
+
+def _judged(a: list[int], b: list[int], told: list[tuple[float, bool, bool]]) -> list[pa.Array]:
+    similarity, exact, linked = zip(*told) if told else ((), (), ())
+    return [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(similarity, pa.float64()), pa.array(exact, pa.bool_()), pa.array(linked, pa.bool_())]
+
+
+def compare(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """a, b, similarity, exact and linked of pairs (a, b), few of each node."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Sets(size)
         for batch in batches:
             for first in range(0, batch.num_rows, 64):
                 some = batch.slice(first, 64)
-                sides = [[s for _, _, data, at in blocks(some.column(c)) for s in sets.of(data, at)] for c in ("text_a", "text_b")]
-                similarity, exact, linked = [], [], []
-                for x, y in zip(*sides):
-                    least, most = sorted((len(x), len(y)))
-                    common, bound = 0, None
-                    if 100 * least < percent * most:
-                        bound = least / most
-                    elif filters and not all(
-                        np.isin(_first(x, missing(len(x), percent) + 1, o), _first(y, missing(len(y), percent) + 1, o)).any()
-                        for o in ORDERS[1:]
-                    ):
-                        bound = percent / 100
-                    else:
-                        common = len(np.intersect1d(x, y, assume_unique=True))
-                    union = least + most - common
-                    similarity.append(common / max(union, 1) if bound is None else bound)
-                    exact.append(bound is None)
-                    linked.append(bound is None and union > 0 and 100 * common >= percent * union)
+                x, y = ([s for _, _, data, at in blocks(some.column(c)) for s in sets.of(data, at)] for c in ("text_a", "text_b"))
+                told = [judge(p, q, percent, True) for p, q in zip(x, y)]
                 yield pa.RecordBatch.from_arrays(
-                    [some.column("a"), some.column("b"), pa.array(similarity, pa.float64()), pa.array(exact, pa.bool_()), pa.array(linked, pa.bool_())],
-                    ["a", "b", "similarity", "exact", "linked"],
+                    _judged(some.column("a").to_pylist(), some.column("b").to_pylist(), told), ["a", "b", "similarity", "exact", "linked"]
                 )
 
     joined = (
@@ -154,7 +163,35 @@ def compare(pairs: DataFrame, texts: DataFrame, size: int, percent: int, filters
         .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         .select("a", "b", "text_a", "text_b")
     )
-    return stored(joined.mapInArrow(work, "a long, b long, similarity double, exact boolean, linked boolean"), "compared")
+    return stored(joined.mapInArrow(work, _COMPARED), "compared")
+
+
+def compare_in_blocks(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """As :func:`compare`, all exact, for nodes in many pairs: nodes that pairs connect are
+    dealt into blocks, and a text goes to each pair of blocks once, not to each pair."""
+
+    def work(told: pa.Table, held: pa.Table) -> pa.Table:
+        sets, of = Sets(size), {}
+        held = held.combine_chunks()
+        nodes = held.column("node").to_pylist()
+        column = held.column("text").combine_chunks()
+        for first, last, data, at in blocks(column):
+            of |= zip(nodes[first:last], sets.of(data, at))
+        a, b = told.column("a").to_pylist(), told.column("b").to_pylist()
+        found = [judge(of[p], of[q], percent, False) for p, q in zip(a, b)]
+        return pa.table(_judged(a, b, found), ["a", "b", "similarity", "exact", "linked"])
+
+    family = stored(components(pairs), "families")
+    members = stored(family.groupBy("label").agg(F.count(F.lit(1)).alias("members")), "members")
+    placed = stored(
+        family.join(members, "label").select("node", "label", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / TOGETHER)).alias("block")), "placed"
+    )
+    side = lambda s: placed.select(F.col("node").alias(s), F.col("block").alias(f"block_{s}"), *(["label"] if s == "a" else []))
+    told = stored(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b"), "told")
+    keys = ["label", "block_a", "block_b"]
+    needed = told.select(F.col("a").alias("node"), *keys).union(told.select(F.col("b").alias("node"), *keys)).distinct()
+    held = stored(needed.join(texts, "node"), "held")
+    return stored(told.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(work, _COMPARED), "compared")
 
 
 def _round_key(node: Column, turn: int) -> Column:
@@ -171,7 +208,7 @@ def _labelled(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
 def node_groups(docs: DataFrame, signed_docs: DataFrame, size: int, percent: int) -> DataFrame:
     """node and label of the nodes that are linked with another."""
     spark = docs.sparkSession
-    tokens = signed_docs.where("n > 0").select("node", "n", F.explode("prefix").alias("token"))
+    tokens = signed_docs.select("node", "n", F.explode("prefix").alias("token"))
     shared = stored(
         tokens.groupBy("token")
         .agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("often"))
@@ -187,7 +224,7 @@ def node_groups(docs: DataFrame, signed_docs: DataFrame, size: int, percent: int
     n = F.col("n")
 
     def need(of: Column) -> Column:
-        return F.least(of, missing_sql(of) + 1 + F.floor(of / 20)) - missing_sql(of)
+        return F.least(of, missing_sql(of) + 1 + F.greatest(F.floor(of / 20), F.lit(EXTRA))) - missing_sql(of)
 
     def missing_sql(of: Column) -> Column:
         return of - F.floor((percent * of + 99) / 100)
@@ -205,7 +242,7 @@ def node_groups(docs: DataFrame, signed_docs: DataFrame, size: int, percent: int
     # One text of each node.
     nodes = buckets.select("node").distinct()
     firsts = stored(
-        signed_docs.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("first_id")).where("first_id is not null"), "firsts"
+        signed_docs.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("first_id")), "firsts"
     )
     texts = stored(
         docs.select(F.col("doc_id").cast("long").alias("first_id"), "text").join(firsts, "first_id").select("node", "text").dropDuplicates(["node"]), "texts"
@@ -263,7 +300,7 @@ def node_groups(docs: DataFrame, signed_docs: DataFrame, size: int, percent: int
     pairs = facing.select(F.col("pivot_a").alias("a"), F.col("pivot_b").alias("b"))
     # Distances count now: pairs that only a filter has judged are compared as well.
     known = compared.where("exact")
-    new = compare(stored(pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"), "pairs"), texts, size, percent, filters=False)
+    new = compare_in_blocks(stored(pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"), "pairs"), texts, size, percent)
     compared = stored(known.union(new), "compared")
     labels = stored(components(compared.where("linked")), "labels")
 
@@ -284,22 +321,23 @@ def node_groups(docs: DataFrame, signed_docs: DataFrame, size: int, percent: int
         .distinct()
         .join(compared.select("a", "b"), ["a", "b"], "left_anti")
     )
-    new = compare(stored(pairs, "pairs"), texts, size, percent)
+    new = compare_in_blocks(stored(pairs, "pairs"), texts, size, percent)
     return components(compared.union(new).where("linked"))
 
 
 def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id reached by links."""
     rows = stored(signatures(docs, size, percent), "signatures")
-    labels = stored(node_groups(docs, rows, size, percent), "labels")
-    named = rows.select("doc_id", "n", "node")
-    filled = named.where("n > 0").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    linkable = rows.where("n > 0 and doc_id is not null")
+    labels = stored(node_groups(docs, linkable, size, percent), "labels")
+    filled = linkable.select("doc_id", "n", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     filled = stored(filled.select("doc_id", "n", "label"), "filled")
     first = stored(filled.groupBy("label").agg(F.min("doc_id").alias("component_id")), "first")
+    alone = rows.where("n = 0 or doc_id is null")
     return (
         filled.join(first, "label")
         .select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-        .union(named.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+        .union(alone.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
     )
 
 
@@ -307,7 +345,7 @@ def first_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFram
     """The first document of each group, unchanged."""
     found = join(docs, size, percent)
     gone = stored(found.where("doc_id != component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    return docs.join(gone, docs.doc_id == F.col("gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
 
 
 def op5_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -207,7 +207,8 @@ def accepted(docs: DataFrame) -> DataFrame:
     """The documents whose language is clear, unchanged."""
     found = identify(docs.select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host")), learn(docs))
     rejected = found.where("rejected").select(F.col("id").alias("rejected_id")).distinct()
-    return docs.join(durable(rejected), docs.doc_id == F.col("rejected_id"), "left_anti")
+    rejected = durable(rejected)
+    return docs.join(rejected, docs["doc_id"] == rejected["rejected_id"], "left_anti")
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:

@@ -19,10 +19,10 @@ where a run begins or the match before ended, which is where the leftmost match
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldtally.llm.tables import stored
+from fieldtally.llm.tables import stored, unused
 
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
@@ -41,26 +41,13 @@ TURNS = 4
 _SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
-def _spans(text: Column, pattern: str) -> Column:
-    """Start, end and value of each match: gaps and matches take turns."""
+def _matches(kind: str, needed: Column, text: Column, pattern: str) -> Column:
+    """Each match of a kind in order, with the length of the gap before it."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
-
-    def step(done: Column, pair: Column) -> Column:
-        begin = done["at"] + F.length(pair["gap"])
-        end = begin + F.length(pair["value"])
-        return F.struct(
-            end.alias("at"),
-            F.concat(done["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), pair["value"].alias("value")))).alias("out"),
-        )
-
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
-    return F.aggregate(pairs, start, step, lambda done: done["out"])
-
-
-def _where(needed: Column, text: Column, pattern: str) -> Column:
-    return F.when(needed, _spans(text, pattern)).otherwise(F.array().cast(_SPAN))
+    one = lambda g, v: F.struct(F.lit(kind).alias("kind"), F.length(g).alias("gap"), F.length(v).alias("size"), v.alias("value"))
+    empty = F.array().cast("array<struct<kind:string,gap:int,size:int,value:string>>")
+    return F.when(needed, F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, one)).otherwise(empty)
 
 
 def _luhn(digits: Column) -> Column:
@@ -73,43 +60,42 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), size), F.lit(0), add) % 10 == 0
 
 
-def _card(span: Column) -> Column:
-    digits = F.regexp_replace(span["value"], "[^0-9]", "")
-    return F.when(F.length(digits).between(13, 19), _luhn(digits)).otherwise(F.lit(False))
+def _digits(value: Column) -> Column:
+    return F.regexp_replace(value, "[^0-9]", "")
 
 
-def base(text: Column) -> dict[str, Column]:
-    """Spans of the base kinds."""
+def _valid(kind: Column, value: Column) -> Column:
+    """Whether a match passes its kind's checks."""
+    size = F.length(_digits(value))
+    card = F.when(size.between(13, 19), _luhn(_digits(value))).otherwise(F.lit(False))
+    ip = value.rlike(f"^{PART}(?:\\.{PART}){{3}}$")
+    return F.when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", size.between(9, 15)).otherwise(F.lit(True))
+
+
+def _all_matches(text: Column) -> Column:
     digit = text.rlike("[0-9]")
-    phone = lambda s: F.length(F.regexp_replace(s["value"], "[^0-9]", "")).between(9, 15)
-    return {
-        "email": _where(F.contains(text, F.lit("@")), text, EMAIL),
-        "ip": F.filter(_where(digit & F.contains(text, F.lit(".")), text, IP), lambda s: s["value"].rlike(f"^{PART}(?:\\.{PART}){{3}}$")),
-        "card": F.filter(_where(digit, text, CARD), _card),
-        "phone": F.filter(_where(F.contains(text, F.lit("+")), text, PHONE), phone),
-    }
-
-
-def _contexts(text: Column) -> Column:
-    """Start, end, value and context of what may be an identifier."""
-    named = F.transform(
-        _where(F.contains(text, F.lit("=")) | F.contains(text, F.lit(":")), text, NAMED),
-        lambda s: F.struct(
-            (s["end"] - F.length(F.regexp_extract(s["value"], "[A-Za-z0-9_+/-]+$", 0))).alias("start"),
-            s["end"].alias("end"),
-            F.regexp_extract(s["value"], "[A-Za-z0-9_+/-]+$", 0).alias("value"),
-            F.regexp_replace(F.lower(F.regexp_extract(s["value"], "^[A-Za-z0-9_-]+ ?[=:]", 0)), " ", "").alias("context"),
-        ),
-    )
-    capitals = F.transform(
-        _where(text.rlike("[A-Z0-9]{16}"), text, CAPITALS),
-        lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.substring(s["value"], 1, 4).alias("context")),
+    has = lambda c: F.contains(text, F.lit(c))
+    return F.concat(
+        _matches("email", has("@"), text, EMAIL),
+        _matches("ip", digit & has("."), text, IP),
+        _matches("card", digit, text, CARD),
+        _matches("phone", has("+"), text, PHONE),
+        _matches("named", has("=") | has(":"), text, NAMED),
+        _matches("capitals", text.rlike("[A-Z0-9]{16}"), text, CAPITALS),
     )
-    return F.concat(named, capitals)
+
+
+def _near(placed: DataFrame) -> DataFrame:
+    """row, start, end, value and context of what may be an identifier."""
+    value = F.regexp_extract("value", "[A-Za-z0-9_+/-]+$", 0)
+    name = F.regexp_replace(F.lower(F.regexp_extract("value", "^[A-Za-z0-9_-]+ ?[=:]", 0)), " ", "")
+    named = placed.where("kind = 'named'").select("row", (F.col("end") - F.length(value)).alias("start"), "end", value.alias("value"), name.alias("context"))
+    capitals = placed.where("kind = 'capitals'").select("row", "start", "end", "value", F.substring("value", 1, 4).alias("context"))
+    return named.union(capitals)
 
 
 def _random_looking(value: Column) -> Column:
-    digits = F.length(F.regexp_replace(value, "[^0-9]", ""))
+    digits = F.length(_digits(value))
     letters = F.length(F.regexp_replace(value, "[^A-Za-z]", ""))
     return (F.length(value) >= 16) & (digits >= 2) & (letters >= 2)
 
@@ -145,22 +131,34 @@ def spans(docs: DataFrame) -> DataFrame:
     (``other``), without those that overlap a base span."""
     text = F.col("t")
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
-    found = found.select("doc_id", F.xxhash64("t").alias("text_hash"), *[c.alias(k) for k, c in base(text).items()], _contexts(text).alias("near"))
-    found = stored(found.withColumn("row", F.monotonically_increasing_id()), "spans")
-    near = found.where(F.size("near") > 0).select(
-        "row", F.explode("near").alias("n"), F.concat(*KINDS).alias("base")
-    ).select("row", "n.*", F.exists("base", lambda b: (b["start"] < F.col("n.end")) & (b["end"] > F.col("n.start"))).alias("known"))
-    near = stored(near, "near")
+    found = found.select("doc_id", F.xxhash64("t").alias("text_hash"), _all_matches(text).alias("m"))
+    found = stored(found.withColumn("row", F.monotonically_increasing_id()), "matches")
+    # Gaps and matches take turns; a window holds the matches of one text and kind.
+    before = Window.partitionBy("row", "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    each = found.where(F.size("m") > 0).select("row", F.posexplode("m").alias("pos", "m")).select("row", "pos", "m.*")
+    each = each.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(before).cast("int"))
+    placed = each.where(_valid(F.col("kind"), F.col("value"))).select("row", "kind", (F.col("end") - F.col("size")).alias("start"), "end", "value")
+    placed = stored(placed, "placed")
+    span = F.struct("start", "end", "value")
+    by_row = placed.where(F.col("kind").isin(*KINDS)).groupBy(F.col("row").alias("b_row")).agg(
+        *[F.sort_array(F.collect_list(F.when(F.col("kind") == k, span))).alias(k) for k in KINDS]
+    )
+    by_row = stored(by_row, "base")
+    known = F.exists(F.concat(*KINDS), lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
+    near = _near(placed).join(by_row, F.col("row") == F.col("b_row"), "left")
+    near = stored(near.select("row", "start", "end", "value", "context", F.coalesce(known, F.lit(False)).alias("known")), "near")
     graph = near.groupBy("context", "value").agg(F.max(F.col("known") | _random_looking(F.col("value"))).alias("seed"))
     sure = stored(score(stored(graph, "graph")), "sure")
     other = (
         near.where(~F.col("known"))
         .join(sure, "context")
         .groupBy(F.col("row").alias("o_row"))
-        .agg(F.sort_array(F.collect_set(F.struct("start", "end", "value"))).alias("other"))
+        .agg(F.sort_array(F.collect_set(span)).alias("other"))
     )
-    return found.join(stored(other, "other"), F.col("row") == F.col("o_row"), "left").select(
-        "doc_id", "text_hash", *KINDS, F.coalesce("other", F.array().cast(_SPAN)).alias("other")
+    none = F.array().cast(_SPAN)
+    whole = found.select("row", "doc_id", "text_hash").join(by_row, F.col("row") == F.col("b_row"), "left")
+    return whole.join(stored(other, "other"), F.col("row") == F.col("o_row"), "left").select(
+        "doc_id", "text_hash", *[F.coalesce(k, none).alias(k) for k in (*KINDS, "other")]
     )
 
 
@@ -181,7 +179,10 @@ def masked(docs: DataFrame) -> DataFrame:
     # Rows that share an id are told apart by their text's hash.
     per_doc = found.select(F.col("doc_id").alias("s_doc"), F.col("text_hash").alias("s_hash"), tagged.alias("tags"))
     per_doc = stored(per_doc.where(F.size("tags") > 0).dropDuplicates(["s_doc", "s_hash"]), "tags")
-    keyed = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    # Names that the documents do not have.
+    own_id, own_hash, s_doc, s_hash, tags = (unused(docs, n) for n in ("own_id", "own_hash", "s_doc", "s_hash", "tags"))
+    per_doc = per_doc.toDF(s_doc, s_hash, tags)
+    keyed = docs.withColumn(own_id, F.col("doc_id").cast("long")).withColumn(own_hash, F.xxhash64(F.coalesce("text", F.lit(""))))
     text = F.coalesce(F.col("text"), F.lit(""))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -192,12 +193,11 @@ def masked(docs: DataFrame) -> DataFrame:
             F.when(s["start"] >= done["at"], fresh).otherwise(done["out"]).alias("out"),
         )
 
-    tags = F.sort_array("tags")
-    changed = F.aggregate(tags, start, step, lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
-    out = keyed.join(per_doc, F.col("_id").eqNullSafe(F.col("s_doc")) & (F.col("_hash") == F.col("s_hash")), "left")
-    out = out.withColumn("text", F.when(F.col("s_hash").isNull(), F.col("text")).otherwise(changed))
+    changed = F.aggregate(F.sort_array(tags), start, step, lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
+    out = keyed.join(per_doc, F.col(own_id).eqNullSafe(F.col(s_doc)) & (F.col(own_hash) == F.col(s_hash)), "left")
+    out = out.withColumn("text", F.when(F.col(s_hash).isNull(), F.col("text")).otherwise(changed))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("s_hash").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        out = out.withColumn("n_chars", F.when(F.col(s_hash).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(*docs.columns)
 
 

@@ -28,3 +28,11 @@ def stored(df: DataFrame, label: str = "stage") -> DataFrame:
         else:
             spark.conf.set(_TIDY, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

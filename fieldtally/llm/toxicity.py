@@ -207,8 +207,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def fold(doc_id: F.Column, folds: int) -> F.Column:
-    """crc32 of the id as text, modulo ``folds``."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % folds
+    """crc32 of the id as text, modulo ``folds``; 1 for a null id."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds, F.lit(1))
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
