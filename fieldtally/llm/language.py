@@ -13,8 +13,8 @@ Null text is an empty text: only the other evidence speaks.  A null address or
 declaration is a value of its own ("").  A text without letters, or one whose best
 language stays under ``CONFIDENT``, is rejected.  Repeated rows are judged each by
 itself; equal posteriors go to the language first in the alphabet.  An empty table gives
-an empty result; without labelled documents nothing can be learned, which is an error
-for a table that has rows.  Other input columns are left alone by :func:`accepted`.
+an empty result; without labelled documents nothing can be told: the language is null and
+nothing is rejected.  Other input columns are left alone by :func:`accepted`.
 """
 
 from __future__ import annotations
@@ -105,6 +105,11 @@ def identify(rows: DataFrame, model: Model) -> DataFrame:
     """
     spark, names, table = rows.sparkSession, model.languages, model.table
     each = range(len(names))
+    if not names:
+        return rows.select(
+            F.col("id").cast("long"), *[F.lit(None).cast(t).alias(c) for c, t in (("language", "string"), ("confidence", "double"), ("text_language", "string"), ("n_grams", "long"))],
+            F.lit(False).alias("rejected"),
+        )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(names, table)
@@ -178,8 +183,6 @@ def identify(rows: DataFrame, model: Model) -> DataFrame:
         top = F.greatest(*[F.col(f"{prefix}{k}") for k in each]) if len(names) > 1 else F.col(f"{prefix}0")
         return F.coalesce(*[F.when(F.col(f"{prefix}{k}") == top, F.lit(names[k])) for k in each])
 
-    if not names:
-        return spark.createDataFrame([], "id long, language string, confidence double, text_language string, n_grams long, rejected boolean")
     top = F.greatest(*[F.col(f"e{k}") for k in each]) if len(names) > 1 else F.col("e0")
     confidence = 1 / sum((F.exp(F.col(f"e{k}") - top) for k in each), F.lit(0.0))
     return joined.select(
