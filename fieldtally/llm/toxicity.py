@@ -188,6 +188,8 @@ def learn(docs: DataFrame, labels: DataFrame, use: F.Column) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array([model.value.tobytes()]), pa.array([model.bias])], ["value", "bias"])
 
     found = rows.select("doc_id", "text", F.col("toxic").cast("double")).coalesce(1).mapInArrow(work, "value binary, bias double").first()
+    if found is None:
+        return train([], np.zeros(0))
     return Model(np.frombuffer(found["value"], np.float32), found["bias"])
 
 
