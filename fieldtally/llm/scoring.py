@@ -1,10 +1,10 @@
 """Language-model scoring of documents.
 
 One pass over the texts to learn from gathers the counts of all words and of all subword
-ids, and from each text one window of ids at a place set by its doc_id.  A causal
-self-attention model (:mod:`attention`) is trained on these windows: shards of them are
-trained on at the same time, and their parameters averaged, twice.  A second pass scores every
-text: in overlapping windows, each token once.
+ids, and all windows of ids of each text.  A causal self-attention model (:mod:`attention`)
+is trained on these windows: shards of them are trained on at the same time, and their
+parameters averaged, twice.  A second pass scores every text.  Both learn and score in
+overlapping windows, each token once.
 
 Beside the model's score stands that of words alone.  Counts of the ``POPULAR`` most
 frequent words travel to all tasks, whatever the corpus size; those of all others are
@@ -40,6 +40,10 @@ PART = 4096
 #: End of a text, which also stands before its first token.
 END_ID = 50256
 IDS = 50257
+#: Stands in a window's record where its text has ended.
+VOID = 0xFFFF
+#: Windows that are cut at once.
+CUT = 1 << 15
 
 
 def held_out(doc_id: F.Column) -> F.Column:
@@ -57,18 +61,38 @@ def _tokens(encode: Encoder, texts: list[str]) -> tuple[np.ndarray, np.ndarray,
     return ids, before, lengths
 
 
+def cut(ids: np.ndarray, before: np.ndarray, lengths: np.ndarray, names: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All windows of texts in a row as keys, which deal them out, and records: how many
+    tokens at the front only serve as context, the id before the window, its ids."""
+    ends = np.cumsum(lengths)
+    all_first, all_end, all_context = attention.window_places(lengths)
+    for at in range(0, len(all_first), CUT):
+        first, end, context = (x[at : at + CUT] for x in (all_first, all_end, all_context))
+        where = first[:, None] + np.arange(attention.LENGTH)
+        record = np.empty((len(first), attention.LENGTH + 2), "<u2")
+        record[:, 0], record[:, 1] = context, before[first]
+        record[:, 2:] = np.where(where < end[:, None], ids[np.minimum(where, len(ids) - 1)], VOID)
+        text = np.searchsorted(ends, first, side="right")
+        place = (first - ends[text] + lengths[text]).astype(np.uint64)
+        yield signed(mix(mix(names[text].view(np.uint64), 4) + place, 5)), record
+
+
 def gather(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """Rows of kind 0 (hash and count of words), 1 (id and count) and 2 (a window of ids),
-    from the texts to learn from."""
+    """Rows of kind 0 (hash and count of words), 1 (id and count) and 2 (key and record of a
+    window of ids), from the texts to learn from."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, encode = Hasher(), Encoder(vocabulary)
         id_counts = np.zeros(IDS, np.int64)
         words, counts, size = [], [], 0
 
-        def rows(kind: int, key: np.ndarray, n: np.ndarray, windows: list[bytes] | None = None) -> pa.RecordBatch:
+        def rows(kind: int, key: np.ndarray, n: np.ndarray, records: np.ndarray | None = None) -> pa.RecordBatch:
+            windows = pa.nulls(len(key), pa.binary())
+            if records is not None:
+                offsets = np.arange(len(key) + 1, dtype=np.int32) * np.int32(records.itemsize * records.shape[1])
+                windows = pa.Array.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(offsets), pa.py_buffer(records)])
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(n), pa.array(windows or [None] * len(key), pa.binary())],
+                [pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(n), windows],
                 ["kind", "key", "n", "ids"],
             )
 
@@ -93,12 +117,8 @@ def gather(docs: DataFrame, vocabulary: str) -> DataFrame:
                 ids, before, lengths = _tokens(encode, pc.fill_null(some.column("text"), "").to_pylist())
                 id_counts += np.bincount(ids, minlength=IDS)
                 names = some.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-                room = np.maximum(1, lengths - attention.LENGTH + 1).astype(np.uint64)
-                shift = (mix(names.view(np.uint64), 3) % room).astype(np.int64)
-                start = np.cumsum(lengths) - lengths + shift
-                end = np.minimum(start + attention.LENGTH, np.cumsum(lengths))
-                windows = [np.append(before[a], ids[a:b]).astype("<u4").tobytes() for a, b in zip(start.tolist(), end.tolist())]
-                yield rows(2, signed(mix(names.view(np.uint64), 4)), lengths, windows)
+                for key, records in cut(ids, before, lengths, names):
+                    yield rows(2, key, np.ones(len(key), np.int64), records)
         if words:
             yield merged()
         seen = np.flatnonzero(id_counts)
@@ -107,15 +127,14 @@ def gather(docs: DataFrame, vocabulary: str) -> DataFrame:
     return docs.mapInArrow(work, "kind int, key long, n long, ids binary")
 
 
-def _windows(column: pa.Array, vocabulary: attention.Vocabulary) -> tuple[np.ndarray, ...]:
-    """Rows, rows of the next ids, their classes, and which places hold tokens."""
-    shape = (len(column), attention.LENGTH)
-    rows, nexts, classes, real = np.zeros(shape, np.int64), np.zeros(shape, np.int64), np.zeros(shape, np.int64), np.zeros(shape, bool)
-    for i, raw in enumerate(column.to_pylist()):
-        ids = np.frombuffer(raw, "<u4")
-        at = slice(0, len(ids) - 1)
-        rows[i, at], nexts[i, at], classes[i, at], real[i, at] = vocabulary.row[ids[:-1]], vocabulary.row[ids[1:]], vocabulary.of[ids[1:]], True
-    return rows, nexts, classes, real
+def _windows(raw: bytes, vocabulary: attention.Vocabulary) -> tuple[np.ndarray, ...]:
+    """Rows, rows of the next ids, their classes, and which places hold tokens to predict,
+    from windows' records one after another."""
+    record = np.frombuffer(raw, "<u2").reshape(-1, attention.LENGTH + 2)
+    real = (record[:, 2:] != VOID) & (np.arange(attention.LENGTH) >= record[:, :1])
+    ids = np.where(record[:, 1:] == VOID, 0, record[:, 1:])
+    row = vocabulary.row[ids]
+    return row[:, :-1], row[:, 1:], vocabulary.of[ids[:, 1:]], real
 
 
 def _parts(found: np.ndarray, weight: int) -> pa.Table:
@@ -130,32 +149,50 @@ def _parts(found: np.ndarray, weight: int) -> pa.Table:
     )
 
 
+def _joined(table: pa.Table) -> pa.Table:
+    """A shard as one row: its windows' records in the order of their keys."""
+    table = table.sort_by([("key", "ascending"), ("ids", "ascending")])
+    return pa.table({"number": pa.array([len(table)], pa.int64()), "ids": pa.array([b"".join(table.column("ids").to_pylist())], pa.binary())})
+
+
 def _profiler(id_counts: np.ndarray):
-    def profile(table: pa.Table) -> pa.Table:
-        rows, nexts, _, real = _windows(table.column("ids").combine_chunks(), attention.Vocabulary(id_counts))
-        return _parts(attention.profiles(rows, nexts, real).ravel(), 1)
+    def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, total = attention.Vocabulary(id_counts), 0.0
+        for batch in batches:
+            for raw in batch.column("ids"):
+                rows, nexts, _, real = _windows(raw.as_py(), known)
+                total = total + attention.profiles(rows, nexts, real).ravel().astype(np.float64)
+        if np.ndim(total):
+            yield from _parts(total.astype(np.float32), 1).to_batches()
 
     return profile
 
 
 def _trainer(start: np.ndarray, rate: float, id_counts: np.ndarray, of_rows: np.ndarray):
-    def train(table: pa.Table) -> pa.Table:
-        table = table.sort_by("key").combine_chunks()
-        rows, _, classes, real = _windows(table.column("ids").combine_chunks(), attention.Vocabulary(id_counts, of_rows))
-        return _parts(attention.train(start, rows, classes, real, rate), len(table))
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, total, weight = attention.Vocabulary(id_counts, of_rows), 0.0, 0
+        for batch in batches:
+            for number, raw in zip(batch.column("number").to_pylist(), batch.column("ids")):
+                rows, _, classes, real = _windows(raw.as_py(), known)
+                total = total + attention.train(start, rows, classes, real, rate).astype(np.float64) * number
+                weight += number
+        if weight:
+            yield from _parts((total / weight).astype(np.float32), weight).to_batches()
 
     return train
 
 
 def _average(table: pa.Table) -> pa.Table:
-    weight, found = table.column("weight").to_numpy(), np.array(table.column("found").to_pylist())
-    return pa.table({"part": table.column("part").slice(0, 1), "mean": pa.array([weight @ found / weight.sum()], pa.list_(pa.float64()))})
+    weight, found = table.column("weight").to_numpy(), table.column("found").combine_chunks().flatten().to_numpy().reshape(len(table), -1)
+    mean = weight @ found / weight.sum()
+    return pa.table({"part": table.column("part").slice(0, 1), "mean": pa.array([mean], pa.list_(pa.float64())), "weight": pa.array([weight.sum()])})
 
 
-def _averaged(parts: DataFrame) -> np.ndarray:
-    """The mean of flat arrays; as many values come to the driver as one of them has."""
-    means = stored(parts, "parts").groupBy("part").applyInArrow(_average, "part long, mean array<double>")
-    return np.concatenate([r["mean"] for r in means.orderBy("part").collect()]).astype(np.float32)
+def _averaged(parts: DataFrame) -> tuple[np.ndarray, float]:
+    """The mean of flat arrays and their weight; as many values come to the driver as one
+    of them has."""
+    means = stored(parts, "parts").groupBy("part").applyInArrow(_average, "part long, mean array<double>, weight double").orderBy("part").collect()
+    return np.concatenate([r["mean"] for r in means]).astype(np.float32), means[0]["weight"]
 
 
 def learn(windows: DataFrame, id_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,11 +203,12 @@ def learn(windows: DataFrame, id_counts: np.ndarray) -> tuple[np.ndarray, np.nda
     if not shards:
         return flat, np.zeros(attention.ROWS, np.int64)
     groups = windows.withColumn("shard", F.pmod("key", F.lit(shards))).groupBy("shard")
+    dealt = stored(groups.applyInArrow(_joined, "number long, ids binary"), "shards")
     schema = "part long, weight double, found array<float>"
-    around = _averaged(groups.applyInArrow(_profiler(id_counts), schema)) * shards
-    of_rows = attention.cluster(around.reshape(attention.ROWS, -1))
+    around, tasks = _averaged(dealt.mapInArrow(_profiler(id_counts), schema))
+    of_rows = attention.cluster((around * np.float32(tasks)).reshape(attention.ROWS, -1))
     for rate in RATES:
-        flat = _averaged(groups.applyInArrow(_trainer(flat, rate, id_counts, of_rows), schema))
+        flat, _ = _averaged(dealt.mapInArrow(_trainer(flat, rate, id_counts, of_rows), schema))
     return flat, of_rows
 
 

@@ -425,6 +425,18 @@ def test_attention_gradient():
         assert found[i] == pytest.approx((sides[0] - sides[1]) / 2e-5, rel=1e-3, abs=1e-9)
 
 
+def test_every_token_is_learned_from_once(spark):
+    """The windows to learn from cover long texts to their ends."""
+    docs = spark.createDataFrame([(d, t) for d, t, *_ in AWKWARD if d is not None], "doc_id long, text string")
+    told = scoring.gather(docs, packing.default_vocabulary()).where("kind = 2").select("ids").collect()
+    words = attention.Vocabulary(np.ones(scoring.IDS))
+    words.row = np.arange(scoring.IDS)
+    _, nexts, _, real = scoring._windows(b"".join(bytes(r["ids"]) for r in told), words)
+    encode = packing.Encoder(packing.default_vocabulary())
+    ids = np.concatenate([np.append(np.frombuffer(encode(t or ""), "<u4"), scoring.END_ID) for d, t, *_ in AWKWARD if d is not None])
+    assert np.array_equal(np.bincount(nexts[real], minlength=scoring.IDS), np.bincount(ids, minlength=scoring.IDS))
+
+
 def test_model_learns_what_follows_what(spark):
     """Trained on texts in which each word settles the next, the model beats counts."""
     order = "alpha beta gamma delta epsilon zeta eta theta".split()
