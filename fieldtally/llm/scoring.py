@@ -78,13 +78,13 @@ def cut(ids: np.ndarray, before: np.ndarray, lengths: np.ndarray, names: np.ndar
 
 
 def gather(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """Rows of kind 0 (hash and count of words), 1 (id and count) and 2 (key and record of a
-    window of ids), from the texts to learn from."""
+    """Rows of kind 0 (hash and count of words), 1 (id and count), 2 (key and record of a
+    window of ids) and 3 (number of texts), from the texts to learn from."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, encode = Hasher(), Encoder(vocabulary)
+        hasher, encode = Hasher(), Encoder(vocabulary, special=True)
         id_counts = np.zeros(IDS, np.int64)
-        words, counts, size = [], [], 0
+        words, counts, size, texts = [], [], 0, 0
 
         def rows(kind: int, key: np.ndarray, n: np.ndarray, records: np.ndarray | None = None) -> pa.RecordBatch:
             windows = pa.nulls(len(key), pa.binary())
@@ -103,6 +103,7 @@ def gather(docs: DataFrame, vocabulary: str) -> DataFrame:
             return rows(0, signed(key[first]), np.add.reduceat(n, first))
 
         for batch in batches:
+            texts += batch.num_rows
             for first, last, data, at in blocks(batch.column("text")):
                 starts, ends, _ = word_bounds(data, at)
                 key, n = np.unique(hasher.ranges(hasher.sums(LOWER[data]), starts, ends), return_counts=True)
@@ -123,6 +124,7 @@ def gather(docs: DataFrame, vocabulary: str) -> DataFrame:
             yield merged()
         seen = np.flatnonzero(id_counts)
         yield rows(1, seen, id_counts[seen])
+        yield rows(3, np.zeros(1, np.int64), np.array([texts], np.int64))
 
     return docs.mapInArrow(work, "kind int, key long, n long, ids binary")
 
@@ -223,7 +225,8 @@ def score(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     for r in told.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).collect():
         id_counts[r["key"]] = r["n"]
     windows = told.where("kind = 2").select("key", "ids")
-    texts = int(id_counts[END_ID])
+    # The end id may also stand inside texts, so they are counted apart.
+    texts = told.where("kind = 3").agg(F.sum("n")).first()[0] or 0
     flat, of_rows = learn(windows, id_counts)
 
     totals = words.agg(F.count(F.lit(1)).alias("v"), F.sum("c").alias("n")).first()
@@ -237,7 +240,7 @@ def score(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     end_log = float(np.log10(texts + 0.1))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, encode = Hasher(), Encoder(path)
+        hasher, encode = Hasher(), Encoder(path, special=True)
         p, ids_known = attention.views(flat), attention.Vocabulary(id_counts, of_rows)
         for batch in batches:
             for first, last, data, at in blocks(batch.column("text"), 1 << 19):

@@ -214,6 +214,21 @@ def test_packing(spark, awkward, none):
     assert packing.pack(packing.pieces(none)).count() == 0
 
 
+def test_added_tokens_are_one_id(spark):
+    """Ids equal the tokenizer's as it comes, also where a text holds the end id's own name."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["abc <|endoftext|> def", "<|endoftext|>", "a  <|endoftext|><|endoftext|>\n b", "<|endoftext|", "x<|endoftext|>y  ", "plain  text "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in packing.pieces(docs, with_ids=True).collect()}
+    assert got == {i: [*tokenizer.encode(t, add_special_tokens=False).ids, packing.END] for i, t in enumerate(texts)}
+    # An end id inside a text is no further text to the word scores.
+    known = spark.createDataFrame([(1, "one two"), (2, "one <|endoftext|> two <|endoftext|>")], "doc_id long, text string")
+    assert {r["train_tokens"] for r in scoring.score(known).collect()} == {sum(len(t.split()) + 1 for d, t in ((1, "one two"), (2, "one <|endoftext|> two <|endoftext|>")) if zlib.crc32(str(d).encode()) % 10)}
+
+
 def test_best_fit_is_best_fit_decreasing():
     rng = random.Random(2)
     for _ in range(40):
