@@ -28,8 +28,8 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-NAMED = r"""(?<![A-Za-z0-9_-])[A-Za-z_][A-Za-z0-9_-]{0,40}+\x20?[=:]\x20?"?[A-Za-z0-9][A-Za-z0-9_+/-]{5,}+"""
-CAPITALS = r"(?<![A-Za-z0-9])(?=[0-9]{0,64}[A-Z])(?=[A-Z]{0,64}[0-9])[A-Z0-9]{16,64}+(?![A-Za-z0-9])"
+NAMED = r"""(?<![A-Za-z0-9_-])[A-Za-z_][A-Za-z0-9_-]*+\x20?[=:]\x20?"?[A-Za-z0-9][A-Za-z0-9_+/.=~-]{5,}+"""
+CAPITALS = r"(?<![A-Za-z0-9])(?=[0-9]*+[A-Z])(?=[A-Z]*+[0-9])[A-Z0-9]{16,}+(?![A-Za-z0-9])"
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 
 KINDS = ("email", "ip", "card", "phone")
@@ -87,9 +87,13 @@ def _all_matches(text: Column) -> Column:
 
 def _near(placed: DataFrame) -> DataFrame:
     """row, start, end, value and context of what may be an identifier."""
-    value = F.regexp_extract("value", "[A-Za-z0-9_+/-]+$", 0)
+    told = F.regexp_replace("value", '^[A-Za-z0-9_-]+ ?[=:] ?"?', "")
+    # Full stops at the end are the sentence's.
+    value = F.rtrim(told, F.lit("."))
     name = F.regexp_replace(F.lower(F.regexp_extract("value", "^[A-Za-z0-9_-]+ ?[=:]", 0)), " ", "")
-    named = placed.where("kind = 'named'").select("row", (F.col("end") - F.length(value)).alias("start"), "end", value.alias("value"), name.alias("context"))
+    named = placed.where("kind = 'named'").where(F.length(value) >= 6).select(
+        "row", (F.col("end") - F.length(told)).alias("start"), (F.col("end") - F.length(told) + F.length(value)).alias("end"), value.alias("value"), name.alias("context")
+    )
     capitals = placed.where("kind = 'capitals'").select("row", "start", "end", "value", F.substring("value", 1, 4).alias("context"))
     return named.union(capitals)
 

@@ -276,6 +276,23 @@ def test_contexts_find_unseen_identifiers(spark):
     assert got[20] == ["hunter22"] and got[21] == [] and got[22] == []
 
 
+def test_long_keys_long_names_and_dotted_tokens_are_found_whole(spark):
+    rng = random.Random(7)
+    value = lambda n, of: "".join(rng.choice(of) for _ in range(n - 2)) + "A1"
+    capitals, small = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdef0123456789"
+    long_name = "very_" * 12 + "long_name"
+    texts, wanted = [], []
+    for _ in range(9):
+        key, named = "QXZV" + value(96, capitals), value(20, small)
+        token = ".".join(value(12, small) for _ in range(3)) + "=="
+        texts += [f"Here {key} stood", f"and {long_name}={named} too", f"and token={token} or so", f"then token={token}."]
+        wanted += [key, named, token, token]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [s["value"] for s in r["other"]] for r in pii.spans(docs).collect()}
+    assert got == {i: [w] for i, w in enumerate(wanted)}
+    assert {r["text"] for r in pii.masked(docs).where("doc_id = 2 or doc_id = 3").collect()} == {"and token=[OTHER] or so", "then token=[OTHER]."}
+
+
 def test_language(spark, folder, awkward, none):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     pages = spark.read.parquet(f"{folder}/pages.parquet")
