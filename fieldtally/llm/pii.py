@@ -1,12 +1,14 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
 Base entities (e-mail, IP, card, phone) come from patterns and checks.  Other
-identifiers are found by what stands before them.  Values stand in lexical contexts: a name with
-"=" or ":" before them, or their own first four characters if they are written in capitals and
-digits.  Contexts and values form a graph.  Seeds are the values that look random
-(long, letters and digits mixed) or hold a base entity; a context is as sure as its
-values are on average, a value as sure as its surest context, in turns; values without a
-digit count against a context.  The values of contexts that end up sure, and are met with at
+identifiers are found by what stands around them.  Values stand in lexical contexts: the two
+words before them, the two words after them, a name with "=" or ":" before them, or their own
+first four characters if they are written in capitals and digits.  Contexts and values form a
+graph.  Seeds are the values that look random (long, letters and digits mixed) or hold a base
+entity; a context is as sure as its values are on average, a value as sure as its surest
+context, in turns; other values without a digit or shorter than ``LEAST`` count against a context.  Between words a value
+is a run of tokens that hold a digit or "@", and each time another word stands in its place
+counts against the words.  The values of contexts that end up sure, and are met with at
 least ``SUPPORT`` different values, are reported as identifiers, random-looking or not.
 
 Positions are code points.  Null text is an empty text without spans.  A doc_id that comes
@@ -30,6 +32,8 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 NAMED = r"""(?<![A-Za-z0-9_-])[A-Za-z_][A-Za-z0-9_-]*+\x20?[=:]\x20?"?[A-Za-z0-9][A-Za-z0-9_+/.=~-]{5,}+"""
 CAPITALS = r"(?<![A-Za-z0-9])(?=[0-9]*+[A-Z])(?=[A-Z]*+[0-9])[A-Z0-9]{16,}+(?![A-Za-z0-9])"
+#: Tokens with a digit or "@", a space apart.
+WORDED = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?:\x20[^\s0-9@]*+[0-9@]\S*+)*+"
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 
 KINDS = ("email", "ip", "card", "phone")
@@ -37,6 +41,10 @@ KINDS = ("email", "ip", "card", "phone")
 SURE = 0.8
 SUPPORT = 3
 TURNS = 4
+#: Shortest identifier.
+LEAST = 6
+#: Most contexts that are sent to all tasks.
+BROADCAST = 200_000
 
 _SPAN = "array<struct<start:int,end:int,value:string>>"
 
@@ -50,6 +58,54 @@ def _matches(kind: str, needed: Column, text: Column, pattern: str) -> Column:
     return F.when(needed, F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, one)).otherwise(empty)
 
 
+def _worded(text: Column) -> Column:
+    """As :func:`_matches`, with the two words before and after each match; "" stands for
+    a word that is missing as the text or another value is there."""
+    found, gaps = F.regexp_extract_all(text, F.lit(WORDED), F.lit(0)), F.split(text, WORDED, -1)
+    pair = lambda t: F.regexp_extract(t, r"^\s*+\S++(?:\s++\S++)?", 0)
+    words = lambda t: F.split(F.trim(F.regexp_replace(F.lower(t), r"\s+", " ")), " ")
+    ahead = lambda g: _context("b", *_two(words(F.reverse(pair(F.reverse(g)))), True))
+    behind = lambda g: _context("a", *_two(words(pair(g)), False))
+    one = lambda g, v: F.struct(
+        F.lit("worded").alias("kind"), F.length(g).alias("gap"), F.length(v).alias("size"), v.alias("value"), ahead(g).alias("ahead")
+    )
+    both = lambda m, g: F.struct(*[m[n].alias(n) for n in ("kind", "gap", "size", "value", "ahead")], behind(g).alias("behind"))
+    return F.zip_with(F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, one), F.slice(gaps, F.lit(2), F.size(found)), both)
+
+
+def _two(words: Column, last: bool) -> tuple[Column, Column]:
+    """Two words of at most two; a missing one is the one further from the value."""
+    lone = F.size(words) < 2
+    if last:
+        return F.when(lone, "").otherwise(words[0]), F.when(lone, words[0]).otherwise(F.try_element_at(words, F.lit(2)))
+    return words[0], F.when(lone, "").otherwise(F.try_element_at(words, F.lit(2)))
+
+
+def _context(side: str, one: Column, two: Column) -> Column:
+    """Two words as a context; null without words."""
+    return F.when((one != "") | (two != ""), F.concat_ws(" ", F.lit(f"{side}:"), one, two))
+
+
+def _against(docs: DataFrame, contexts: DataFrame) -> DataFrame:
+    """context, against: how often a plain word stands where a value would, for the
+    worded ones of ``contexts``."""
+    tokens = F.regexp_extract_all("t", F.lit(r"\S++"), F.lit(0))
+    plain = F.transform(tokens, lambda w: F.when(w.rlike("[0-9@]"), "").otherwise(F.lower(w)))
+    edge = F.array(F.lit(""))
+    padded = docs.select(F.concat(edge, plain, edge).alias("w")).where(F.size("w") > 3)
+    three = padded.select(F.inline(F.arrays_zip(F.col("w").alias("x"), F.slice("w", F.lit(2), F.size("w")).alias("y"), F.slice("w", F.lit(3), F.size("w")).alias("z"))))
+    each = three.toDF("x", "y", "z").where("y != ''").select(
+        F.explode(F.array(F.when(F.col("z") != "", _context("b", F.col("x"), F.col("y"))), F.when(F.col("x") != "", _context("a", F.col("y"), F.col("z"))))).alias("context")
+    )
+    wanted = contexts.where("context like 'a: %' or context like 'b: %'").select("context").distinct()
+    few = wanted.limit(BROADCAST + 1).count() <= BROADCAST
+    if not few:
+        each = each.groupBy("context").agg(F.count(F.lit(1)).alias("n")).join(wanted, "context")
+        return stored(each.select("context", F.col("n").alias("against")), "against")
+    each = each.join(F.broadcast(wanted), "context")
+    return stored(each.groupBy("context").agg(F.count(F.lit(1)).alias("against")), "against")
+
+
 def _luhn(digits: Column) -> Column:
     size = F.length(digits)
 
@@ -85,17 +141,34 @@ def _all_matches(text: Column) -> Column:
     )
 
 
-def _near(placed: DataFrame) -> DataFrame:
+def _near(placed: DataFrame, worded: DataFrame) -> DataFrame:
     """row, start, end, value and context of what may be an identifier."""
     told = F.regexp_replace("value", '^[A-Za-z0-9_-]+ ?[=:] ?"?', "")
     # Full stops at the end are the sentence's.
     value = F.rtrim(told, F.lit("."))
     name = F.regexp_replace(F.lower(F.regexp_extract("value", "^[A-Za-z0-9_-]+ ?[=:]", 0)), " ", "")
-    named = placed.where("kind = 'named'").where(F.length(value) >= 6).select(
+    named = placed.where("kind = 'named'").where(F.length(value) >= LEAST).select(
         "row", (F.col("end") - F.length(told)).alias("start"), (F.col("end") - F.length(told) + F.length(value)).alias("end"), value.alias("value"), name.alias("context")
     )
     capitals = placed.where("kind = 'capitals'").select("row", "start", "end", "value", F.substring("value", 1, 4).alias("context"))
-    return named.union(capitals)
+    # Brackets, quotes and points around a value are the sentence's, a name before it is none of it.
+    left = F.regexp_replace("value", "^[\"'(\\[<]*+(?:[A-Za-z_][A-Za-z0-9_-]*+[=:]\"?)?", "")
+    inner = F.rtrim(left, F.lit(".,;:!?\"')]>"))
+    inner = worded.withColumn("start", F.col("end") - F.length(left)).withColumn("value", inner).where("value != ''")
+    inner = inner.withColumn("end", F.col("start") + F.length("value"))
+    sides = [inner.select("row", "start", "end", "value", F.col(side).alias("context")).where(F.col(side).isNotNull()) for side in ("ahead", "behind")]
+    return named.union(capitals).union(sides[0]).union(sides[1])
+
+
+def _known(near: DataFrame, base: DataFrame) -> DataFrame:
+    """``near`` with whether a row overlaps a base span: the furthest end of the spans
+    that start before its own end, in one pass over each text's rows."""
+    near = near.withColumn("at", F.col("end")).withColumn("base_end", F.lit(None).cast("int"))
+    spans_ = base.select("row", "start", "end", F.lit("").alias("value"), F.lit("").alias("context"), F.col("start").alias("at"), F.col("end").alias("base_end"))
+    before = Window.partitionBy("row").orderBy("at", F.col("base_end").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    every = near.union(spans_).withColumn("furthest", F.max("base_end").over(before))
+    known = F.coalesce(F.col("furthest") > F.col("start"), F.lit(False))
+    return every.where("base_end is null").select("row", "start", "end", "value", "context", known.alias("known"))
 
 
 def _random_looking(value: Column) -> Column:
@@ -104,20 +177,21 @@ def _random_looking(value: Column) -> Column:
     return (F.length(value) >= 16) & (digits >= 2) & (letters >= 2)
 
 
-def score(graph: DataFrame) -> DataFrame:
-    """Contexts that are sure.  ``graph``: context, value, seed, one row an edge.
+def score(graph: DataFrame, against: DataFrame) -> DataFrame:
+    """Contexts that are sure.  ``graph``: context, value, seed, one row an edge;
+    ``against``: context and how often something else stood there.
 
     Each turn groups the edges by context and joins the result back, then by value.
     """
     edges = graph.withColumn("sure", F.when(F.col("seed"), F.lit(1.0)).otherwise(F.lit(0.0))).withColumn(
-        "plain", ~F.col("value").rlike("[0-9]")
+        "plain", ~F.col("seed") & (~F.col("value").rlike("[0-9]") | (F.length("value") < LEAST))
     )
     for _ in range(TURNS):
         contexts = stored(
-            edges.groupBy("context").agg(
-                (F.sum(F.when(F.col("plain"), 0.0).otherwise(F.col("sure"))) / (F.count(F.lit(1)) + 0.5)).alias("context_sure"),
-                F.count(F.lit(1)).alias("support"),
-            ),
+            edges.groupBy("context")
+            .agg(F.sum(F.when(F.col("plain"), 0.0).otherwise(F.col("sure"))).alias("total"), F.count(F.lit(1)).alias("support"))
+            .join(against, "context", "left")
+            .select("context", (F.col("total") / (F.col("support") + F.coalesce("against", F.lit(0)) + 0.5)).alias("context_sure"), "support"),
             "contexts",
         )
         values = stored(
@@ -135,7 +209,7 @@ def spans(docs: DataFrame) -> DataFrame:
     (``other``), without those that overlap a base span."""
     text = F.col("t")
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
-    found = found.select("doc_id", F.xxhash64("t").alias("text_hash"), _all_matches(text).alias("m"))
+    found = found.select("doc_id", F.xxhash64("t").alias("text_hash"), _all_matches(text).alias("m"), _worded(text).alias("worded"))
     found = stored(found.withColumn("row", F.monotonically_increasing_id()), "matches")
     # Gaps and matches take turns; a window holds the matches of one text and kind.
     before = Window.partitionBy("row", "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -148,13 +222,17 @@ def spans(docs: DataFrame) -> DataFrame:
         *[F.sort_array(F.collect_list(F.when(F.col("kind") == k, span))).alias(k) for k in KINDS]
     )
     by_row = stored(by_row, "base")
-    known = F.exists(F.concat(*KINDS), lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
-    near = _near(placed).join(by_row, F.col("row") == F.col("b_row"), "left")
-    near = stored(near.select("row", "start", "end", "value", "context", F.coalesce(known, F.lit(False)).alias("known")), "near")
+    worded = found.where(F.size("worded") > 0).select("row", F.posexplode("worded").alias("pos", "m")).select("row", "pos", "m.*")
+    worded = worded.withColumn("kind", F.lit("worded")).withColumn("end", F.sum(F.col("gap") + F.col("size")).over(before).cast("int"))
+    near = stored(_known(_near(placed, worded), placed.where(F.col("kind").isin(*KINDS))), "near")
     graph = near.groupBy("context", "value").agg(F.max(F.col("known") | _random_looking(F.col("value"))).alias("seed"))
-    sure = stored(score(stored(graph, "graph")), "sure")
+    # Contexts of too few values, or of no seed, are never sure, and give no other one support.
+    graph = stored(graph, "graph")
+    hopeful = graph.groupBy("context").agg(F.count(F.lit(1)).alias("support"), F.max("seed").alias("any")).where(F.col("support") >= SUPPORT)
+    against = _against(docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t")), hopeful.where("any"))
+    sure = stored(score(graph, against), "sure")
     other = (
-        near.where(~F.col("known"))
+        near.where(~F.col("known") & (F.length("value") >= LEAST))
         .join(sure, "context")
         .groupBy(F.col("row").alias("o_row"))
         .agg(F.sort_array(F.collect_set(span)).alias("other"))

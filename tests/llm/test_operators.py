@@ -276,6 +276,18 @@ def test_contexts_find_unseen_identifiers(spark):
     assert got[20] == ["hunter22"] and got[21] == [] and got[22] == []
 
 
+def test_words_around_base_entities_find_unseen_values(spark):
+    texts = []
+    for i in range(12):
+        texts += [f"Then call me at +49 30 12345{i:02d} or so", f"the server ip: 192.168.10.{i} went down", f"mail from john{'abcdefghijkl'[i]}@example.com reached us today"]
+    unseen = ["Then call me at 030-7654321, please", "or write, as mail from jane@localhost reached us today", "which 12-34-56 went down"]
+    plain = ["some 17 went home and some 18 went home", "then 19 or so went home", "a mail from nobody came"]
+    docs = spark.createDataFrame(list(enumerate(texts + unseen + plain)), "doc_id long, text string")
+    got = {r["doc_id"]: [s["value"] for s in r["other"]] for r in pii.spans(docs).collect()}
+    assert [got[len(texts) + i] for i in range(2)] == [["030-7654321"], ["jane@localhost"]]
+    assert all(not got[len(texts) + len(unseen) + i] for i in range(len(plain))) and not any(got[i] for i in range(len(texts)))
+
+
 def test_long_keys_long_names_and_dotted_tokens_are_found_whole(spark):
     rng = random.Random(7)
     value = lambda n, of: "".join(rng.choice(of) for _ in range(n - 2)) + "A1"
