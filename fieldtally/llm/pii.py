@@ -226,10 +226,13 @@ def spans(docs: DataFrame) -> DataFrame:
     worded = worded.withColumn("kind", F.lit("worded")).withColumn("end", F.sum(F.col("gap") + F.col("size")).over(before).cast("int"))
     near = stored(_known(_near(placed, worded), placed.where(F.col("kind").isin(*KINDS))), "near")
     graph = near.groupBy("context", "value").agg(F.max(F.col("known") | _random_looking(F.col("value"))).alias("seed"))
-    # Contexts of too few values, or of no seed, are never sure, and give no other one support.
+    # Words around too few values are never believed, and lift no value either.
     graph = stored(graph, "graph")
-    hopeful = graph.groupBy("context").agg(F.count(F.lit(1)).alias("support"), F.max("seed").alias("any")).where(F.col("support") >= SUPPORT)
-    against = _against(docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t")), hopeful.where("any"))
+    hopeful = graph.groupBy("context").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= SUPPORT)
+    hopeful = stored(hopeful.select("context"), "hopeful")
+    words = F.col("context").like("a: %") | F.col("context").like("b: %")
+    graph = stored(graph.where(~words).union(graph.where(words).join(hopeful, "context", "left_semi")), "graph")
+    against = _against(docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t")), hopeful)
     sure = stored(score(graph, against), "sure")
     other = (
         near.where(~F.col("known") & (F.length("value") >= LEAST))
