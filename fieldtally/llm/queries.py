@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldtally.llm import decontamination, jaccard, language, packing, pii, quality, scoring, substrings, suffixes, toxicity
+from fieldtally.llm import decontamination, jaccard, language, packing, pii, quality, scoring, search, substrings, suffixes, toxicity
 from fieldtally.llm.sql import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -18,4 +18,5 @@ QUERIES = {
     "op8_language_id": language.op8_language_id,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_lm_scoring": scoring.op10_lm_scoring,
+    "op11_lexical_search": search.op11_lexical_search,
 }

@@ -73,9 +73,27 @@ reached AS (SELECT doc_id AS a, doc_id AS b FROM documents
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, c.component_id
 FROM d LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a) c USING (doc_id)"""
 
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP11 = f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS t FROM documents),
+sums AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS n_terms FROM d WHERE len(t) > 0),
+asked AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) x),
+tf AS (SELECT doc_id, n, term, count(*) AS tf
+       FROM (SELECT doc_id, CAST(len(t) AS BIGINT) AS n, unnest(t) AS term FROM d) x SEMI JOIN asked USING (term) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * CAST(n_docs AS DOUBLE) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+            FROM tf, sums GROUP BY term, n_docs),
+impacts AS (SELECT doc_id, term, (1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms)) AS i FROM tf, sums),
+scores AS (SELECT item_id, doc_id, CAST(sum(w * i) AS BIGINT) AS score
+           FROM asked JOIN weights USING (term) JOIN impacts USING (term) GROUP BY item_id, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) r
+WHERE rank <= 10"""
+
 ORACLE_SQL = {
     "op1_substring_dedup": OP1,
     "op3_suffix_dedup": OP3,
     "op4_decontamination": OP4,
     "op5_ngram_jaccard": OP5,
+    "op11_lexical_search": OP11,
 }
