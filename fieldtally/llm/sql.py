@@ -90,10 +90,37 @@ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) r
 WHERE rank <= 10"""
 
+# CRC-32 of distinct words, byte by byte, over a table of 256 made by the rule.
+OP13 = f"""
+WITH crc AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+                         ORDER BY i) AS t FROM range(256) r(i)),
+d AS (SELECT doc_id, {_TERMS} AS w FROM documents),
+target AS (SELECT unnest({_TERMS}) AS word FROM benchmark),
+words AS (SELECT doc_id, unnest(w) AS word FROM d),
+known AS (SELECT DISTINCT word FROM (SELECT word FROM words UNION ALL SELECT word FROM target) x),
+hashed AS (SELECT word, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+                  list_transform(range(CAST(length(hex(encode(word))) // 2 AS BIGINT)), lambda i: CAST('0x' || substr(hex(encode(word)), 2 * i + 1, 2) AS BIGINT))),
+                  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 10000 AS bucket FROM known, crc),
+s AS (SELECT bucket, count(*) AS n FROM words JOIN hashed USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM target JOIN hashed USING (word) GROUP BY bucket),
+gains AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1) * (CAST((SELECT sum(n) FROM s) AS DOUBLE) + 10000)
+                                            / ((s.n + 1) * (CAST((SELECT coalesce(sum(n), 0) FROM t) AS DOUBLE) + 10000)))) AS BIGINT) AS gain
+          FROM s LEFT JOIN t USING (bucket)),
+weights AS (SELECT doc_id, CAST(floor(CAST(sum(gain) AS DOUBLE) / count(*)) AS BIGINT) AS weight
+            FROM words JOIN hashed USING (word) JOIN gains USING (bucket) GROUP BY doc_id),
+scores AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(
+                  -1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+           FROM d LEFT JOIN weights USING (doc_id)),
+drawn AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, 10 * count(*) OVER () // 100 AS wanted
+          FROM scores WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= wanted THEN place END AS rank
+FROM scores LEFT JOIN drawn USING (doc_id)"""
+
 ORACLE_SQL = {
     "op1_substring_dedup": OP1,
     "op3_suffix_dedup": OP3,
     "op4_decontamination": OP4,
     "op5_ngram_jaccard": OP5,
     "op11_lexical_search": OP11,
+    "op13_importance_resampling": OP13,
 }
