@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldtally.llm import decontamination, jaccard, language, packing, pii, quality, resampling, scoring, search, substrings, suffixes, toxicity
+from fieldtally.llm import decontamination, jaccard, language, packing, pii, quality, resampling, scoring, search, secrets, substrings, suffixes, toxicity
 from fieldtally.llm.sql import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -19,5 +19,6 @@ QUERIES = {
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_lm_scoring": scoring.op10_lm_scoring,
     "op11_lexical_search": search.op11_lexical_search,
+    "op12_secret_scan": secrets.op12_secret_scan,
     "op13_importance_resampling": resampling.op13_importance_resampling,
 }
