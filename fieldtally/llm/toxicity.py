@@ -70,9 +70,11 @@ def word_scores(padded: np.ndarray, starts: np.ndarray, ends: np.ndarray, value:
     total, number = np.zeros(len(starts)), np.zeros(len(starts))
     for n in SIZES:
         running = np.concatenate([[0.0], np.cumsum(value[_codes(padded, n)], dtype=np.float64)])
-        last = np.maximum(ends + 2 - n, starts - 1)
-        total += running[last] - running[starts - 1]
-        number += last - (starts - 1)
+        # A word of fewer bytes has none, also where it ends the block.
+        first = np.minimum(starts - 1, len(running) - 1)
+        last = np.maximum(ends + 2 - n, first)
+        total += running[last] - running[first]
+        number += last - first
     return total / np.maximum(number, 1)
 
 
@@ -179,7 +181,7 @@ def learn(docs: DataFrame, labels: DataFrame, use: F.Column) -> Model:
     told = told.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = told.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE)
-    # At most SAMPLE rows a class, so one task holds them.
+    # At most SAMPLE rows a class, so one task holds them; the scan before it stays spread out.
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "toxic")), "doc_id")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +189,7 @@ def learn(docs: DataFrame, labels: DataFrame, use: F.Column) -> Model:
         model = train([t.encode() for _, t, _ in told], np.array([y for *_, y in told], float))
         yield pa.RecordBatch.from_arrays([pa.array([model.value.tobytes()]), pa.array([model.bias])], ["value", "bias"])
 
-    found = rows.select("doc_id", "text", F.col("toxic").cast("double")).coalesce(1).mapInArrow(work, "value binary, bias double").first()
+    found = rows.select("doc_id", "text", F.col("toxic").cast("double")).repartition(1).mapInArrow(work, "value binary, bias double").first()
     if found is None:
         return train([], np.zeros(0))
     return Model(np.frombuffer(found["value"], np.float32), found["bias"])

@@ -383,6 +383,32 @@ def test_toxicity(spark, none, awkward):
     assert toxicity.score(awkward, untold).where("score between 0 and 1").count() == len(AWKWARD)
 
 
+def test_toxicity_of_texts_of_any_length_at_the_end_of_a_block(spark):
+    """Scores equal sums over each word's n-grams, letter by letter."""
+    value = np.random.default_rng(3).normal(0, 1, toxicity.BUCKETS).astype(np.float32)
+    model = toxicity.Model(value, -0.5)
+
+    def plain(text):
+        words = "".join(c if c.islower() else " " for c in text.lower()).split()
+        means = []
+        for w in words:
+            spelled = np.frombuffer(b"\0" + w.encode() + b"\0", np.uint8)
+            found = [value[toxicity._codes(spelled, n)] for n in toxicity.SIZES]
+            found = np.concatenate(found)
+            means.append(float(found.sum()) / max(1, len(found)))
+        odds = math.exp((sum(means) / len(means) if means else 0.0) - 0.5)
+        return odds / (1 + odds)
+
+    ends = ["vitamin c", "plan b", "", *("abcdefgh"[:n] for n in range(9)), *("word " + "abcdefgh"[:n] for n in range(9)), *("7" * n for n in range(4)), "a b", "a 1", "1 a"]
+    for last in ends:
+        for before in ([], ["some words"], [""]):
+            texts = [*before, last]
+            raw, at = "".join(texts).encode(), np.cumsum([0, *map(len, texts)])
+            assert model.score(np.frombuffer(raw, np.uint8), at) == pytest.approx([plain(t) for t in texts], rel=1e-5)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(ends)], "doc_id long, text string").repartition(len(ends))
+    assert {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()} == pytest.approx({i: plain(t) for i, t in enumerate(ends)}, rel=1e-5)
+
+
 def test_misspelled_words_share_ngrams():
     clean = [f"some words of text number{i} and more of it here".encode() for i in range(60)]
     model = toxicity.train(clean + [t.replace(b"more", b"disgusting") for t in clean], np.array([0.0] * 60 + [1.0] * 60))
