@@ -1,8 +1,12 @@
 """Hypothesis tests, one result row per test, many tests at once.
 
 The unit of replication is the run: reduce plot rows to one row per run (with
-``run_total`` or ``run_means``) before testing.  All heavy work is aggregation;
-Python sees one row per test, for the tail probability.
+``run_total`` or ``run_means``) before testing.  Every test checks that as part of
+its own plan: a run that has several rows on one side of one test makes the query
+fail when it runs, without a job beforehand.  Rows without a run identifier have no
+unit and are left out.  A frame without the column ``run`` names is taken to hold one
+row per run.  All heavy work is aggregation; Python sees one row per test, for the
+tail probability.
 """
 
 from __future__ import annotations
@@ -32,6 +36,21 @@ def require_run_unit(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return df
 
 
+def checked_runs(df: DataFrame, keys: Sequence[str], values: Sequence[str], run: str | None = "run_id") -> DataFrame:
+    """``keys`` and ``values`` of each run.  A run with several rows in one key is
+    refused inside the plan, by the aggregate that brings its rows together; where the
+    frame was reduced by the same keys before, that needs no further exchange."""
+    if run is None or run not in df.columns:
+        return df.select(*keys, *values)
+    rows = df.filter(F.col(run).isNotNull()).groupBy(*keys, F.col(run).alias("_run")).agg(
+        F.count(F.lit(1)).alias("_rows"), *[F.max(v).alias(v) for v in values]
+    )
+    several = F.raise_error(
+        F.concat(F.lit("run '"), F.col("_run").cast("string"), F.lit("' has several rows in one test: reduce to one row per run first"))
+    )
+    return rows.select(*keys, *[F.when(F.col("_rows") == 1, F.col(v)).otherwise(several).alias(v) for v in values])
+
+
 def _one_test(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """A constant key where there is a single test."""
     if by:
@@ -44,13 +63,14 @@ def _done(df: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def welch_statistics(
-    df: DataFrame, group_col: str, a, b, value: str, by: Sequence[str] = ()
+    df: DataFrame, group_col: str, a, b, value: str, by: Sequence[str] = (), run: str | None = "run_id"
 ) -> DataFrame:
     """Sizes, means, difference, t and degrees of freedom of Welch's test.
 
     Both sides come from one conditional aggregate, so there is no self-join.
     """
-    rows, keys = _one_test(df.filter(F.col(group_col).isin(a, b)), by)
+    rows = checked_runs(df.filter(F.col(group_col).isin(a, b)), [*by, group_col], [value], run)
+    rows, keys = _one_test(rows, by)
 
     def side(name) -> Column:
         return F.when(F.col(group_col) == F.lit(name), measure(value))
@@ -75,21 +95,23 @@ def welch_statistics(
     return _done(result, by)
 
 
-def welch(df: DataFrame, group_col: str, a, b, value: str, by: Sequence[str] = ()) -> DataFrame:
+def welch(
+    df: DataFrame, group_col: str, a, b, value: str, by: Sequence[str] = (), run: str | None = "run_id"
+) -> DataFrame:
     """Welch's t test of ``a`` against ``b``, two-sided."""
-    return welch_statistics(df, group_col, a, b, value, by).withColumn("p", student_two_sided_p("t", "df"))
+    return welch_statistics(df, group_col, a, b, value, by, run).withColumn("p", student_two_sided_p("t", "df"))
 
 
 def mann_whitney_statistics(
-    df: DataFrame, group_col: str, a, b, value: str, by: Sequence[str] = ()
+    df: DataFrame, group_col: str, a, b, value: str, by: Sequence[str] = (), run: str | None = "run_id"
 ) -> DataFrame:
     """U of ``a`` and its normal score under the alternative that ``a`` is greater.
 
     Ranks are needed per value only: values are counted per side, and the rank
     sum of a side is its counts times the ranks.
     """
-    chosen = with_values(df.filter(F.col(group_col).isin(a, b)), value)
-    rows, keys = _one_test(chosen, by)
+    chosen = checked_runs(df.filter(F.col(group_col).isin(a, b)), [*by, group_col], [value], run)
+    rows, keys = _one_test(with_values(chosen, value), by)
 
     def members(name) -> Column:
         return F.count(F.when(F.col(group_col) == F.lit(name), 1))
@@ -115,64 +137,75 @@ def mann_whitney_statistics(
 
 
 def mann_whitney(
-    df: DataFrame, group_col: str, a, b, value: str, by: Sequence[str] = ()
+    df: DataFrame, group_col: str, a, b, value: str, by: Sequence[str] = (), run: str | None = "run_id"
 ) -> DataFrame:
     """Mann-Whitney U test, one-sided: ``a`` tends to be greater than ``b``."""
-    return mann_whitney_statistics(df, group_col, a, b, value, by).withColumn("p", normal_upper_p("z"))
+    return mann_whitney_statistics(df, group_col, a, b, value, by, run).withColumn("p", normal_upper_p("z"))
 
 
-def spearman_statistics(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
+def spearman_statistics(
+    df: DataFrame, x: str, y: str, by: Sequence[str] = (), run: str | None = "run_id"
+) -> DataFrame:
     """Rank correlation of ``x`` and ``y``, and its t score with n - 2 degrees.
 
-    Works on counted pairs of values.  Ranks of ``y`` are attached to the pairs;
-    pairs are then summed per value of ``x``, where the ranks of ``x`` meet them
-    one to one.  Ranks are centred, which keeps the sums small.
+    Values are counted by side, and both sides go through one ranking: a row of the
+    counts is a value of either side, so one range split, one pass of prefix sums and
+    one table of ranks serve both.  The counted pairs take their ranks from that table,
+    first those of ``y``, then those of ``x`` with the sums over ``y`` already formed.
+    Ranks are centred, which keeps the sums small.
     """
-    rows, keys = _one_test(with_values(df, x, y), by)
-    # Written once: both rankings and the final sums read the pairs, not the log.
+    checked = checked_runs(df, list(by), [x, y], run)
+    rows, keys = _one_test(with_values(checked, x, y), by)
+    # Written once: the ranking and the final sums read the pairs, not the log.
     pairs = durable(
-        rows.groupBy(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("_n"))
+        rows.groupBy(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).agg(
+            F.count(F.lit(1)).alias("_n")
+        )
     )
+    sides = F.explode(F.array(*[F.struct(F.lit(c).alias("_side"), F.col(c).alias("_value")) for c in ("_x", "_y")]))
+    hist = pairs.select(*keys, "_n", sides.alias("_s")).groupBy(*keys, "_s._side", "_s._value").agg(F.sum("_n").alias("_m"))
+    ranks = value_ranks(hist, [*keys, "_side"], "_value", "_m")
 
-    def ranked(column: str) -> DataFrame:
-        hist = pairs.groupBy(*keys, column).agg(F.sum("_n").alias("_m"))
-        return value_ranks(hist, keys, column, "_m").withColumnRenamed("rank", f"_rank{column}")
+    place = F.col("rank") - (F.col("_size") + 1) / F.lit(2.0)
+
+    def side(name: str) -> DataFrame:
+        return ranks.filter(F.col("_side") == name).select(
+            *keys, F.col("_value").alias(name), "_m", place.alias(f"_place{name}")
+        )
 
-    rank_x, rank_y = ranked("_x"), ranked("_y")
-    size = rank_x.groupBy(*keys).agg(F.sum("_m").alias("n"))
-    middle = (F.col("n") + 1) / F.lit(2.0)
     by_x = (
-        join_ranks(pairs, rank_y, [*keys, "_y"], "_m", ["_rank_y"])
+        join_ranks(pairs, side("_y"), [*keys, "_y"], "_m", ["_place_y"])
         .groupBy(*keys, "_x")
-        .agg(F.sum(F.col("_n") * F.col("_rank_y")).alias("_sum_y"))
+        .agg(F.sum(F.col("_n") * F.col("_place_y")).alias("_sum_y"))
+    )
+    squares = ranks.groupBy(*keys).agg(
+        F.max("_size").alias("n"),
+        *[
+            F.sum(F.when(F.col("_side") == c, F.col("_m") * place * place)).alias(f"_square{c}") for c in ("_x", "_y")
+        ],
     )
-    left = rank_x.join(by_x, [*keys, "_x"]).join(size, keys)
-    cx = F.col("_rank_x") - middle
-    sums_x = left.groupBy(*keys).agg(
-        F.max("n").alias("n"),
-        F.sum(cx * (F.col("_sum_y") - F.col("_m") * middle)).alias("_xy"),
-        F.sum(F.col("_m") * cx * cx).alias("_xx"),
+    products = (
+        side("_x").join(by_x, [*keys, "_x"]).groupBy(*keys).agg(F.sum(F.col("_place_x") * F.col("_sum_y")).alias("_product"))
     )
-    cy = F.col("_rank_y") - middle
-    sums_y = rank_y.join(size, keys).groupBy(*keys).agg(F.sum(F.col("_m") * cy * cy).alias("_yy"))
-    rho = F.col("_xy") / F.sqrt(F.col("_xx") * F.col("_yy"))
+    xy, xx, yy = (F.col(c) for c in ("_product", "_square_x", "_square_y"))
+    rho = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), xy / F.sqrt(xx * yy)))
     result = (
-        sums_x.join(sums_y, keys)
-        .withColumn("rho", F.when((F.col("_xx") > 0) & (F.col("_yy") > 0), rho))
+        squares.join(products, keys)
+        .withColumn("rho", F.when((xx > 0) & (yy > 0), rho))
         .withColumn("df", (F.col("n") - 2).cast("double"))
         .withColumn(
             "t",
             F.when(F.abs("rho") < 1, F.col("rho") * F.sqrt(F.col("df") / (F.lit(1.0) - F.col("rho") * F.col("rho"))))
             .when(F.abs("rho") >= 1, F.signum("rho") * F.lit(float("inf"))),
         )
-        .drop("_xy", "_xx", "_yy")
+        .drop("_product", "_square_x", "_square_y")
     )
     return _done(result, by)
 
 
-def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
+def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = (), run: str | None = "run_id") -> DataFrame:
     """Spearman's rank correlation, two-sided."""
-    return spearman_statistics(df, x, y, by).withColumn("p", student_two_sided_p("t", "df"))
+    return spearman_statistics(df, x, y, by, run).withColumn("p", student_two_sided_p("t", "df"))
 
 
 def verdict(p: str | Column = "p", alpha: float = fixed.ALPHA) -> Column:

@@ -21,7 +21,8 @@ HOT_SHARE = 1 / 1000
 
 
 def prefix_counts(hist: DataFrame, by: Sequence[str], value: str, count: str) -> DataFrame:
-    """Add ``before``: how many rows of the test have a smaller value.
+    """Add ``before``: how many rows of the test have a smaller value, and ``_size``: how
+    many rows the test has.
 
     ``hist`` has one row per test and value.  The range split is written once
     and read by both the totals and the final pass, so that they agree even if
@@ -33,7 +34,10 @@ def prefix_counts(hist: DataFrame, by: Sequence[str], value: str, count: str) ->
     totals = spread.groupBy(*by, "_range").agg(F.sum(count).alias("_total"))
     # One row per test and range: bounded by the number of ranges.
     earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*by, "_range", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"))
+    offsets = totals.select(
+        *by, "_range", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"),
+        F.sum("_total").over(Window.partitionBy(*by)).alias("_size"),
+    )
     inside = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     return (
         spread.join(offsets, [*by, "_range"])

@@ -210,9 +210,8 @@ def _immigration_profit(spark, folder):
 SELECT run_id, strategy, season, CAST(count(*) AS BIGINT) AS n_rows
 FROM harvest GROUP BY run_id, strategy, season HAVING count(*) > 1""", "harvest"))
 def _replication_unit(spark, folder):
-    log = views.harvest(spark, folder)
-    inference.require_run_unit(run_means(log, ["strategy"], season=2), ["strategy"])
-    return inference.repeated_runs(log, ["strategy", "season"])
+    # What the tests refuse: the log itself, whose rows are plots and not runs.
+    return inference.repeated_runs(views.harvest(spark, folder), ["strategy", "season"])
 
 
 @plan("w15_average_rank", sql("""

@@ -10,8 +10,12 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from fieldtally.functions import tails
 from fieldtally.operators import inference, ranks
+from fieldtally.operators.summaries import run_season_means
+from fieldtally.sources import views
 
 
 def average_ranks(values):
@@ -205,6 +209,42 @@ def test_plot_rows_are_refused(spark):
     assert inference.require_run_unit(rows.dropDuplicates(["run_id"])).count() == 2
 
 
+def test_tests_refuse_a_run_that_counts_twice(spark):
+    """Inside their own plan: no job before the query runs, no answer when it does."""
+    rows = [(f"r{i}", "ab"[i % 2], float(i), float(i * i)) for i in range(8)]
+    once = spark.createDataFrame(rows, "run_id string, g string, v double, w double")
+    twice = once.unionByName(once.filter("run_id = 'r3'"))
+    tests = {
+        "welch": lambda df, **k: inference.welch(df, "g", "a", "b", "v", **k),
+        "ranks": lambda df, **k: inference.mann_whitney(df, "g", "a", "b", "v", **k),
+        "rho": lambda df, **k: inference.spearman(df, "v", "w", **k),
+    }
+    for name, test in tests.items():
+        known = test(once).collect()
+        assert known and known == test(once.drop("run_id")).collect()
+        with pytest.raises(Exception, match="run 'r3' has several rows"):
+            test(twice).collect()
+        # Also where the repeated row has no value, and not where another test or side has it.
+        with pytest.raises(Exception, match="run 'r3' has several rows"):
+            test(once.unionByName(spark.createDataFrame([("r3", "b", None, None)], once.schema))).collect()
+        assert test(twice, run=None).first() != known[0] or name == "rho"
+        assert test(once.unionByName(spark.createDataFrame([(None, "a", 1.0, 1.0)] * 2, once.schema))).collect() == known
+    both = twice.withColumn("g", F.when(F.rand() < 2, F.lit("a"))).dropDuplicates(["run_id"])
+    assert inference.welch(both.unionByName(both.withColumn("g", F.lit("b"))), "g", "a", "b", "v").first().mean_diff == 0
+    assert inference.welch(once.withColumn("k", F.lit(1)).unionByName(once.withColumn("k", F.lit(2))), "g", "a", "b", "v", ["k"]).count() == 2
+
+
+def test_the_check_needs_no_exchange_after_the_same_reduction(spark, folder):
+    runs = run_season_means(views.harvest(spark, folder), ["strategy"], ["grain_tha"])
+    pair = ("strategy", "threshold", "calendar", "grain_tha", ["season"])
+
+    def exchanges(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+    checked, plain = (inference.welch_statistics(runs, *pair, run=run) for run in ("run_id", None))
+    assert exchanges(checked) == exchanges(plain)
+
+
 def test_missing_values_are_left_out_of_tests(spark):
     rows = [("a", 1.0), ("a", 3.0), ("b", 2.0), ("b", 5.0)]
     gaps = [("a", None), ("b", float("nan"))]

@@ -30,3 +30,11 @@ def test_plan(spark, folder, name):
     # Columns that no plan uses do not reach the scan.
     scans = [line for line in lines if "FileScan" in line]
     assert not any("l_orderkey" in line or "props" in line for line in scans)
+
+
+def shuffles(frame):
+    return frame._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_rank_correlation_ranks_both_sides_in_one_pass(spark, folder):
+    assert shuffles(REGISTRY["t3_spearman"].plan(spark, folder)) <= 8
