@@ -17,26 +17,29 @@ from fieldtally.functions.resistance import effective_rf, season_factor
 
 
 def season_ledger(
-    log: DataFrame,
-    plot: Sequence[str] = ("run_id", "strategy", "plot_x", "plot_y"),
-    compounds: Sequence[str] = fixed.COMPOUNDS,
+    log: DataFrame, plot: Sequence[str] = ("run_id", "strategy", "plot_x", "plot_y")
 ) -> DataFrame:
     """One row per plot and season, the form that the replays take.
 
     A log may repeat a plot and season; partial aggregates shrink the repeats
     before anything is shuffled.  The least compound name is found by its place
-    among the sorted names: a minimum of strings would make Spark sort all rows
-    instead of hashing them.  Names outside ``compounds`` are read as missing.
+    among the sorted names that the log itself holds (a scalar subquery, so it is
+    found once, as part of the same query): a minimum of strings would make Spark
+    sort all rows instead of hashing them.
     """
-    names = F.array(*[F.lit(c) for c in sorted(compounds)])
+    names = log.select(F.sort_array(F.collect_set("pesticide_choice"))).scalar()
     place = F.min(F.nullif(F.array_position(names, F.col("pesticide_choice")), F.lit(0)))
-    return log.groupBy(*plot, "season").agg(
-        F.get(names, (place - 1).cast("int")).alias("pesticide_choice"),
+    found = log.groupBy(*plot, "season").agg(
+        place.alias("_place"),
         F.max("spray_count").alias("spray_count"),
         F.avg("grain_tha").alias("grain_tha"),
         F.max("resistant_fraction").alias("resistant_fraction"),
         F.max("cost_per_spray").alias("cost_per_spray"),
     )
+    compound = F.get(names, (F.col("_place") - 1).cast("int")).alias("pesticide_choice")
+    return found.select(
+        *plot, "season", compound, "spray_count", "grain_tha", "resistant_fraction", "cost_per_spray"
+    )
 
 
 def replay_rf(

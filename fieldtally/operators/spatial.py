@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldtally import fixed
-from fieldtally.functions.keys import as_column, measure
+from fieldtally.functions.keys import as_column, measure, with_values
 
 
 def _on_border(value: Column, size: int) -> Column:
@@ -55,9 +55,9 @@ def neighbour_count(
 
 
 def spatial_gradient(df: DataFrame, keys: Sequence[str] = (), place: Column | None = None) -> DataFrame:
-    """Mean loss by place on the grid."""
+    """Mean loss by place on the grid; rows without a key are left out."""
     where = plot_position() if place is None else place
-    return df.groupBy(*keys, where.alias("place")).agg(
+    return with_values(df, *keys).groupBy(*keys, where.alias("place")).agg(
         F.avg(measure("pest_loss_tha")).alias("mean_loss"), F.count(F.lit(1)).alias("n_rows")
     )
 
@@ -94,6 +94,15 @@ def _scatter(
     ).filter(F.col(x).between(0, width - 1) & F.col(y).between(0, height - 1))
 
 
+#: How an aggregate of the parts of a neighbourhood gives that of the whole.
+_WHOLE = {
+    F.avg: (F.sum, lambda parts, n: F.when(n > 0, sum(F.coalesce(p, F.lit(0.0)) for p in parts) / n)),
+    F.sum: (F.sum, lambda parts, n: F.when(n > 0, sum(F.coalesce(p, F.lit(0.0)) for p in parts))),
+    F.max: (F.max, lambda parts, n: F.greatest(*parts)),
+    F.min: (F.min, lambda parts, n: F.least(*parts)),
+}
+
+
 def neighbour_agg(
     df: DataFrame,
     value: str,
@@ -104,23 +113,31 @@ def neighbour_agg(
     width: int = fixed.GRID_WIDTH,
     height: int = fixed.GRID_HEIGHT,
 ) -> DataFrame:
-    """An aggregate over the eight neighbours of every plot, grid not wrapped.
+    """An aggregate (avg, sum, min or max) over the eight neighbours of every plot, grid
+    not wrapped.
 
-    Plots are unique within ``within``; neighbours the frame lacks do not count.
+    Plots are unique within ``within``; neighbours the frame lacks do not count, and
+    plots outside the grid are left out.  The grid is laid out as one line, column after
+    column, with two empty places between columns; so the neighbours of a plot are four
+    ranges of places, and one window pass takes all of them.  No row is copied.
     """
-    known = measure(value)
-    cells = _scatter(df, x, y, within, known, known, width, height)
-    return (
-        cells.groupBy(*within, x, y)
-        .agg(
-            F.max("own").alias(value),
-            function("received").alias("neighbour_value"),
-            F.count("received").alias("n_neighbours"),
-            F.max("is_own").alias("_present"),
-        )
-        .filter("_present")
-        .drop("_present")
+    if function not in _WHOLE:
+        raise ValueError("neighbour_agg takes avg, sum, min or max")
+    part, whole = _WHOLE[function]
+    stride = height + 2
+    rows = df.filter(F.col(x).between(0, width - 1) & F.col(y).between(0, height - 1)).select(
+        *within, x, y, measure(value).alias(value), (F.col(x) * stride + F.col(y)).cast("long").alias("_place")
+    )
+    line = Window.partitionBy(*within).orderBy("_place")
+    ranges = [(-stride - 1, -stride + 1), (-1, -1), (1, 1), (stride - 1, stride + 1)]
+    frames = [line.rangeBetween(a, b) for a, b in ranges]
+    found = rows.select(
+        *within, x, y, value,
+        *[part(value).over(f).alias(f"_part{i}") for i, f in enumerate(frames)],
+        sum(F.count(value).over(f) for f in frames).alias("n_neighbours"),
     )
+    parts = [F.col(f"_part{i}") for i in range(len(frames))]
+    return found.select(*within, x, y, value, whole(parts, F.col("n_neighbours")).alias("neighbour_value"), "n_neighbours")
 
 
 def diffuse(

@@ -4,13 +4,16 @@ A window partition is one plot (at most one row per day) or one run or
 condition (at most one row per season), never raw rows: inputs that may repeat
 a day or season are aggregated to it first.  That bounds every partition by the
 calendar and not by the size of the log.
+
+The daily operators check that inside the same window pass: a plot with two rows of
+one day makes the query fail, since no running value over them would be right.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from fieldtally import fixed
@@ -32,11 +35,20 @@ def _before(keys: Sequence[str], order: str) -> WindowSpec:
     return _ordered(keys, order).rowsBetween(Window.unboundedPreceding, -1)
 
 
+def _once_a_day(keys: Sequence[str], day: str, value: Column) -> Column:
+    """``value``, or failure where the row before is of the same day."""
+    order = _ordered(keys, day)
+    named = F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])
+    twice = F.raise_error(F.concat(F.lit("("), named, F.lit(") has several rows on day "), F.col(day).cast("string")))
+    return F.when(F.lag(day).over(order) == F.col(day), twice).otherwise(value)
+
+
 def cumulative_exposure(
     df: DataFrame, keys: Sequence[str] = ("plot_id",), day: str = "day", load: str = "pest_load"
 ) -> DataFrame:
     """Running sum of daily load."""
-    return df.withColumn("cumulative_exposure", F.sum(measure(load)).over(_so_far(keys, day)))
+    total = F.sum(measure(load)).over(_so_far(keys, day))
+    return df.withColumn("cumulative_exposure", _once_a_day(keys, day, total))
 
 
 def days_above(
@@ -48,21 +60,22 @@ def days_above(
 ) -> DataFrame:
     """Running number of days with a load beyond the threshold."""
     hit = F.when(measure(load) > threshold, 1).otherwise(0)
-    return df.withColumn("days_above_threshold", F.sum(hit).over(_so_far(keys, day)))
+    return df.withColumn("days_above_threshold", _once_a_day(keys, day, F.sum(hit).over(_so_far(keys, day))))
 
 
 def days_since_spray(df: DataFrame, keys: Sequence[str] = ("plot_id",), day: str = "day") -> DataFrame:
     """Days since the last spray as the spray decision of the day sees it; before
     the first spray, days since sowing."""
     last = F.last(F.when(F.col("sprayed") == 1, F.col(day)), ignorenulls=True).over(_before(keys, day))
-    return df.withColumn("days_since_spray", F.col(day) - F.coalesce(last, F.lit(0)))
+    return df.withColumn("days_since_spray", _once_a_day(keys, day, F.col(day) - F.coalesce(last, F.lit(0))))
 
 
 def spray_numbers(
     df: DataFrame, plot: Sequence[str] = ("plot_id",), season: str = "season", day: str = "day"
 ) -> DataFrame:
     """Sprays so far, over the life of the plot and within the season."""
-    return df.withColumn("lifetime_sprays", F.sum("sprayed").over(_so_far(plot, day))).withColumn(
+    lifetime = F.sum("sprayed").over(_so_far(plot, day))
+    return df.withColumn("lifetime_sprays", _once_a_day(plot, day, lifetime)).withColumn(
         "season_sprays", F.sum("sprayed").over(_so_far([*plot, season], day))
     )
 
@@ -71,14 +84,14 @@ def heat_accumulation(
     df: DataFrame, keys: Sequence[str] = ("plot_id",), day: str = "day", maturity: float = fixed.MATURITY_HEAT
 ) -> DataFrame:
     """Accumulated heat units, and the first day on which they reach maturity."""
-    total = df.withColumn("heat", F.sum(growth.heat_units()).over(_so_far(keys, day)))
+    total = df.withColumn("heat", _once_a_day(keys, day, F.sum(growth.heat_units()).over(_so_far(keys, day))))
     ripe = F.min(F.when(F.col("heat") >= maturity, F.col(day))).over(Window.partitionBy(*keys))
     return total.withColumn("maturity_day", ripe)
 
 
 def growth_accumulation(df: DataFrame, keys: Sequence[str] = ("plot_id",), day: str = "day") -> DataFrame:
     """Dry matter grown and lost so far, from weather and pest load."""
-    heated = df.withColumn("heat", F.sum(growth.heat_units()).over(_so_far(keys, day)))
+    heated = df.withColumn("heat", _once_a_day(keys, day, F.sum(growth.heat_units()).over(_so_far(keys, day))))
     factor = growth.growth_factor("pest_load", growth.damage_weight("heat"))
     potential = growth.potential_growth("solar_rad", growth.light_share("heat"))
     daily = heated.withColumn("growth_potential", potential).withColumn(

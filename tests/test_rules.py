@@ -258,6 +258,51 @@ def test_neighbours_that_are_not_logged(spark):
     assert found["r", 0, 1].neighbour_value == 0.5 and found["r", 0, 0].n_neighbours == 0
 
 
+@pytest.mark.parametrize("function", [F.avg, F.sum, F.min, F.max])
+def test_neighbours_of_a_sparse_grid(spark, function):
+    """Against a plain walk over the eight cells; missing plots, edges and other grids do not count."""
+    rng = random.Random(9)
+    cells = {(r, x, y): rng.choice([None, float("nan"), 0.25, 0.5, 2.0]) for r in "rs" for x in range(10) for y in range(10) if rng.random() < 0.6}
+    rows = [(r, x, y, v) for (r, x, y), v in cells.items()] + [("r", 10, 3, 9.0), ("r", -1, 0, 9.0), ("r", None, 1, 9.0)]
+    df = spark.createDataFrame(rows, "run_id string, plot_x int, plot_y int, pest_load double")
+    found = {(r.run_id, r.plot_x, r.plot_y): (r.neighbour_value, r.n_neighbours) for r in spatial.neighbour_agg(df, "pest_load", function=function).collect()}
+    plain = {F.avg: lambda v: sum(v) / len(v), F.sum: sum, F.min: min, F.max: max}[function]
+    assert found.keys() == cells.keys()
+    for (r, x, y), (value, n) in found.items():
+        near = [cells.get((r, a, b)) for a in (x - 1, x, x + 1) for b in (y - 1, y, y + 1) if (a, b) != (x, y)]
+        near = [v for v in near if v is not None and v == v]
+        assert n == len(near) and value == (plain(near) if near else None)
+    with pytest.raises(ValueError, match="avg"):
+        spatial.neighbour_agg(df, "pest_load", function=F.median)
+
+
+def test_repeated_days_are_refused(spark):
+    days = spark.createDataFrame(
+        [(p, d, 0.5, 1, 1, 30.0, 18.0) for p in (1, 2) for d in (1, 2, 3)],
+        "plot_id int, day int, pest_load double, sprayed int, season int, t_mean double, solar_rad double",
+    )
+    twice = days.unionByName(days.filter("plot_id = 2 AND day = 2"))
+    for operator in (
+        windows.cumulative_exposure, windows.days_above, windows.days_since_spray, windows.spray_numbers,
+        windows.heat_accumulation, windows.growth_accumulation,
+    ):
+        assert operator(days).count() == 6 and len(operator(days).collect()) == 6
+        with pytest.raises(Exception, match=r"\(2\) has several rows on day 2"):
+            operator(twice).collect()
+
+
+def test_any_compound_survives_the_ledger(spark):
+    log = spark.createDataFrame(
+        [("r", "none", 0, 0, 1, c, 1, 2.0, 0.1, 100.0) for c in ("zineb", "copper", None)] + [("r", "none", 0, 0, 2, "zineb", 1, 2.0, 0.1, 100.0)]
+        + [("r", "none", 0, 0, 3, None, 1, 2.0, 0.1, 100.0)],
+        "run_id string, strategy string, plot_x int, plot_y int, season int, pesticide_choice string, spray_count int, "
+        "grain_tha double, resistant_fraction double, cost_per_spray double",
+    )
+    found = replay.season_ledger(log)
+    assert {r.season: r.pesticide_choice for r in found.collect()} == {1: "copper", 2: "zineb", 3: None}
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_running_days(spark):
     rows = [(1, d, load, s) for d, load, s in ((1, 0.5, 0), (2, 0.25, 1), (5, 0.75, 0), (6, 0.5, 1), (8, 0.0, 0))]
     days = spark.createDataFrame(rows, "plot_id int, day int, pest_load double, sprayed int").withColumn(
