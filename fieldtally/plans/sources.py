@@ -69,21 +69,39 @@ def _union_logs(spark, folder):
     return logs.union_logs({"low": low, "high": high})
 
 
-@plan("io4_config_from_path", sql("""
+_FILES = """
 SELECT run_id, season, plot_x, plot_y, pesticide_choice AS file_compound,
-       CAST(60 + season AS INT) AS file_efficacy_pct, CAST(plot_x AS INT) AS file_increment_pct,
+       CAST(60 + season AS INT) AS file_efficacy_pct, CAST(2 + season % 3 AS INT) AS file_increment_pct,
        CAST(floor(cost_per_spray) AS INT) AS file_cost
-FROM harvest""", "harvest"))
-def _config(spark, folder):
-    text = F.concat(
-        F.lit("logs/sensitivity_output_"), F.col("pesticide_choice"),
-        F.lit("_eff"), F.lit(60) + F.col("season"), F.lit("_inc"), F.col("plot_x"),
-        F.lit("_cost"), F.floor("cost_per_spray"), F.lit(".csv"),
+FROM harvest"""
+
+
+def _configured(spark, folder):
+    """The harvest log, written as one CSV folder for each configuration it holds."""
+    path = new_folder(spark, "configs")
+    name = F.concat(
+        F.lit("sensitivity_output_"), F.col("pesticide_choice"), F.lit("_eff"), F.lit(60) + F.col("season"),
+        F.lit("_inc"), F.lit(2) + F.col("season") % 3, F.lit("_cost"), F.floor("cost_per_spray"), F.lit(".csv"),
     )
-    rows = views.harvest(spark, folder).withColumn("path", text)
-    return logs.with_file_config(rows, "path").select(
-        "run_id", "season", "plot_x", "plot_y",
-        "file_compound", "file_efficacy_pct", "file_increment_pct", "file_cost",
+    log = conform(views.harvest(spark, folder), HARVEST_LOG)
+    logs.write_routed(logs.route(log, []).withColumn("dataset", name), path, "csv", rebalance=True)
+    return path
+
+
+@plan("io4_config_from_path", sql(_FILES, "harvest"))
+def _config(spark, folder):
+    rows = logs.read_config_logs(spark, _configured(spark, folder), HARVEST_LOG)
+    return rows.select("run_id", "season", "plot_x", "plot_y", *logs.FILE_COLUMNS)
+
+
+@plan("io4_config_filtered", sql(f"""
+SELECT file_compound, file_efficacy_pct, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT run_id) AS BIGINT) AS n_runs
+FROM ({_FILES}) f WHERE file_efficacy_pct >= 64 AND file_compound = 'etofenprox' GROUP BY ALL""", "harvest"))
+def _config_filtered(spark, folder):
+    where = (F.col("file_efficacy_pct") >= 64) & (F.col("file_compound") == "etofenprox")
+    rows = logs.read_config_logs(spark, _configured(spark, folder), HARVEST_LOG, where)
+    return rows.groupBy("file_compound", "file_efficacy_pct").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("run_id").alias("n_runs")
     )
 
 
@@ -108,13 +126,7 @@ def _clean_log(spark, folder):
     )
     lines.write.text(path)
     raw = logs.read_dirty_log(spark, path, HARVEST_LOG)
-    good = logs.clean_log(raw).groupBy("strategy").agg(
-        F.count(F.lit(1)).alias("n_lines"), F.sum("grain_tha").alias("grain")
-    )
-    bad = logs.quarantine(raw, HARVEST_LOG).groupBy(F.col("reason").alias("kind")).agg(
-        F.count(F.lit(1)).alias("n_lines")
-    )
-    return good.withColumn("kind", F.lit("good")).unionByName(bad, allowMissingColumns=True)
+    return raw.groupBy("kind", "strategy").agg(F.count(F.lit(1)).alias("n_lines"), F.sum("grain_tha").alias("grain"))
 
 
 @plan("io6_source_report", sql("""
@@ -128,6 +140,26 @@ def _source_report(spark, folder):
     return logs.source_report(views.harvest(spark, folder))
 
 
+@plan("io6_distinct_names", sql("""
+SELECT 'strategy' AS "column", strategy AS value, CAST(count(*) AS BIGINT) AS n_rows FROM harvest GROUP BY strategy
+UNION ALL
+SELECT 'pesticide_choice', pesticide_choice, CAST(count(*) AS BIGINT) FROM harvest GROUP BY pesticide_choice
+UNION ALL
+SELECT 'run_id', run_id, CAST(count(*) AS BIGINT) FROM harvest GROUP BY run_id""", "harvest"))
+def _distinct_names(spark, folder):
+    return logs.distinct_names(views.harvest(spark, folder), ["strategy", "pesticide_choice", "run_id"])
+
+
+@plan("io6_sketched_counts", sql("""
+SELECT strategy, CAST(count(DISTINCT run_id) AS BIGINT) AS n_run_id,
+       CAST(count(DISTINCT pesticide_choice) AS BIGINT) AS n_pesticide_choice
+FROM harvest GROUP BY strategy""", "harvest"))
+def _sketched_counts(spark, folder):
+    names = ["run_id", "pesticide_choice"]
+    sketches = logs.name_sketches(views.harvest(spark, folder), names, ["strategy", "season"])
+    return logs.sketched_counts(sketches, names, ["strategy"])
+
+
 @plan("io7_route", sql("""
 SELECT CASE WHEN plot_x = 0 THEN 'sensitivity_output_interval_grid'
             WHEN plot_y = 0 THEN 'sensitivity_output_interval_grid_rotation'

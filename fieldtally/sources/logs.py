@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldtally.functions.keys import as_column, nan_to_null
+from fieldtally.session import BROADCAST_ROWS
 from fieldtally.sources.contracts import Contract, conform, require_columns, with_derived
 
 CORRUPT = "_corrupt_record"
@@ -46,15 +47,19 @@ def read_log(spark: SparkSession, path: str, log: Contract, required: Sequence[s
 def read_dirty_log(spark: SparkSession, path: str, log: Contract) -> DataFrame:
     """Scan a CSV log whose appends may have gone wrong.
 
-    Every line is parsed against the contract; lines that do not fit keep their
-    text in ``_corrupt_record``.  Split the result with :func:`clean_log` and
-    :func:`quarantine`.
+    Every line is parsed once, against the contract.  ``kind`` says what it is: ``good``,
+    ``repeated header`` or ``malformed``; lines that do not fit keep their text in
+    ``_corrupt_record`` and have no values.  All that follows (:func:`clean_log`,
+    :func:`quarantine`, sums by kind) reads that one parse.
     """
     schema = log.schema.add(CORRUPT, T.StringType(), True)
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    lines = spark.read.text(path)
     parsed = F.from_csv(F.col("value"), schema.simpleString()[len("struct<"):-1].replace(":", " "), options)
-    return lines.select(parsed.alias("_row")).select("_row.*")
+    # The parse is named and then only read, so that it runs once a line.
+    rows = spark.read.text(path).select(parsed.alias("_row")).select("_row.*")
+    kind = F.when(F.col(CORRUPT).isNull(), "good").when(_header_line(log), "repeated header").otherwise("malformed")
+    good = F.col(CORRUPT).isNull()
+    return rows.select(*[F.when(good, F.col(c)).alias(c) for c in log.columns], CORRUPT, kind.alias("kind"))
 
 
 def _header_line(log: Contract) -> Column:
@@ -63,15 +68,23 @@ def _header_line(log: Contract) -> Column:
 
 def clean_log(raw: DataFrame) -> DataFrame:
     """Rows that fit the contract."""
-    return raw.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    return raw.filter(F.col(CORRUPT).isNull()).drop(CORRUPT, "kind")
 
 
 def quarantine(raw: DataFrame, log: Contract) -> DataFrame:
     """Lines that do not fit, each with its reason."""
-    return raw.filter(F.col(CORRUPT).isNotNull()).select(
-        F.col(CORRUPT).alias("line"),
-        F.when(_header_line(log), "repeated header").otherwise("malformed").alias("reason"),
-    )
+    return raw.filter(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("line"), F.col("kind").alias("reason"))
+
+
+def observe_kinds(raw: DataFrame, name: str = "lines") -> tuple[DataFrame, Observation]:
+    """The same lines, and counts of their kinds (``good``, ``repeated_header``,
+    ``malformed``) that are known once an action has run over them: writing the clean
+    rows then also tells how many lines were refused, without a second scan."""
+    seen = Observation(name)
+    counts = [
+        F.count(F.when(F.col("kind") == kind, 1)).alias(kind.replace(" ", "_")) for kind in ("good", "repeated header", "malformed")
+    ]
+    return raw.observe(seen, *counts), seen
 
 
 def union_logs(parts: Mapping[str, DataFrame], label: str = "source") -> DataFrame:
@@ -84,14 +97,17 @@ def union_logs(parts: Mapping[str, DataFrame], label: str = "source") -> DataFra
     return result
 
 
-_CONFIG = r"^(?:.*/)?sensitivity_output_([a-z]+)_eff(\d+)_inc(\d+)_cost(\d+)\.csv(?:/[^/]*)?$"
+# A configuration's name: of a file, of the folder it lies in, or of a routed dataset's folder.
+_CONFIG = r"^(?:.*/)?(?:[^/=]+=)?sensitivity_output_([a-z]+)_eff(\d+)_inc(\d+)_cost(\d+)(?:\.csv)?(?:/[^/]*)?$"
+FILE_COLUMNS = ("file_compound", "file_efficacy_pct", "file_increment_pct", "file_cost")
 
 
 def with_file_config(df: DataFrame, path: Column | str | None = None) -> DataFrame:
     """Add the run configuration that a file name spells out.
 
     ``path`` defaults to the file each row was read from, which may lie in a folder of
-    that name; names that do not follow the pattern give nulls.
+    that name; names that do not follow the pattern give nulls.  For whole logs use
+    :func:`read_config_logs`, which parses once a file.
     """
     source = F.col("_metadata.file_path") if path is None else as_column(path)
     # One pattern match per row, kept in a column of its own so that it is not
@@ -110,20 +126,100 @@ def with_file_config(df: DataFrame, path: Column | str | None = None) -> DataFra
     )
 
 
-def source_report(df: DataFrame, names: Sequence[str] = ("strategy", "pesticide_choice")) -> DataFrame:
-    """One row about a log: its rows, runs, last season, and the distinct values
-    of its naming columns.
+def config_files(spark: SparkSession, path: str, where: Column | str | None = None) -> DataFrame:
+    """The data files below ``path``, one row each: ``path`` to read it by, ``file_path``
+    as rows name it, and its configuration.  Contents are not read."""
+    listed = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+        .select("path", F.col("_metadata.file_path").alias("file_path"))
+    )
+    files = with_file_config(listed, "file_path")
+    return files if where is None else files.filter(where)
+
+
+def read_config_logs(spark: SparkSession, path: str, log: Contract, where: Column | str | None = None) -> DataFrame:
+    """CSV logs below ``path`` with the configurations that their names spell out.
+
+    Names are parsed once a file, never once a row; ``where`` is a condition on the
+    configuration and picks the files, so that others are not opened.  Each row meets
+    its file's configuration by ``_metadata.file_path``.  Only the list of files passes
+    through the driver, as for any scan.
+    """
+    files = config_files(spark, path, where).collect()
+    told = spark.createDataFrame(
+        [(r["file_path"], *(r[c] for c in FILE_COLUMNS)) for r in files],
+        "_file string, file_compound string, file_efficacy_pct int, file_increment_pct int, file_cost int",
+    )
+    if not files:
+        return spark.createDataFrame([], T.StructType([*log.schema.fields, *told.drop("_file").schema.fields]))
+    rows = (
+        spark.read.schema(log.schema).option("header", True).option("nanValue", "NaN").csv([r["path"] for r in files])
+        .select("*", F.col("_metadata.file_path").alias("_file"))
+    )
+    return nan_to_null(rows).join(F.broadcast(told) if len(files) <= BROADCAST_ROWS else told, "_file").drop("_file")
+
+
+#: Names that a report spells out for each column; how many there are is counted for all.
+LISTED = 100
+
+
+def distinct_names(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Every distinct value of the naming columns as a row: ``column``, ``value`` and how
+    many rows hold it.  Missing values are left out."""
+    names = [c for c in names if c in df.columns]
+    inventory = df.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in names]))
+    rows = inventory.select(each.alias("_c"), "n").select("_c.column", "_c.value", "n").filter(F.col("value").isNotNull())
+    return rows.groupBy("column", "value").agg(F.sum("n").alias("n_rows"))
+
+
+def name_sketches(df: DataFrame, names: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """A distinct-count sketch of each naming column, by key: a few kilobytes however many
+    names there are, and mergeable over keys, days or logs (:func:`sketched_counts`)."""
+    return df.groupBy(*keys).agg(*[F.hll_sketch_agg(F.col(c).cast("string")).alias(c) for c in names])
+
+
+def sketched_counts(sketches: DataFrame, names: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Estimated numbers of distinct names from sketches, merged over all but ``keys``.
+    Exact up to a few hundred names, within a few percent beyond."""
+    return sketches.groupBy(*keys).agg(*[F.hll_sketch_estimate(F.hll_union_agg(c)).alias(f"n_{c}") for c in names])
+
+
+def source_report(
+    df: DataFrame, names: Sequence[str] = ("strategy", "pesticide_choice"), listed: int = LISTED
+) -> DataFrame:
+    """One row about a log: its rows, runs, last season, and the distinct values of its
+    naming columns, the first ``listed`` of them in order (all as rows:
+    :func:`distinct_names`).
 
     Rows are first counted per run and naming columns, so only that inventory is
-    shuffled; the sets hold vocabulary, not data.
+    shuffled.  Names become rows and each column's first ones are picked before anything
+    is gathered, so no array grows with the data.
     """
     names = [c for c in names if c in df.columns]
     inventory = df.groupBy("run_id", *names).agg(F.count(F.lit(1)).alias("n"), F.max("season").alias("last"))
-    return inventory.agg(
+    each = F.explode(
+        F.array(*[F.struct(F.lit(i).alias("of"), F.col(c).cast("string").alias("value")) for i, c in enumerate(("run_id", *names))])
+    )
+    found = (
+        inventory.select(each.alias("_c"), "n", "last").select("_c.of", "_c.value", "n", "last")
+        .groupBy("of", "value").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+    )
+    first = Window.partitionBy("of").orderBy("value")
+    shown = (
+        found.filter((F.col("of") > 0) & F.col("value").isNotNull())
+        .withColumn("place", F.row_number().over(first)).filter(F.col("place") <= listed)
+        .select("of", F.col("value").alias("name"))
+    )
+    runs = F.col("of") == 0
+    return found.filter(runs).unionByName(shown, allowMissingColumns=True).agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
-        F.countDistinct("run_id").alias("n_runs"),
+        F.count("value").alias("n_runs"),
         F.max("last").alias("max_season"),
-        *[F.array_join(F.array_sort(F.collect_set(c)), ",").alias(f"{c}_values") for c in names],
+        *[
+            F.array_join(F.array_sort(F.collect_list(F.when(F.col("of") == i, F.col("name")))), ",").alias(f"{c}_values")
+            for i, c in enumerate(names, start=1)
+        ],
     )
 
 

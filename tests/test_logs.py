@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from fieldtally.operators import joins
 from fieldtally.session import broadcast_if_small, new_folder, shared_folder
@@ -76,6 +77,56 @@ def test_file_names_spell_out_the_run(spark, tmp_path):
     assert name in CONTRACTS
 
 
+def test_configurations_are_parsed_once_a_file_and_pick_the_files(spark):
+    path = new_folder(spark, "configs")
+    rows = spark.createDataFrame(
+        [(f"none_{i}", config_file_name("starfarm", e, 3, 100) + ".csv") for i, e in enumerate((60, 60, 70, 80))] + [("none_9", "harvest_output")],
+        "run_id string, dataset string",
+    )
+    log = Contract("config_log", ("run_id",), ())
+    logs.write_routed(rows, path, "csv")
+    found = logs.read_config_logs(spark, path, log)
+    told = {r.run_id: tuple(r)[1:] for r in found.collect()}
+    assert told == {
+        "none_0": ("starfarm", 60, 3, 100), "none_1": ("starfarm", 60, 3, 100), "none_2": ("starfarm", 70, 3, 100),
+        "none_3": ("starfarm", 80, 3, 100), "none_9": (None, None, None, None),
+    }
+    few = logs.read_config_logs(spark, path, log, F.col("file_efficacy_pct") > 60)
+    assert sorted(r.run_id for r in few.collect()) == ["none_2", "none_3"]
+    # Only files of that name are opened, and no row's own text is matched.
+    assert len(few.inputFiles()) == 2 and all("eff70" in f or "eff80" in f for f in few.inputFiles())
+    assert "regexp" not in few._jdf.queryExecution().executedPlan().toString()
+    none = logs.read_config_logs(spark, path, log, "file_cost > 999")
+    assert none.columns == found.columns and none.count() == 0
+
+
+def test_kinds_of_lines_are_counted_while_the_clean_ones_are_written(spark, tmp_path):
+    good = "none_0,none,1,0,0,2.0,1.0,0,0.0,100.0"
+    text = "\n".join([HEADER, good, "none_0,none,1,0", HEADER, good])
+    raw, seen = logs.observe_kinds(logs.read_dirty_log(spark, write(tmp_path, "a.csv", text + "\n"), GRID))
+    out = new_folder(spark, "clean")
+    logs.clean_log(raw).write.parquet(out)
+    assert spark.read.parquet(out).count() == 2
+    assert seen.get == {"good": 2, "repeated_header": 2, "malformed": 1}
+    assert raw.filter("kind <> 'good'").filter("run_id IS NOT NULL OR grain_tha IS NOT NULL").count() == 0
+
+
+def test_names_as_rows_and_sketches(spark):
+    rows = spark.createDataFrame(
+        [(f"r{i % 7}", 1 + i % 3, "ab"[i % 2] if i % 5 else None, f"n{i}") for i in range(600)],
+        "run_id string, season int, strategy string, pesticide_choice string",
+    )
+    report = logs.source_report(rows, listed=2).first()
+    assert (report.n_rows, report.n_runs, report.max_season) == (600, 7, 3)
+    assert (report.strategy_values, report.pesticide_choice_values) == ("a,b", "n0,n1")
+    names = {(r.column, r.value): r.n_rows for r in logs.distinct_names(rows, ["strategy", "run_id", "nothing"]).collect()}
+    assert names["strategy", "a"] + names["strategy", "b"] == 480 and sum(n for (c, _), n in names.items() if c == "run_id") == 600
+    sketches = logs.name_sketches(rows, ["run_id", "pesticide_choice"], ["season"])
+    merged = logs.sketched_counts(sketches, ["run_id", "pesticide_choice"]).first()
+    assert merged.n_run_id == 7 and abs(merged.n_pesticide_choice - 600) <= 30
+    assert logs.sketched_counts(sketches, ["run_id"], ["season"]).count() == 3
+
+
 def test_union_keeps_columns_of_either_log(spark):
     a = spark.createDataFrame([("r", 1)], "run_id string, x int")
     b = spark.createDataFrame([("s", 2.5)], "run_id string, y double")

@@ -38,3 +38,22 @@ def shuffles(frame):
 
 def test_rank_correlation_ranks_both_sides_in_one_pass(spark, folder):
     assert shuffles(REGISTRY["t3_spearman"].plan(spark, folder)) <= 8
+
+
+def test_neighbourhoods_copy_no_row(spark, folder):
+    text = REGISTRY["j6_neighbour_mean"].plan(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in text and "Expand" not in text and text.count("Window [") == 1
+
+
+def test_dirty_lines_are_scanned_and_parsed_once(spark, folder):
+    text = REGISTRY["io5_clean_log"].plan(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("FileScan text") == 1 and text.count("from_csv(") == 1
+
+
+@pytest.mark.parametrize(
+    "name", ["w1_cumulative_exposure", "w2_days_above_threshold", "w3_days_since_spray", "w5_heat_accumulation", "w6_growth_accumulation"]
+)
+def test_daily_windows_need_no_exchange_of_their_own(spark, folder, name):
+    """The view brings plots together; the check of repeated days rides on the same pass."""
+    text = REGISTRY[name].plan(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") <= 2
