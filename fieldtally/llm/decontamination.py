@@ -10,8 +10,9 @@ must be inside the document (length bound); there the words are compared, exactl
 The shingles of the benchmark reach the documents by a join whose side Spark broadcasts
 only if the stored table is under its threshold, and by shuffle beyond it.
 
-Null texts, and texts without words, have no windows and no hits.  A document id that
-comes twice is one document in several rows: each row is returned, with the hits of all.
+Null texts, and texts without words, have no windows and no hits.  A row is judged by its
+own text: rows are told apart by id and a hash of the text, so rows that share an id, or
+have none, keep their own hits (equal rows have equal ones).
 Items with equal windows are all counted; an item id that comes twice counts once, a null
 item id is left out.  Empty tables on either side give no hits.  Other columns are not
 carried along by :func:`contamination` and kept as they are by :func:`clean`.
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldtally.llm.tables import stored
+from fieldtally.llm.tables import stored, unused
 from fieldtally.llm.text import ascii_lower
 
 WINDOW = 10
@@ -34,6 +35,11 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), APART, -1), "")
 
 
+def _row() -> list[Column]:
+    """What tells rows apart."""
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash")]
+
+
 def _shingles(hashes: Column, size: int) -> Column:
     """Hashes of ``size`` words in a row, from each word on."""
     last = F.size(hashes) - size
@@ -54,8 +60,8 @@ def windows(benchmark: DataFrame) -> DataFrame:
 
 
 def matches(docs: DataFrame, of_items: DataFrame) -> DataFrame:
-    """doc_id, start (from 0) and window of each occurrence; ``of_items`` has item_id
-    and window."""
+    """doc_id, text_hash, start (from 0) and window of each occurrence; ``of_items`` has
+    item_id and window."""
     spark = docs.sparkSession
     each = of_items.select("window").distinct()
     each = each.withColumn("k", F.least(F.size("window"), F.lit(SHINGLE)))
@@ -70,20 +76,20 @@ def matches(docs: DataFrame, of_items: DataFrame) -> DataFrame:
         for k in sizes
     ]
     if not parts:
-        return spark.createDataFrame([], "doc_id long, start int, window array<string>")
+        return spark.createDataFrame([], "doc_id long, text_hash long, start int, window array<string>")
     wanted = parts[0]
     for part in parts[1:]:
         wanted = wanted.unionByName(part)
     wanted = stored(wanted, "shingles")
     keys = stored(wanted.select("k", "shingle").distinct(), "keys")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("w"))
-    hashes = texts.select("doc_id", F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
+    texts = docs.select(*_row(), words(F.col("text")).alias("w"))
+    hashes = texts.select("doc_id", "text_hash", F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
     found = None
     for k in sizes:
         some = (
-            hashes.select("doc_id", F.size("h").alias("n"), F.posexplode(_shingles(F.col("h"), k)).alias("place", "shingle"))
+            hashes.select("doc_id", "text_hash", F.size("h").alias("n"), F.posexplode(_shingles(F.col("h"), k)).alias("place", "shingle"))
             .join(keys.where(F.col("k") == k), "shingle")
-            .select("doc_id", "n", "place", "k", "shingle")
+            .select("doc_id", "text_hash", "n", "place", "k", "shingle")
         )
         found = some if found is None else found.unionByName(some)
     found = stored(found, "found")
@@ -96,40 +102,42 @@ def matches(docs: DataFrame, of_items: DataFrame) -> DataFrame:
     )
     candidates = (
         found.join(prefix, ["k", "shingle"])
-        .select("doc_id", "n", (F.col("place") - F.col("offset")).alias("start"), "window")
+        .select("doc_id", "text_hash", "n", (F.col("place") - F.col("offset")).alias("start"), "window")
         .where((F.col("start") >= 0) & (F.col("start") + F.size("window") <= F.col("n")))
     )
-    by_doc = candidates.groupBy(F.col("doc_id").alias("c_doc")).agg(F.collect_set(F.struct("start", "window")).alias("c"))
+    by_doc = candidates.groupBy(F.col("doc_id").alias("c_doc"), F.col("text_hash").alias("c_hash")).agg(F.collect_set(F.struct("start", "window")).alias("c"))
     by_doc = stored(by_doc, "candidates")
     # Whole texts are dealt by id, and cut into words after.
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(by_doc, F.col("doc_id").eqNullSafe(F.col("c_doc")))
-    verified = whole.select("doc_id", "c", words(F.col("text")).alias("w")).select(
+    whole = docs.select(*_row(), "text").join(by_doc, F.col("doc_id").eqNullSafe(F.col("c_doc")) & (F.col("text_hash") == F.col("c_hash")))
+    verified = whole.select("doc_id", "text_hash", "c", words(F.col("text")).alias("w")).select(
         "doc_id",
+        "text_hash",
         F.explode(
             F.filter("c", lambda c: F.slice(F.col("w"), c["start"] + 1, F.size(c["window"])) == c["window"])
         ).alias("m"),
     )
-    return verified.select("doc_id", F.col("m.start").alias("start"), F.col("m.window").alias("window")).distinct()
+    return verified.select("doc_id", "text_hash", F.col("m.start").alias("start"), F.col("m.window").alias("window")).distinct()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per document: n_words, n_hit, n_items, items (sorted item ids), contaminated."""
     of_items = stored(windows(benchmark), "windows")
     found = stored(matches(docs, of_items), "matches")
-    hits = found.groupBy(F.col("doc_id").alias("h_doc")).agg(
+    hits = found.groupBy(F.col("doc_id").alias("h_doc"), F.col("text_hash").alias("h_hash")).agg(
         F.size(F.array_distinct(F.flatten(F.transform(F.collect_list(F.struct("start", "window")), lambda m: F.sequence(m["start"], m["start"] + F.size(m["window"]) - 1))))).alias("hit")
     )
     items = (
-        found.select("doc_id", "window")
+        found.select("doc_id", "text_hash", "window")
         .distinct()
         .join(of_items, "window")
-        .groupBy(F.col("doc_id").alias("i_doc"))
+        .groupBy(F.col("doc_id").alias("i_doc"), F.col("text_hash").alias("i_hash"))
         .agg(F.sort_array(F.collect_set("item_id")).alias("found"))
     )
-    per_doc = stored(hits.join(items, F.col("h_doc").eqNullSafe(F.col("i_doc"))).select("h_doc", "hit", "found"), "hits")
+    same = F.col("h_doc").eqNullSafe(F.col("i_doc")) & (F.col("h_hash") == F.col("i_hash"))
+    per_doc = stored(hits.join(items, same).select("h_doc", "h_hash", "hit", "found"), "hits")
     return (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
-        .join(per_doc, F.col("doc_id").eqNullSafe(F.col("h_doc")), "left")
+        docs.select(*_row(), F.size(words(F.col("text"))).cast("long").alias("n_words"))
+        .join(per_doc, F.col("doc_id").eqNullSafe(F.col("h_doc")) & (F.col("text_hash") == F.col("h_hash")), "left")
         .select(
             "doc_id",
             "n_words",
@@ -144,8 +152,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no window of the benchmark occurs, unchanged."""
-    hit = stored(matches(docs, stored(windows(benchmark), "windows")).select(F.col("doc_id").alias("hit_doc")).distinct(), "hit")
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["hit_doc"]), "left_anti")
+    found = matches(docs, stored(windows(benchmark), "windows"))
+    hit = stored(found.select(F.col("doc_id").alias("hit_doc"), F.col("text_hash").alias("hit_hash")).distinct(), "hit")
+    key = unused(docs, "text_key")
+    same = docs["doc_id"].cast("long").eqNullSafe(hit["hit_doc"]) & (F.col(key) == hit["hit_hash"])
+    return docs.withColumn(key, F.xxhash64("text")).join(hit, same, "left_anti").drop(key)
 
 
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,8 @@ inequality leaves open are compared in the end.
 Shingles are 64-bit hashes: within a pair of sets two different shingles are taken for
 one with a probability of about 1e-13.  Null and empty texts have no shingles, are linked with
 nothing and are their own group; a text of fewer words than a shingle is one shingle.
-A doc_id that comes twice is one document in several rows.  A row with a null doc_id
+A doc_id that comes twice is one document in several rows: its rows' sets are linked by
+their own texts, and all reach the same groups through it.  A row with a null doc_id
 is linked with nothing.  An empty table gives an empty result.
 """
 
@@ -94,7 +95,7 @@ def _first(hashes: np.ndarray, number: int, order: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, n (set size), node (the set's name) and prefix of each row."""
+    """doc_id, text_hash, n (set size), node (the set's name) and prefix of each row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Sets(size)
@@ -111,14 +112,14 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 values = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").slice(first, last - first), pa.array(n, pa.int64()), pa.array(node, pa.int64()),
+                        *(batch.column(c).slice(first, last - first) for c in ("doc_id", "text_hash")), pa.array(n, pa.int64()), pa.array(node, pa.int64()),
                         pa.ListArray.from_arrays(pa.array(at_prefix), pa.array(values)),
                     ],
-                    ["doc_id", "n", "node", "prefix"],
+                    ["doc_id", "text_hash", "n", "node", "prefix"],
                 )
 
-    plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(work, "doc_id long, n long, node long, prefix array<long>")
+    plain = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
+    return plain.mapInArrow(work, "doc_id long, text_hash long, n long, node long, prefix array<long>")
 
 
 _COMPARED = "a long, b long, similarity double, exact boolean, linked boolean"
@@ -239,14 +240,15 @@ def node_groups(docs: DataFrame, signed_docs: DataFrame, size: int, percent: int
     )
     buckets = stored(kept.select("token", "node"), "buckets")
 
-    # One text of each node.
+    # One text of each node; an id may stand on rows with other texts.
     nodes = buckets.select("node").distinct()
     firsts = stored(
-        signed_docs.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("first_id")), "firsts"
-    )
-    texts = stored(
-        docs.select(F.col("doc_id").cast("long").alias("first_id"), "text").join(firsts, "first_id").select("node", "text").dropDuplicates(["node"]), "texts"
+        signed_docs.join(nodes, "node").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"))
+        .select("node", F.col("row.doc_id").alias("first_id"), F.col("row.text_hash").alias("first_hash")),
+        "firsts",
     )
+    told = docs.select(F.col("doc_id").cast("long").alias("first_id"), F.xxhash64("text").alias("first_hash"), "text")
+    texts = stored(told.join(firsts, ["first_id", "first_hash"]).select("node", "text").dropDuplicates(["node"]), "texts")
 
     compared, labels = None, None
     for turn in range(ROUNDS):
@@ -332,6 +334,12 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     labels = stored(node_groups(docs, linkable, size, percent), "labels")
     filled = linkable.select("doc_id", "n", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     filled = stored(filled.select("doc_id", "n", "label"), "filled")
+    # Groups that one id stands in, with different texts, are one.
+    several = filled.groupBy("doc_id").agg(F.min("label").alias("a"), F.max("label").alias("high")).where("a != high")
+    edges = stored(filled.join(several, "doc_id").where("label != a").select("a", F.col("label").alias("b")).distinct(), "same_id")
+    if not edges.isEmpty():
+        whole = components(edges).select(F.col("node").alias("label"), F.col("label").alias("whole"))
+        filled = stored(filled.join(whole, "label", "left").select("doc_id", "n", F.coalesce("whole", "label").alias("label")), "filled")
     first = stored(filled.groupBy("label").agg(F.min("doc_id").alias("component_id")), "first")
     alone = rows.where("n = 0 or doc_id is null")
     return (

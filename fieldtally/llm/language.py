@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldtally.llm.tables import unused
 from fieldtally.llm.text import blocks
 from fieldtally.session import durable
 
@@ -206,12 +207,20 @@ def of_pages(pages: DataFrame, model: Model) -> DataFrame:
     )
 
 
+def _row_key() -> Column:
+    """A name of a row by all that is judged of it and its id.  Rows that share an id, or
+    have none, are rows of their own; equal rows are judged alike."""
+    names = ("doc_id", "text", "lang", "source")
+    return F.xxhash64(*names, *[F.col(n).isNull() for n in names])
+
+
 def accepted(docs: DataFrame) -> DataFrame:
-    """The documents whose language is clear, unchanged."""
-    found = identify(docs.select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host")), learn(docs))
-    rejected = found.where("rejected").select(F.col("id").alias("rejected_id")).distinct()
-    rejected = durable(rejected)
-    return docs.join(rejected, docs["doc_id"] == rejected["rejected_id"], "left_anti")
+    """The documents whose language is clear, unchanged.  Rows are judged one by one, also
+    where ids repeat or are null."""
+    found = identify(docs.select(_row_key().alias("id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host")), learn(docs))
+    rejected = durable(found.where("rejected").select(F.col("id").alias("rejected_id")).distinct())
+    key = unused(docs, "rejected_key")
+    return docs.withColumn(key, _row_key()).join(rejected, F.col(key) == rejected["rejected_id"], "left_anti").drop(key)
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:

@@ -59,20 +59,26 @@ def _matches(kind: str, needed: Column, text: Column, pattern: str) -> Column:
 
 
 def _worded(text: Column) -> Column:
-    """As :func:`_matches`, with the two words before and after each match; "" stands for
-    a word that is missing as the text or another value is there."""
+    """As :func:`_matches`, with the end of the text before each match (backwards) and the
+    begin of the text after it, up to two words of either: one pattern match a gap."""
     found, gaps = F.regexp_extract_all(text, F.lit(WORDED), F.lit(0)), F.split(text, WORDED, -1)
     pair = lambda t: F.regexp_extract(t, r"^\s*+\S++(?:\s++\S++)?", 0)
-    words = lambda t: F.split(F.trim(F.regexp_replace(F.lower(t), r"\s+", " ")), " ")
-    ahead = lambda g: _context("b", *_two(words(F.reverse(pair(F.reverse(g)))), True))
-    behind = lambda g: _context("a", *_two(words(pair(g)), False))
     one = lambda g, v: F.struct(
-        F.lit("worded").alias("kind"), F.length(g).alias("gap"), F.length(v).alias("size"), v.alias("value"), ahead(g).alias("ahead")
+        F.lit("worded").alias("kind"), F.length(g).alias("gap"), F.length(v).alias("size"), v.alias("value"), pair(F.reverse(g)).alias("ahead")
     )
-    both = lambda m, g: F.struct(*[m[n].alias(n) for n in ("kind", "gap", "size", "value", "ahead")], behind(g).alias("behind"))
+    both = lambda m, g: F.struct(*[m[n].alias(n) for n in ("kind", "gap", "size", "value", "ahead")], pair(g).alias("behind"))
     return F.zip_with(F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, one), F.slice(gaps, F.lit(2), F.size(found)), both)
 
 
+def _with_contexts(worded: DataFrame) -> DataFrame:
+    """The two words before and after each match as contexts; "" stands for a word that is
+    missing as the text or another value is there."""
+    words = lambda t: F.split(F.trim(F.regexp_replace(F.lower(t), r"\s+", " ")), " ")
+    return worded.withColumns({"ahead": words(F.reverse("ahead")), "behind": words(F.col("behind"))}).withColumns(
+        {"ahead": _context("b", *_two(F.col("ahead"), True)), "behind": _context("a", *_two(F.col("behind"), False))}
+    )
+
+
 def _two(words: Column, last: bool) -> tuple[Column, Column]:
     """Two words of at most two; a missing one is the one further from the value."""
     lone = F.size(words) < 2
@@ -224,7 +230,7 @@ def spans(docs: DataFrame) -> DataFrame:
     by_row = stored(by_row, "base")
     worded = found.where(F.size("worded") > 0).select("row", F.posexplode("worded").alias("pos", "m")).select("row", "pos", "m.*")
     worded = worded.withColumn("kind", F.lit("worded")).withColumn("end", F.sum(F.col("gap") + F.col("size")).over(before).cast("int"))
-    near = stored(_known(_near(placed, worded), placed.where(F.col("kind").isin(*KINDS))), "near")
+    near = stored(_known(_near(placed, _with_contexts(worded)), placed.where(F.col("kind").isin(*KINDS))), "near")
     graph = near.groupBy("context", "value").agg(F.max(F.col("known") | _random_looking(F.col("value"))).alias("seed"))
     # Words around too few values are never believed, and lift no value either.
     graph = stored(graph, "graph")

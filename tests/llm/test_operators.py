@@ -151,6 +151,35 @@ def test_decontamination(spark, awkward, none):
     assert decontamination.contamination(awkward, benchmark.limit(0)).where("contaminated").count() == 0
 
 
+def test_rows_that_share_an_id_or_have_none_are_judged_apart(spark):
+    """One hit beside clean rows: decontamination and language."""
+    other = "the and of with that this from have are not but they which you all were her there been one"
+    rows = [(None, LINE), (None, "quite clean words here"), (3, LINE + " more"), (3, "quite other clean words"), (4, "clean as well"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame([("a", LINE)], "item_id string, text string")
+    found = {(r["doc_id"], r["n_words"]): r["n_hit"] for r in decontamination.contamination(docs, benchmark).collect()}
+    assert found == {(None, 16): 16, (None, 4): 0, (3, 17): 16, (3, 4): 0, (4, 3): 0, (None, 0): 0}
+    kept = decontamination.clean(docs.withColumn("text_key", F.lit(1)), benchmark)
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == sorted((d or 0, t or "") for d, t in rows if LINE not in (t or ""))
+    told = [(i, f"{other} {i}", "en", "a.x.org") for i in range(30)] + [(i, f"der die das und nicht mit von ist auf ein {i}", "de", "b.y.de") for i in range(30, 60)]
+    odd = [(None, "7 7 7", "en", "a.x.org"), (None, other, "en", "a.x.org"), (5, "9 9", "en", "a.x.org"), (5, None, None, None)]
+    docs = spark.createDataFrame(told + odd, "doc_id long, text string, lang string, source string")
+    kept = [(r["doc_id"], r["text"]) for r in language.accepted(docs).collect()]
+    assert (None, other) in kept and (5, told[5][1]) in kept
+    assert not {(None, "7 7 7"), (5, "9 9"), (5, None)} & set(kept) and len(kept) == 61
+
+
+@pytest.mark.parametrize("shared, expected", [(1, {1: {1}, 2: {1}, 3: {1}, 9: {9}}), (5, {5: {2}, 2: {2}, 3: {2}, 9: {9}})])
+def test_one_id_with_two_texts_is_linked_by_both(spark, shared, expected):
+    words = lambda name, n=40: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(shared, words("a")), (shared, words("b")), (2, words("a", 39)), (3, words("b", 39)), (9, words("c"))]
+    for order in (rows, rows[::-1]):
+        found = collections.defaultdict(set)
+        for r in jaccard.join(spark.createDataFrame(order, "doc_id long, text string"), 4, 85).collect():
+            found[r["doc_id"]].add(r["component_id"])
+        assert dict(found) == expected
+
+
 def similar_texts():
     """Families of near copies of several sizes and distances, and a line in all."""
     rng = random.Random(5)
