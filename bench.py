@@ -4,7 +4,8 @@
     BENCH_CPUS    local cores            (default 8)
     BENCH_ONLY    comma-separated names  (default: all)
 
-Prints one JSON line.  Every query is run in full into a sink that keeps
+Queries of the operators for training data are not timed here: they have budgets of
+their own (README).  Prints one JSON line.  Every query is run in full into a sink that keeps
 nothing: first all in turn to warm up, on the smallest tables beside the given
 ones, then once each for the time.
 """
