@@ -44,7 +44,7 @@ def test_stages(spark, folder):
 
 
 def test_run_and_registry(spark, folder):
-    assert "pipeline" in entry.queries() and len([n for n in entry.queries() if n.startswith("op")]) == 10
+    assert "pipeline" in entry.queries() and len([n for n in entry.queries() if n.startswith("op")]) == 13
     packed = corpus_pipeline.run(spark, folder)
     assert packed.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
