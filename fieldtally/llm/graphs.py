@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldtally.llm.tables import stored
+from fieldtally.llm.tables import releasing, stored
 
 
+@releasing
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node and label (the smallest node it is linked with) of every node in a link.
 

@@ -9,17 +9,21 @@ among the first of each under *any* global order of shingles.  Candidates have t
    documents without reading any pair.
 2. The order by rarity, on what is left of the prefixes: of the shared shingles, all but
    the ``need`` - 1 most frequent ones are kept, so that very common passages join nothing.
-3. Two more orders by other hashes, on each pair of whole sets, before they are
-   compared.
+3. Two more orders by other hashes, on whole sets, before they are compared.
 
 Copies (equal sets) are one node.  Links are needed to find groups, not all pairs in
 them, so work is linear in a group of near copies: in each round, a node is
 compared with one other (the smallest node, in an order of the round, of the rare
-shingle buckets it shares most of), as long as its buckets hold other groups.  What rounds leave open
-is settled exactly: nodes stand with the node they are linked to (their pivot) at a
-known distance, pivots of different groups that share a bucket are compared, and
-Jaccard distance being a metric, only nodes of pairs that the triangle
-inequality leaves open are compared in the end.
+shingle buckets it shares most of), as long as its buckets hold other groups.
+
+What rounds leave open is settled exactly, without making pairs.  Of each open node, Spark
+counts the shingles that some open node of another group holds: no link can rest on others,
+so the count bounds how large a partner may be.  Nodes whose buckets hold no node of
+another group within both bounds are done, which lowers the counts of the rest, and so on.
+That ends families of texts that are near one another but under the threshold.  Nodes that
+stay are dealt, with their whole sets, into blocks of bounded size; each two blocks of a
+family meet in one task, where pairs must pass the bounds and share prefix shingles under
+each of three orders before their sets are compared, and only links that join groups leave it.
 
 Shingles are 64-bit hashes: within a pair of sets two different shingles are taken for
 one with a probability of about 1e-13.  Null and empty texts have no shingles, are linked with
@@ -39,7 +43,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldtally.llm.graphs import components
-from fieldtally.llm.tables import stored
+from fieldtally.llm.tables import releasing, stored
 from fieldtally.llm.text import Hasher, LOWER, blocks, mix, shingles, signed, word_bounds
 
 #: Rounds of comparisons with one other node.
@@ -47,8 +51,8 @@ ROUNDS = 3
 #: Least number of shingles by which a prefix is longer than necessary: short sets are
 #: taken whole, so that a common line in them joins nothing.
 EXTRA = 24
-#: Nodes of a block.
-TOGETHER = 64
+#: Shingles of a block of sets.
+TOGETHER = 1 << 20
 #: Seeds of the orders by hash: of the prefixes, then of the checks on pairs.
 ORDERS = (11, 12, 13)
 
@@ -122,30 +126,22 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return plain.mapInArrow(work, "doc_id long, text_hash long, n long, node long, prefix array<long>")
 
 
-_COMPARED = "a long, b long, similarity double, exact boolean, linked boolean"
+_COMPARED = "a long, b long, linked boolean"
 
 
-def judge(x: np.ndarray, y: np.ndarray, percent: int, filters: bool) -> tuple[float, bool, bool]:
-    """Similarity, whether it is exact (else a bound from above), and linked."""
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sets are as similar as asked; the orders of checks come first."""
     least, most = sorted((len(x), len(y)))
-    if 100 * least < percent * most:
-        return least / most, False, False
-    if filters and not all(
-        np.isin(_first(x, missing(len(x), percent) + 1, o), _first(y, missing(len(y), percent) + 1, o)).any() for o in ORDERS[1:]
-    ):
-        return percent / 100, False, False
+    if least == 0 or 100 * least < percent * most:
+        return False
+    if not all(np.isin(_first(x, missing(len(x), percent) + 1, o), _first(y, missing(len(y), percent) + 1, o)).any() for o in ORDERS[1:]):
+        return False
     common = len(np.intersect1d(x, y, assume_unique=True))
-    union = least + most - common
-    return common / max(union, 1), True, union > 0 and 100 * common >= percent * union
-
-
-def _judged(a: list[int], b: list[int], told: list[tuple[float, bool, bool]]) -> list[pa.Array]:
-    similarity, exact, linked = zip(*told) if told else ((), (), ())
-    return [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(similarity, pa.float64()), pa.array(exact, pa.bool_()), pa.array(linked, pa.bool_())]
+    return 100 * common >= percent * (least + most - common)
 
 
 def compare(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """a, b, similarity, exact and linked of pairs (a, b), few of each node."""
+    """a, b and linked of pairs (a, b), few of each node."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Sets(size)
@@ -153,10 +149,8 @@ def compare(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
             for first in range(0, batch.num_rows, 64):
                 some = batch.slice(first, 64)
                 x, y = ([s for _, _, data, at in blocks(some.column(c)) for s in sets.of(data, at)] for c in ("text_a", "text_b"))
-                told = [judge(p, q, percent, True) for p, q in zip(x, y)]
-                yield pa.RecordBatch.from_arrays(
-                    _judged(some.column("a").to_pylist(), some.column("b").to_pylist(), told), ["a", "b", "similarity", "exact", "linked"]
-                )
+                told = pa.array([linked(p, q, percent) for p, q in zip(x, y)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([some.column("a"), some.column("b"), told], ["a", "b", "linked"])
 
     joined = (
         pairs.select("a", "b")
@@ -167,32 +161,139 @@ def compare(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     return stored(joined.mapInArrow(work, _COMPARED), "compared")
 
 
-def compare_in_blocks(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """As :func:`compare`, all exact, for nodes in many pairs: nodes that pairs connect are
-    dealt into blocks, and a text goes to each pair of blocks once, not to each pair."""
+def whole_sets(nodes: DataFrame, size: int) -> DataFrame:
+    """node, label, n and all shingles of (node, label, text)."""
 
-    def work(told: pa.Table, held: pa.Table) -> pa.Table:
-        sets, of = Sets(size), {}
-        held = held.combine_chunks()
-        nodes = held.column("node").to_pylist()
-        column = held.column("text").combine_chunks()
-        for first, last, data, at in blocks(column):
-            of |= zip(nodes[first:last], sets.of(data, at))
-        a, b = told.column("a").to_pylist(), told.column("b").to_pylist()
-        found = [judge(of[p], of[q], percent, False) for p, q in zip(a, b)]
-        return pa.table(_judged(a, b, found), ["a", "b", "similarity", "exact", "linked"])
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = Sets(size)
+        for batch in batches:
+            for first, last, data, at in blocks(batch.column("text")):
+                found = sets.of(data, at)
+                n = np.array([len(s) for s in found], np.int64)
+                held = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(signed(np.concatenate(found))))
+                some = batch.slice(first, last - first)
+                yield pa.RecordBatch.from_arrays([some.column("node"), some.column("label"), pa.array(n), held], ["node", "label", "n", "held"])
+
+    return nodes.select("node", "label", "text").mapInArrow(work, "node long, label long, n long, held array<long>")
+
+
+class Postings:
+    """Which of some sets hold a token."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        tokens = np.concatenate(sets)
+        order = np.argsort(tokens, kind="stable")
+        self.tokens, self.many = tokens[order], len(sets)
+        self.owners = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[order]
+
+    def common(self, tokens: np.ndarray) -> np.ndarray:
+        """How many of ``tokens`` each set holds."""
+        low, high = (np.searchsorted(self.tokens, tokens, side) for side in ("left", "right"))
+        size = high - low
+        at = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return np.bincount(self.owners[at], minlength=self.many)
+
+
+def joining_links(rows: pa.Table, percent: int) -> list[tuple[int, int]]:
+    """Links (a, b) between nodes of one block or of two that join all groups which any link
+    between them joins."""
+    node, label, n, cap, place = (rows.column(c).to_numpy() for c in ("node", "label", "n", "cap", "place"))
+    held = [np.sort(s.values.to_numpy().view(np.uint64)) for s in rows.column("held").combine_chunks()]
+    left, right = place == place.min(), place == place.max()
+    mine, other = np.flatnonzero(left), np.flatnonzero(right)
+    first = [[_first(s, missing(len(s), percent) + 1, o) for s in held] for o in ORDERS]
+    by_order = [Postings([some[i] for i in other]) for some in first]
+    whole = Postings([held[i] for i in other])
+    names, group = np.unique(label, return_inverse=True)
+    links = []
+    for x in mine:
+        may = (group[other] != group[x]) & (n[other] <= cap[x]) & (n[x] <= cap[other])
+        for some, postings in zip(first, by_order):
+            if not may.any():
+                break
+            may &= postings.common(some[x]) > 0
+        if not may.any():
+            continue
+        common = whole.common(held[x])
+        for y in other[may & (100 * common >= percent * (n[x] + n[other] - common))]:
+            if group[y] != group[x]:
+                links.append((int(node[x]), int(node[y])))
+                group[group == group[y]] = group[x]
+    return links
+
+
+def _partnerless_gone(sets: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
+    """node, label, n and cap of the nodes that may still have a partner of another group.
+
+    A link of sets of n and m rests on c shared shingles with (100 + percent) * c >=
+    percent * (n + m).  c is at most the number g of shingles that nodes of other groups
+    hold, so m is at most cap = (100 + percent) * g / percent - n.
+    """
+    tokens = sets.select("node", F.explode("held").alias("token"), "label")
+    foreign = stored(
+        tokens.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("token"), "foreign"
+    )
+    counted = tokens.join(foreign, "token").groupBy("node").agg(F.count(F.lit(1)).alias("g"))
+    sized = stored(
+        sets.select("node", "label", "n").join(counted, "node")
+        .withColumn("cap", F.floor((100 + percent) * F.col("g") / percent + 1e-9) - F.col("n"))
+        # Partners are of this or a neighbouring band of sizes (a little wider than need be).
+        .withColumn("band", F.floor(F.log("n") / F.log(F.lit(100 / percent + 0.001)))),
+        "sized",
+    )
+    stand = stored(buckets.select("token", "node").join(sized, "node"), "stand")
+    # Of each bucket and band: the smallest set and the widest bound, and those of another group than theirs.
+    keys = ["token", "band"]
+    best = stored(stand.groupBy(*keys).agg(F.min(F.struct("n", "label")).alias("low"), F.max(F.struct("cap", "label")).alias("high")), "best")
+    others = stand.join(best, keys).groupBy(*keys).agg(
+        F.first("low").alias("low"), F.first("high").alias("high"),
+        F.min(F.when(F.col("label") != F.col("low.label"), F.col("n"))).alias("low_other"),
+        F.max(F.when(F.col("label") != F.col("high.label"), F.col("cap"))).alias("high_other"),
+    )
+    near = stand.withColumn("band", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)]))).join(stored(others, "others"), keys)
+    smallest = F.when(F.col("low.label") != F.col("label"), F.col("low.n")).otherwise(F.col("low_other"))
+    widest = F.when(F.col("high.label") != F.col("label"), F.col("high.cap")).otherwise(F.col("high_other"))
+    alive = near.where((smallest <= F.col("cap")) & (widest >= F.col("n"))).select("node").distinct()
+    return sized.join(alive, "node").select("node", "label", "n", "cap")
+
+
+@releasing
+def open_links(buckets: DataFrame, labels: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """a and b of links that join all groups which rounds left apart."""
+    here = _labelled(buckets, labels)
+    tokens = here.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("token")
+    here = stored(here.join(stored(tokens, "open"), "token"), "here")
+    nodes = stored(here.select("node", "label").distinct(), "nodes")
+    sets = stored(whole_sets(texts.join(nodes, "node"), size), "sets")
+    many = sets.count()
+    while True:
+        left = stored(_partnerless_gone(sets, here, percent), "left")
+        before, many = many, left.count()
+        # Sets of those that stay go on; when few more go, the blocks settle the rest.
+        sets = stored(sets.select("node", "held").join(left, "node").select("node", "label", "n", "held", "cap"), "sets")
+        if 10 * many > 9 * before or many == 0:
+            break
 
-    family = stored(components(pairs), "families")
-    members = stored(family.groupBy("label").agg(F.count(F.lit(1)).alias("members")), "members")
+    stars = here.join(left.select("node"), "node")
+    centers = stored(stars.groupBy("token").agg(F.min("node").alias("a")), "centers")
+    edges = stars.join(centers, "token").select("a", F.col("node").alias("b")).distinct()
+    family = components(edges)
+    weight = stored(
+        family.select("node", F.col("label").alias("family")).join(left.select("node", "n"), "node").groupBy("family").agg(F.ceil(F.sum("n") / TOGETHER).alias("blocks")),
+        "weight",
+    )
+    place = F.pmod(F.xxhash64("node"), F.col("blocks"))
     placed = stored(
-        family.join(members, "label").select("node", "label", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / TOGETHER)).alias("block")), "placed"
+        family.select("node", F.col("label").alias("family")).join(weight, "family").select("node", "family", "blocks", place.alias("place")), "placed"
     )
-    side = lambda s: placed.select(F.col("node").alias(s), F.col("block").alias(f"block_{s}"), *(["label"] if s == "a" else []))
-    told = stored(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b"), "told")
-    keys = ["label", "block_a", "block_b"]
-    needed = told.select(F.col("a").alias("node"), *keys).union(told.select(F.col("b").alias("node"), *keys)).distinct()
-    held = stored(needed.join(texts, "node"), "held")
-    return stored(told.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(work, _COMPARED), "compared")
+    dealt = sets.join(placed, "node").withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    keys = [F.col("family"), F.least("place", "with").alias("i"), F.greatest("place", "with").alias("j")]
+
+    def work(rows: pa.Table) -> pa.Table:
+        links = joining_links(rows, percent)
+        return pa.table([pa.array([l[k] for l in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return dealt.select(*keys, "node", "label", "n", "cap", "place", "held").groupBy("family", "i", "j").applyInArrow(work, "a long, b long")
 
 
 def _round_key(node: Column, turn: int) -> Column:
@@ -206,6 +307,7 @@ def _labelled(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
     return buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
+@releasing
 def node_groups(docs: DataFrame, signed_docs: DataFrame, size: int, percent: int) -> DataFrame:
     """node and label of the nodes that are linked with another."""
     spark = docs.sparkSession
@@ -271,67 +373,20 @@ def node_groups(docs: DataFrame, signed_docs: DataFrame, size: int, percent: int
             break
         new = compare(pairs, texts, size, percent)
         compared = new if compared is None else stored(compared.union(new), "compared")
-        labels = stored(components(compared.where("linked")), "labels")
+        labels = components(compared.where("linked"))
     if compared is None:
         return spark.createDataFrame([], "node long, label long")
 
-    # What is left: nodes stand with the nearest node they are linked to.
-    linked = compared.where("linked")
-    ways = linked.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "similarity").union(
-        linked.select(F.col("b").alias("node"), F.col("a").alias("pivot"), "similarity")
-    )
-    busy = ways.groupBy("pivot").agg(F.count(F.lit(1)).alias("degree"))
-    pivots = stored(
-        ways.join(busy, "pivot").groupBy("node").agg(F.max(F.struct("degree", "pivot", "similarity")).alias("p")).select(
-            "node", "p.pivot", (1 - F.col("p.similarity")).alias("distance")
-        ),
-        "pivots",
-    )
-    here = _labelled(buckets, labels).join(pivots, "node", "left")
-    here = here.select("token", "node", "label", F.coalesce("pivot", "node").alias("pivot"), F.coalesce("distance", F.lit(0.0)).alias("distance"))
-    open_tokens = stored(here.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("token"), "open")
-    here = stored(here.join(open_tokens, "token"), "here")
-    stand = stored(here.groupBy("token", "pivot", "label").agg(F.max("distance").alias("radius")), "stand")
-    left, right = (stand.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("pivot", "label", "radius")]) for s in "ab")
-    facing = stored(
-        left.join(right, "token").where("label_a != label_b and pivot_a < pivot_b").groupBy("pivot_a", "pivot_b").agg(
-            F.max("radius_a").alias("radius_a"), F.max("radius_b").alias("radius_b")
-        ),
-        "facing",
-    )
-    pairs = facing.select(F.col("pivot_a").alias("a"), F.col("pivot_b").alias("b"))
-    # Distances count now: pairs that only a filter has judged are compared as well.
-    known = compared.where("exact")
-    new = compare_in_blocks(stored(pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"), "pairs"), texts, size, percent)
-    compared = stored(known.union(new), "compared")
-    labels = stored(components(compared.where("linked")), "labels")
-
-    limit = (100 - percent) / 100
-    apart = compared.select(
-        F.col("a").alias("pivot_a"), F.col("b").alias("pivot_b"), (1 - F.col("similarity")).alias("apart")
-    )
-    still = stored(
-        facing.join(apart, ["pivot_a", "pivot_b"]).where(F.col("apart") - F.col("radius_a") - F.col("radius_b") <= limit + 1e-9), "still"
-    )
-    now = stored(here.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "now")
-    side = lambda s: now.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "pivot", "distance", "label")])
-    pairs = (
-        still.join(side("a"), "pivot_a")
-        .join(side("b"), ["pivot_b", "token"])
-        .where((F.col("label_a") != F.col("label_b")) & (F.col("apart") - F.col("distance_a") - F.col("distance_b") <= limit + 1e-9))
-        .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
-        .distinct()
-        .join(compared.select("a", "b"), ["a", "b"], "left_anti")
-    )
-    new = compare_in_blocks(stored(pairs, "pairs"), texts, size, percent)
-    return components(compared.union(new).where("linked"))
+    rest = open_links(buckets, labels, texts, size, percent)
+    return components(compared.where("linked").select("a", "b").union(rest))
 
 
+@releasing
 def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id reached by links."""
     rows = stored(signatures(docs, size, percent), "signatures")
     linkable = rows.where("n > 0 and doc_id is not null")
-    labels = stored(node_groups(docs, linkable, size, percent), "labels")
+    labels = node_groups(docs, linkable, size, percent)
     filled = linkable.select("doc_id", "n", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     filled = stored(filled.select("doc_id", "n", "label"), "filled")
     # Groups that one id stands in, with different texts, are one.

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+from collections.abc import Callable
+from contextvars import ContextVar
+
+from pyspark.sql import DataFrame, SparkSession
 
 from fieldtally.session import new_folder
 
 #: Has Spark remove a query's shuffle files once the query is done.
 _TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Folders written so far by the innermost call of a :func:`releasing` function.
+_WRITTEN: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("written", default=None)
+
 
 def stored(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and go on from the files.
@@ -18,6 +25,9 @@ def stored(df: DataFrame, label: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     path = new_folder(spark, label)
+    written = _WRITTEN.get()
+    if written is not None:
+        written.append((spark, path))
     before = spark.conf.get(_TIDY, None)
     spark.conf.set(_TIDY, "true")
     try:
@@ -30,6 +40,36 @@ def stored(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def releasing(make: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Have a function write its result, and then remove all that it stored on the way.
+
+    The result's files are complete by then, so whatever a lost executor takes with it is
+    read from them.  Frames made inside must not leave the function by another way.
+    """
+
+    @functools.wraps(make)
+    def run(*args, **kwargs) -> DataFrame:
+        written: list[tuple[SparkSession, str]] = []
+        outer = _WRITTEN.set(written)
+        try:
+            made = make(*args, **kwargs)
+            _WRITTEN.reset(outer)
+            outer = None
+            return stored(made, make.__name__.strip("_"))
+        finally:
+            if outer is not None:
+                _WRITTEN.reset(outer)
+            for spark, path in written:
+                _remove(spark, path)
+
+    return run
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, lengthened until ``df`` has no such column."""
     taken = {c.lower() for c in df.columns}

@@ -9,6 +9,7 @@ import zlib
 import brute
 import compare
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -547,3 +548,63 @@ def test_model_learns_what_follows_what(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     told = scoring.score(docs).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert told[0] > 0.6 * told[1]
+
+
+def test_families_about_the_threshold(spark):
+    """Near copies of which most have their partner just above or just under the
+    threshold, in two sizes, and copies of copies."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    out = []
+    for words in (40, 200):
+        original = [word() for _ in range(words)]
+        for _ in range(60):
+            copy = list(original)
+            for _ in range(rng.randint(words // 50, words // 25)):
+                copy[rng.randrange(len(copy))] = word()
+            again = copy[: -rng.randint(1, words // 10)]
+            again[rng.randrange(len(again))] = word()
+            out += [" ".join(copy), " ".join(again)]
+    rows = list(enumerate(out))
+    rng.shuffle(rows)
+    expected = brute.op5(rows, 4, 85)
+    assert 10 < len({c for _, c in expected.values()}) < len(rows) - 10
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert by_id(jaccard.join(docs, 4, 85), ["n_shingles", "component_id"]) == expected
+
+
+def test_blocks_join_what_brute_force_joins():
+    """All links between groups are followed, whichever two blocks of a family meet."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    held = []
+    for _ in range(40):
+        some = base.copy()
+        some[rng.choice(60, rng.integers(0, 6), replace=False)] = rng.integers(0, 2**63, 1, dtype=np.uint64)
+        held.append(np.unique(some))
+    rows = pa.table({
+        "node": list(range(40)), "label": list(range(40)), "n": [len(s) for s in held], "cap": [10**6] * 40, "place": [0] * 40,
+        "held": pa.array([s.view(np.int64).tolist() for s in held], pa.list_(pa.int64())),
+    })
+
+    def groups(links):
+        label = list(range(40))
+        for a, b in links:
+            label = [label[a] if v == label[b] else v for v in label]
+        return {frozenset(i for i in range(40) if label[i] == v) for v in label}
+
+    every = [(a, b) for a in range(40) for b in range(a) if jaccard.linked(held[a], held[b], 85)]
+    found = jaccard.joining_links(rows, 85)
+    assert groups(found) == groups(every) and set(map(frozenset, found)) <= set(map(frozenset, every)) and len(found) < 40
+
+
+def test_tables_made_on_the_way_go(spark, tmp_path):
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    try:
+        docs = spark.createDataFrame(similar_texts(), "doc_id long, text string")
+        found = jaccard.join(docs, 4, 85)
+        assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["join"]
+        assert found.count() == len(similar_texts())
+    finally:
+        spark.conf.unset("spark.checkpoint.dir") if before is None else spark.conf.set("spark.checkpoint.dir", before)
