@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldtally.llm.tables import stored, unused
+from fieldtally.llm.tables import releasing, stored, unused
 from fieldtally.llm.text import ascii_lower
 
 WINDOW = 10
@@ -59,6 +59,7 @@ def windows(benchmark: DataFrame) -> DataFrame:
     )
 
 
+@releasing
 def matches(docs: DataFrame, of_items: DataFrame) -> DataFrame:
     """doc_id, text_hash, start (from 0) and window of each occurrence; ``of_items`` has
     item_id and window."""
@@ -119,10 +120,11 @@ def matches(docs: DataFrame, of_items: DataFrame) -> DataFrame:
     return verified.select("doc_id", "text_hash", F.col("m.start").alias("start"), F.col("m.window").alias("window")).distinct()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Per document: n_words, n_hit, n_items, items (sorted item ids), contaminated."""
+@releasing
+def hits_of(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """h_doc, h_hash, hit (words) and found (sorted item ids) of the documents with a match."""
     of_items = stored(windows(benchmark), "windows")
-    found = stored(matches(docs, of_items), "matches")
+    found = matches(docs, of_items)
     hits = found.groupBy(F.col("doc_id").alias("h_doc"), F.col("text_hash").alias("h_hash")).agg(
         F.size(F.array_distinct(F.flatten(F.transform(F.collect_list(F.struct("start", "window")), lambda m: F.sequence(m["start"], m["start"] + F.size(m["window"]) - 1))))).alias("hit")
     )
@@ -134,7 +136,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         .agg(F.sort_array(F.collect_set("item_id")).alias("found"))
     )
     same = F.col("h_doc").eqNullSafe(F.col("i_doc")) & (F.col("h_hash") == F.col("i_hash"))
-    per_doc = stored(hits.join(items, same).select("h_doc", "h_hash", "hit", "found"), "hits")
+    return hits.join(items, same).select("h_doc", "h_hash", "hit", "found")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Per document: n_words, n_hit, n_items, items (sorted item ids), contaminated."""
+    per_doc = hits_of(docs, benchmark)
     return (
         docs.select(*_row(), F.size(words(F.col("text"))).cast("long").alias("n_words"))
         .join(per_doc, F.col("doc_id").eqNullSafe(F.col("h_doc")) & (F.col("text_hash") == F.col("h_hash")), "left")
@@ -150,10 +157,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
+@releasing
+def hit_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """hit_doc and hit_hash of the documents with a match."""
+    found = matches(docs, stored(windows(benchmark), "windows"))
+    return found.select(F.col("doc_id").alias("hit_doc"), F.col("text_hash").alias("hit_hash")).distinct()
+
+
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no window of the benchmark occurs, unchanged."""
-    found = matches(docs, stored(windows(benchmark), "windows"))
-    hit = stored(found.select(F.col("doc_id").alias("hit_doc"), F.col("text_hash").alias("hit_hash")).distinct(), "hit")
+    hit = hit_rows(docs, benchmark)
     key = unused(docs, "text_key")
     same = docs["doc_id"].cast("long").eqNullSafe(hit["hit_doc"]) & (F.col(key) == hit["hit_hash"])
     return docs.withColumn(key, F.xxhash64("text")).join(hit, same, "left_anti").drop(key)

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldtally.llm.tables import stored, unused
+from fieldtally.llm.tables import releasing, stored, unused
 
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
@@ -210,6 +210,7 @@ def score(graph: DataFrame, against: DataFrame) -> DataFrame:
     return contexts.where((F.col("context_sure") >= SURE) & (F.col("support") >= SUPPORT)).select("context")
 
 
+@releasing
 def spans(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, the text's hash and the spans of each kind, identifiers last
     (``other``), without those that overlap a base span."""

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldtally.llm.repeats import shared_names
-from fieldtally.llm.tables import stored
+from fieldtally.llm.tables import releasing, stored
 from fieldtally.llm.text import Hasher, blocks, covered, mix, shingles, signed, word_bounds
 
 WINDOW = 13
@@ -194,9 +194,9 @@ def _lists(ids: pa.Array, row: np.ndarray, values: np.ndarray, name: str) -> pa.
     return pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(at), pa.array(signed(np.ascontiguousarray(values))))], ["doc_id", name])
 
 
-def dedupe(docs: DataFrame, with_text: bool = True) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and, if asked for, the kept words."""
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+@releasing
+def repeated(plain: DataFrame) -> DataFrame:
+    """r_doc and repeats: the windows it shares with a document of a smaller id."""
     named = stored(plain.mapInArrow(lambda b: Reader().named(b), "doc_id long, names array<long>"), "names")
     shared, _ = shared_names(named, 1)
     windows = plain.join(shared, plain.doc_id == shared.s_doc).select("doc_id", "text", F.col("shared.name").alias("shared"))
@@ -205,9 +205,13 @@ def dedupe(docs: DataFrame, with_text: bool = True) -> DataFrame:
     first = stored(
         each.groupBy("window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("window", "low"), "first"
     )
-    repeats = stored(
-        each.join(first, "window").where("doc_id > low").groupBy(F.col("doc_id").alias("r_doc")).agg(F.collect_set("window").alias("repeats")), "repeats"
-    )
+    return each.join(first, "window").where("doc_id > low").groupBy(F.col("doc_id").alias("r_doc")).agg(F.collect_set("window").alias("repeats"))
+
+
+def dedupe(docs: DataFrame, with_text: bool = True) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and, if asked for, the kept words."""
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    repeats = repeated(plain)
     found = plain.join(repeats, plain.doc_id == repeats.r_doc, "left").select("doc_id", "text", "repeats")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

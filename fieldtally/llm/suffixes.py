@@ -18,8 +18,9 @@ occurrences than a merging group gets on average is dealt over as many groups as
 by document; the firsts of their strings are then brought together by fingerprint.  Left sides and fingerprints are
 64-bit hashes.
 
-Null text is an empty text; a null doc_id takes nothing and loses nothing.  Rows that share a doc_id
-are one document: the same place in both is no repeat.  An empty table gives an
+Null text is an empty text; a null doc_id takes nothing and loses nothing.  Equal rows that share a
+doc_id are one document: the same place in both is no repeat.  Different texts under one doc_id are
+parts of it in an order of their own (by 31 bits of a hash), and each loses its own repeats.  An empty table gives an
 empty result.  Other columns are not carried along.
 """
 
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from fieldtally.llm.merging import Run, front_code, merge
 from fieldtally.llm.repeats import shared_names
-from fieldtally.llm.tables import stored
+from fieldtally.llm.tables import releasing, stored
 from fieldtally.llm.text import BASE, Hasher, blocks, mix, signed
 
 LENGTH = 100
@@ -48,6 +49,8 @@ MERGED = 40_000
 
 _PLACE = np.uint64(30)
 _PLACES = np.uint64((1 << 30) - 1)
+#: Bits of a place that stand for the part of a document; less than 2^31 is left for the place in it.
+_PART = 31
 
 
 def _fill(at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +121,7 @@ class Suffixes:
         self.right, self.left, self.numbers, self.gram, self.spread = [], [], [], [], []
         self.size = 0
 
-    def add(self, data: np.ndarray, at: np.ndarray, found: Anchors, which: np.ndarray, ids: np.ndarray, spread: np.ndarray) -> None:
+    def add(self, data: np.ndarray, at: np.ndarray, found: Anchors, which: np.ndarray, ids: np.ndarray, part: np.ndarray, spread: np.ndarray) -> None:
         place, text = found.place[which], found.text[which]
         size = np.minimum(LENGTH, at[text + 1] - place)
         left = place - found.first[which]
@@ -131,7 +134,7 @@ class Suffixes:
         before[near > left[:, None]] = 0
         self.right.append(right)
         self.left.append(before)
-        self.numbers.append(np.stack([size, left, place - found.last[which], ids[text], place - at[text]]))
+        self.numbers.append(np.stack([size, left, place - found.last[which], ids[text], place - at[text] + (part[text] << _PART)]))
         self.gram.append(found.gram[which])
         self.spread.append(spread)
         self.size += len(which)
@@ -214,7 +217,7 @@ def _sorter(buckets: int):
             for first, last, data, at in blocks(batch.column("text"), 1 << 19):
                 found = Anchors(hasher, data, at)
                 names = batch.column("shared").slice(first, last - first)
-                ids = batch.column("doc_id").slice(first, last - first).to_numpy()
+                ids, part_of = (batch.column(c).slice(first, last - first).to_numpy() for c in ("doc_id", "part"))
                 cuts = np.searchsorted(found.text, np.arange(last - first + 1))
                 for i in range(last - first):
                     told = names[i].values
@@ -226,7 +229,7 @@ def _sorter(buckets: int):
                     hit = np.flatnonzero(gram[place] == part)
                     for some in np.array_split(hit, max(1, -(-len(hit) // RUN))):
                         if len(some):
-                            held.add(data, at, found, cuts[i] + some, ids, spread[place[some]])
+                            held.add(data, at, found, cuts[i] + some, ids, part_of, spread[place[some]])
                         if held.size >= RUN:
                             yield from map(_batch, held.run(number, buckets))
                             number += 1
@@ -309,15 +312,25 @@ def _prefix_prints(strings: list[bytes]) -> np.ndarray:
     return np.cumsum((right.astype(np.uint64) + np.uint64(1)) * np.multiply.accumulate(powers), axis=1, dtype=np.uint64)
 
 
+def in_parts(plain: DataFrame) -> DataFrame:
+    """doc_id, text and part: 0, or a number of the text if its id has several texts."""
+    hashed = plain.withColumn("hash", F.xxhash64("text"))
+    several = hashed.where("doc_id is not null").groupBy("doc_id").agg(F.min("hash").alias("low"), F.max("hash").alias("high"))
+    several = stored(several.where("low != high").select(F.col("doc_id").alias("several")), "several")
+    part = F.when(F.col("several").isNull(), F.lit(0)).otherwise(F.pmod("hash", F.lit((1 << _PART) - 1)) + 1)
+    return hashed.join(several, F.col("doc_id") == F.col("several"), "left").select("doc_id", "text", part.cast("long").alias("part"))
+
+
+@releasing
 def repeated(plain: DataFrame) -> DataFrame:
-    """r_doc and ranges (first and last start) of its strings that start earlier as well."""
-    spark = plain.sparkSession
+    """r_doc, r_part and ranges (first and last start) of its strings that start earlier as well;
+    ``plain`` has doc_id, text and part."""
     plain = plain.where("doc_id is not null")
-    named = stored(plain.mapInArrow(_named, "doc_id long, names array<long>"), "names")
+    named = stored(plain.select("doc_id", "text").mapInArrow(_named, "doc_id long, names array<long>"), "names")
     shared, total = shared_names(named, MERGED)
     buckets = max(1, -(-total // MERGED))
     told = stored(
-        plain.join(shared, plain.doc_id == shared.s_doc).select("doc_id", "text", "shared").mapInArrow(_sorter(buckets), _SCHEMA), "runs"
+        plain.join(shared, plain.doc_id == shared.s_doc).select("doc_id", "text", "part", "shared").mapInArrow(_sorter(buckets), _SCHEMA), "runs"
     )
     runs = told.where("bucket is not null").select("bucket", "run", "shared", "rest", "left", "numbers")
     found = stored(
@@ -327,13 +340,16 @@ def repeated(plain: DataFrame) -> DataFrame:
     earliest = stored(firsts.groupBy("print").agg(F.min(F.struct("doc", "start")).alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select("print", "low"), "earliest")
     late = firsts.join(earliest, "print").where(F.struct("doc", "start") > F.col("low")).select("doc", "start", F.col("start").alias("end"))
     gone = told.where("doc is not null").select("doc", "start", "end").union(found.where("not first").select("doc", "start", "end")).union(late)
-    return stored(gone.groupBy(F.col("doc").alias("r_doc")).agg(F.collect_list(F.struct("start", "end")).alias("ranges")), "ranges")
+    place = lambda c: F.col(c).bitwiseAND(F.lit((1 << _PART) - 1)).alias(c)
+    return gone.groupBy(F.col("doc").alias("r_doc"), F.shiftright("start", _PART).alias("r_part")).agg(
+        F.collect_list(F.struct(place("start"), place("end"))).alias("ranges")
+    )
 
 
 def dedupe(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept
     bytes (which may cut a character)."""
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    plain = in_parts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     ranges = repeated(plain)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 6 if with_text else 5]
 
@@ -347,17 +363,15 @@ def dedupe(docs: DataFrame, with_text: bool = True) -> DataFrame:
                     removed = np.zeros(len(raw) + 2, np.int64)
                     if told[i].is_valid:
                         start, end = (told[i].values.field(n).to_numpy() for n in ("start", "end"))
-                        # A row of the same id may be shorter.
-                        fits = end + LENGTH <= len(raw)
-                        np.add.at(removed, start[fits] + 1, 1)
-                        np.subtract.at(removed, end[fits] + LENGTH + 1, 1)
+                        np.add.at(removed, start + 1, 1)
+                        np.subtract.at(removed, end + LENGTH + 1, 1)
                     removed = np.cumsum(removed[:-1]) > 0
                     kept = raw[~removed[1:]].tobytes()
                     rows.append((len(raw), int(removed.sum()), int((removed[1:] & ~removed[:-1]).sum()), hashlib.sha256(kept).hexdigest(), kept))
                 columns = [pa.array(c) for c in zip(*rows)][: len(names) - 1]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, last - first), *columns], names)
 
-    found = plain.join(ranges, plain.doc_id == ranges.r_doc, "left").select("doc_id", "text", "ranges")
+    found = plain.join(ranges, (plain.doc_id == ranges.r_doc) & (plain.part == ranges.r_part), "left").select("doc_id", "text", "ranges")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
     return found.mapInArrow(work, schema)
 

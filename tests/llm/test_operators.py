@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from fieldtally.llm import (
     attention, decontamination, jaccard, language, merging, packing, pii, quality, scoring, substrings, suffixes, toxicity,
 )
+from fieldtally.llm import text as text_module
 from fieldtally.llm.queries import ORACLE_SQL, QUERIES
 
 LINE = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
@@ -608,3 +609,29 @@ def test_tables_made_on_the_way_go(spark, tmp_path):
         assert found.count() == len(similar_texts())
     finally:
         spark.conf.unset("spark.checkpoint.dir") if before is None else spark.conf.set("spark.checkpoint.dir", before)
+
+
+def test_texts_under_one_id_lose_their_own_repeats(spark):
+    """One id on rows with different texts: a text found nowhere else stays whole."""
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    a, b, u, v = text(300), text(250), text(400), text(120)
+    rows = [(1, a), (2, u), (2, v + a), (2, v + a), (2, b), (2, None), (2, ""), (3, b + u)]
+    found = sorted((r["n_bytes"], r["n_removed"]) for r in suffixes.dedupe(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["doc_id"] == 2)
+    assert found == [(0, 0), (0, 0), (250, 0), (400, 0), (420, 300), (420, 300)]
+    last = [r for r in suffixes.dedupe(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["doc_id"] == 3]
+    assert [(r["n_bytes"], r["n_removed"]) for r in last] == [(650, 650)]
+
+
+def test_hashes_of_patterns_differ():
+    """The Thue-Morse pattern and its opposite agree in every polynomial modulo 2^64."""
+    morse = np.array([bin(i).count("1") & 1 for i in range(1024)])
+    words = np.concatenate([np.array([ord("a"), ord("b")], np.uint8)[m] for m in (morse, 1 - morse)])
+    hasher = text_module.Hasher()
+    wrapped, prime = hasher.sums(words)
+    start, end = np.array([0, 1024]), np.array([1024, 2048])
+    assert len(set(((wrapped[end] - wrapped[start]) * hasher.inverses[start]).tolist())) == 1
+    assert len(set(hasher.ranges((wrapped, prime), start, end).tolist())) == 2
+    # A range hashes alike wherever it stands.
+    twice = hasher.sums(np.tile(words, 3))
+    assert len(set(hasher.ranges(twice, np.array([5, 2053, 4101]), np.array([905, 2953, 5001])).tolist())) == 1
