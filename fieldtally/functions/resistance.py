@@ -57,10 +57,6 @@ def load_after_spray(load, realized) -> Column:
     return as_column(load) * (F.lit(1.0) - as_column(realized))
 
 
-def decay_factor(immigration=fixed.IMMIGRATION_RATE, fitness_cost=fixed.FITNESS_COST) -> Column:
-    return (F.lit(1.0) - as_column(immigration)) * (F.lit(1.0) - as_column(fitness_cost))
-
-
 def boundary_decay(rf, immigration=fixed.IMMIGRATION_RATE, fitness_cost=fixed.FITNESS_COST) -> Column:
     """A pool after one season boundary."""
     return (

@@ -196,6 +196,27 @@ def _backoff_profit(spark, folder):
     return _claim(runs, "adaptive_profit_mode", True, False, "profit")
 
 
+# The claim as it is made: only runs that are calendar and rotate when resistance shows, of a
+# log that holds both flags.
+_REACTIVE_MODES = """
+SELECT 1 AS test, CASE WHEN n % 2 = 0 THEN 'on' ELSE 'off' END AS mode, profit
+FROM (SELECT run_id, CAST(split_part(run_id, '_', 2) AS INT) AS n,
+             sum(grain_tha * 3000 - spray_count * cost_per_spray) AS profit
+      FROM harvest WHERE strategy = 'calendar' GROUP BY run_id) r
+WHERE n // 2 % 2 = 0"""
+
+
+@plan("h1b_reactive_backoff_profit", sql(_claim_sql("w", "m"), "harvest", modes=_REACTIVE_MODES,
+                                         w=WELCH.format(**_MODE), m=U_TEST.format(**_MODE)))
+def _reactive_backoff_profit(spark, folder):
+    number = run_number("run_id")
+    log = views.harvest(spark, folder).withColumns(
+        {"adaptive_profit_mode": number % 2 == 0, "rotation_reactive": F.floor(number / 2) % 2 == 0}
+    )
+    log = log.filter((F.col("strategy") == "calendar") & F.col("rotation_reactive"))
+    return _claim(run_total(log, ["adaptive_profit_mode"]), "adaptive_profit_mode", True, False, "profit")
+
+
 @plan("h1d_immigration_profit", sql(f"""
 SELECT n, round(rho, 6) AS rho, round(p, 6) + 0.0 AS p, {_VERDICT} AS verdict
 FROM ({T_P.format(source='rho_test')}) f""", "run_profit", all_runs="SELECT 1 AS one, * FROM run_profit",

@@ -32,18 +32,19 @@ def local_session(cores: int | str = 8, partitions: int | None = None) -> SparkS
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors can reach, as the cluster names it.
+    """The folder that all executors can reach, as the cluster names it: by its setting, or
+    by the context's own checkpoint folder.
 
     Only a local master may fall back to a folder of this machine.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
     known = spark.sparkContext.getCheckpointDir()
     if known:
         return known.removeprefix("file:").rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
     folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
