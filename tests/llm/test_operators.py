@@ -387,16 +387,16 @@ def test_quality(spark, folder, rows, awkward, none):
     assert quality.judge(none).count() == 0
 
 
-def test_quality_finds_what_labels_say(spark):
-    folder = "/root/testdata/sf0.1"
+def test_quality_finds_what_labels_say(spark, folder):
+    folder = f"{os.path.dirname(folder)}/sf0.1"
     found = QUERIES["op9_quality_rules"](spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id")
     told = {(r["quality"], r["kept"]): r["count"] for r in found.where("not base_failed").groupBy("quality", "kept").count().collect()}
     assert told.get((1, True), 0) >= 0.97 * (told.get((1, True), 0) + told.get((1, False), 0))
     assert told.get((0, False), 0) >= 0.8 * (told.get((0, True), 0) + told.get((0, False), 0))
 
 
-def test_toxicity(spark, none, awkward):
-    folder = "/root/testdata/sf0.1"
+def test_toxicity(spark, folder, none, awkward):
+    folder = f"{os.path.dirname(folder)}/sf0.1"
     labels = spark.read.parquet(f"{folder}/labels.parquet")
     found = QUERIES["op6_toxicity"](spark, folder).join(labels, "doc_id").where("held_out").toPandas()
     assert set(found["held_out"]) == {True}
