@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from fieldtally.llm import (
     attention, decontamination, jaccard, language, merging, packing, pii, quality, scoring, substrings, suffixes, toxicity,
 )
+from fieldtally.llm import tables
 from fieldtally.llm import text as text_module
 from fieldtally.llm.queries import ORACLE_SQL, QUERIES
 
@@ -599,16 +600,12 @@ def test_blocks_join_what_brute_force_joins():
     assert groups(found) == groups(every) and set(map(frozenset, found)) <= set(map(frozenset, every)) and len(found) < 40
 
 
-def test_tables_made_on_the_way_go(spark, tmp_path):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        docs = spark.createDataFrame(similar_texts(), "doc_id long, text string")
-        found = jaccard.join(docs, 4, 85)
-        assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["join"]
-        assert found.count() == len(similar_texts())
-    finally:
-        spark.conf.unset("spark.checkpoint.dir") if before is None else spark.conf.set("spark.checkpoint.dir", before)
+def test_tables_made_on_the_way_go(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "new_folder", lambda spark, label: f"{tmp_path}/{label}-{random.getrandbits(64):x}")
+    docs = spark.createDataFrame([(1, LINE), (2, LINE + " more"), (3, OTHER)], "doc_id long, text string")
+    found = jaccard.join(docs, 4, 85)
+    assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["join"]
+    assert found.count() == 3
 
 
 def test_texts_under_one_id_lose_their_own_repeats(spark):
