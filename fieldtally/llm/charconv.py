@@ -13,6 +13,8 @@ import numpy as np
 TAPS, FILTERS, LEARNED, HIDDEN = 5, 24, 8, 16
 #: Positions convolved at once.
 CHUNK = 1 << 15
+#: Windows of a training step.
+BATCH = 128
 LEFT, INSIDE, RIGHT = 0, 1, 2
 
 
@@ -135,14 +137,17 @@ def rows_of(windows: list[bytes], left: np.ndarray, inside: np.ndarray) -> tuple
     return data, part
 
 
-def train(windows: list[bytes], left: np.ndarray, inside: np.ndarray, told: np.ndarray, epochs: int = 16, batch: int = 128, rate: float = 0.004) -> dict:
-    """Adam on the log-loss, both classes weighing alike."""
+def constant(odds: float) -> dict[str, np.ndarray]:
+    """A network that gives every window the same log-odds."""
     p = fresh()
-    if not len(windows) or told.min() == told.max():
-        p["out"][:] = 0
-        p["out_bias"][:] = 4.0 if len(windows) and told.min() == 1 else -4.0
-        return p
-    share = np.where(told == 1, 0.5 / (told == 1).sum(), 0.5 / (told == 0).sum())
+    p["out"][:] = 0
+    p["out_bias"][:] = odds
+    return p
+
+
+def train(p: dict, windows: list[bytes], left: np.ndarray, inside: np.ndarray, told: np.ndarray, weight: np.ndarray, epochs: int, batch: int = BATCH, rate: float = 0.004) -> dict:
+    """``p`` after Adam on the weighted log-loss."""
+    p = {k: v.copy() for k, v in p.items()}
     rng = np.random.default_rng(5)
     by_length = np.argsort([len(w) for w in windows], kind="stable")
     lots = [by_length[i : i + batch] for i in range(0, len(by_length), batch)]
@@ -152,7 +157,7 @@ def train(windows: list[bytes], left: np.ndarray, inside: np.ndarray, told: np.n
         for i in rng.permutation(len(lots)):
             lot = lots[i]
             data, part = rows_of([windows[j] for j in lot], left[lot], inside[lot])
-            _, g = gradient(p, data, part, told[lot], share[lot] * len(told) / len(lot))
+            _, g = gradient(p, data, part, told[lot], weight[lot] / len(lot))
             step += 1
             for k, d in g.items():
                 d = d + 1e-4 * p[k]

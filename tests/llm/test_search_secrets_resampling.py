@@ -201,6 +201,23 @@ def test_network_finds_unseen_secrets_and_leaves_clean_text(spark):
     assert sum("model" in got[len(texts) + i] for i in range(len(clean))) <= 3
 
 
+def test_every_window_is_learned_from(spark, monkeypatch):
+    rng = random.Random(5)
+    value = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n - 1)) + rng.choice("123456789")
+    texts = [f"a word and token = \"{value(20)}\" here" for _ in range(1300)] + [f"more of 2024-11-{i:04x}.net there" for i in range(1500)]
+    texts += [f"a word and credential = \"{value(20)}\" here" for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = secrets.findings(secrets.scan(docs))
+    assert found.where("told").count() == 1300 and found.where("not told").count() >= 1500
+    learned, train = [], secrets._trained
+    monkeypatch.setattr(secrets, "SHARD", 512)
+    monkeypatch.setattr(secrets, "_trained", lambda windows, shards, first: learned.append((windows.count(), shards)) or train(windows, shards, first))
+    got = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secrets.spans(docs).collect()}
+    assert learned == [(found.count(), -(-found.count() // 512))] * 2
+    assert sum("model" in got[2800 + i] for i in range(20)) >= 16
+    assert sum("model" in got[1300 + i] for i in range(1500)) <= 15
+
+
 def test_convolution_gradient_and_windows_of_any_length(monkeypatch):
     rng = np.random.default_rng(0)
     windows = [bytes(rng.integers(32, 120, n).astype(np.uint8)) for n in (9, 30, 50, 12)]
