@@ -43,8 +43,8 @@ SUPPORT = 3
 TURNS = 4
 #: Shortest identifier.
 LEAST = 6
-#: Most contexts that are sent to all tasks.
-BROADCAST = 200_000
+#: Most contexts that all tasks know by their keys.
+KNOWN = 100_000
 
 _SPAN = "array<struct<start:int,end:int,value:string>>"
 
@@ -58,16 +58,26 @@ def _matches(kind: str, needed: Column, text: Column, pattern: str) -> Column:
     return F.when(needed, F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, one)).otherwise(empty)
 
 
-def _worded(text: Column) -> Column:
-    """As :func:`_matches`, with the end of the text before each match (backwards) and the
-    begin of the text after it, up to two words of either: one pattern match a gap."""
-    found, gaps = F.regexp_extract_all(text, F.lit(WORDED), F.lit(0)), F.split(text, WORDED, -1)
+def _with_worded(found: DataFrame) -> DataFrame:
+    """``found`` (with the text ``t``) and ``worded``: as :func:`_matches`, with the end of the
+    text before each match (backwards) and the begin of the text after it, up to two words of
+    either: one pattern match a gap.
+
+    Matches and gaps are columns of their own first, so that the texts are searched once for
+    each, and only those with a digit or "@" are.
+    """
+    text, needed = F.col("t"), F.col("t").rlike("[0-9@]")
+    found = found.withColumns({
+        "w_found": F.when(needed, F.regexp_extract_all(text, F.lit(WORDED), F.lit(0))), "w_gaps": F.when(needed, F.split(text, WORDED, -1)),
+    })
+    matches, gaps = F.col("w_found"), F.col("w_gaps")
     pair = lambda t: F.regexp_extract(t, r"^\s*+\S++(?:\s++\S++)?", 0)
     one = lambda g, v: F.struct(
         F.lit("worded").alias("kind"), F.length(g).alias("gap"), F.length(v).alias("size"), v.alias("value"), pair(F.reverse(g)).alias("ahead")
     )
     both = lambda m, g: F.struct(*[m[n].alias(n) for n in ("kind", "gap", "size", "value", "ahead")], pair(g).alias("behind"))
-    return F.zip_with(F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, one), F.slice(gaps, F.lit(2), F.size(found)), both)
+    worded = F.zip_with(F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, one), F.slice(gaps, F.lit(2), F.size(matches)), both)
+    return found.withColumn("worded", worded).drop("w_found", "w_gaps")
 
 
 def _with_contexts(worded: DataFrame) -> DataFrame:
@@ -94,22 +104,30 @@ def _context(side: str, one: Column, two: Column) -> Column:
 
 def _against(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     """context, against: how often a plain word stands where a value would, for the
-    worded ones of ``contexts``."""
+    worded ones of ``contexts``.
+
+    Words are counted by the 64-bit key of their context before contexts are joined, so that
+    the join has one row a context and none for a place in a text.  The keys of few contexts
+    are known to all tasks, which count no others.
+    """
+    worded = contexts.where("context like 'a: %' or context like 'b: %'").select("context").distinct()
+    words = F.split(F.substring("context", 4, 1 << 30), " ", -1)
+    wanted = stored(worded.select("context", F.xxhash64(F.substring("context", 1, 1), words[0], words[1]).alias("key")), "wanted")
+    known = [r["key"] for r in wanted.select("key").limit(KNOWN + 1).collect()]
+
     tokens = F.regexp_extract_all("t", F.lit(r"\S++"), F.lit(0))
     plain = F.transform(tokens, lambda w: F.when(w.rlike("[0-9@]"), "").otherwise(F.lower(w)))
     edge = F.array(F.lit(""))
     padded = docs.select(F.concat(edge, plain, edge).alias("w")).where(F.size("w") > 3)
     three = padded.select(F.inline(F.arrays_zip(F.col("w").alias("x"), F.slice("w", F.lit(2), F.size("w")).alias("y"), F.slice("w", F.lit(3), F.size("w")).alias("z"))))
-    each = three.toDF("x", "y", "z").where("y != ''").select(
-        F.explode(F.array(F.when(F.col("z") != "", _context("b", F.col("x"), F.col("y"))), F.when(F.col("x") != "", _context("a", F.col("y"), F.col("z"))))).alias("context")
+    sides = F.array(
+        F.when(F.col("z") != "", F.xxhash64(F.lit("b"), F.col("x"), F.col("y"))), F.when(F.col("x") != "", F.xxhash64(F.lit("a"), F.col("y"), F.col("z")))
     )
-    wanted = contexts.where("context like 'a: %' or context like 'b: %'").select("context").distinct()
-    few = wanted.limit(BROADCAST + 1).count() <= BROADCAST
-    if not few:
-        each = each.groupBy("context").agg(F.count(F.lit(1)).alias("n")).join(wanted, "context")
-        return stored(each.select("context", F.col("n").alias("against")), "against")
-    each = each.join(F.broadcast(wanted), "context")
-    return stored(each.groupBy("context").agg(F.count(F.lit(1)).alias("against")), "against")
+    each = three.toDF("x", "y", "z").where("y != ''").select(F.explode(sides).alias("key")).where("key is not null")
+    if len(known) <= KNOWN:
+        each = each.where(f"key in ({', '.join(map(str, known))})" if known else "false")
+    counted = each.groupBy("key").agg(F.count(F.lit(1)).alias("against"))
+    return stored(counted.join(wanted, "key").select("context", "against"), "against")
 
 
 def _luhn(digits: Column) -> Column:
@@ -216,7 +234,7 @@ def spans(docs: DataFrame) -> DataFrame:
     (``other``), without those that overlap a base span."""
     text = F.col("t")
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
-    found = found.select("doc_id", F.xxhash64("t").alias("text_hash"), _all_matches(text).alias("m"), _worded(text).alias("worded"))
+    found = _with_worded(found).select("doc_id", F.xxhash64("t").alias("text_hash"), _all_matches(text).alias("m"), "worded")
     found = stored(found.withColumn("row", F.monotonically_increasing_id()), "matches")
     # Gaps and matches take turns; a window holds the matches of one text and kind.
     before = Window.partitionBy("row", "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)

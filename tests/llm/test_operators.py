@@ -4,6 +4,7 @@ import collections
 import math
 import os
 import random
+import re
 import zlib
 
 import brute
@@ -632,3 +633,30 @@ def test_hashes_of_patterns_differ():
     # A range hashes alike wherever it stands.
     twice = hasher.sums(np.tile(words, 3))
     assert len(set(hasher.ranges(twice, np.array([5, 2053, 4101]), np.array([905, 2953, 5001])).tolist())) == 1
+
+
+@pytest.mark.parametrize("known", [100_000, 0])
+def test_words_against_contexts_are_counted_before_they_are_joined(spark, monkeypatch, known):
+    texts = ["Call 12 the Office  on\tÉCOLE now", "the office on", "the office on the Office\non x@y the", "one", "", " the ", "on on on on 7", "ΟΔΟΣ the ΟΔΟΣ, off"] * 3
+    plain = [["" if re.search("[0-9@]", w) else w.lower() for w in re.findall(r"[^ \t\n\x0b\f\r]+", t)] for t in texts]
+    want = collections.Counter()
+    for x, y, z in ((x, y, z) for words in plain for x, y, z in zip(["", *words], words, [*words[1:], ""])):
+        want.update([f"b: {x} {y}"] * bool(y and z) + [f"a: {y} {z}"] * bool(y and x))
+    contexts = [*sorted(want)[::2], "b: never met", "a: on ", "b:  nothing", "name=", "AB12"]
+    docs = spark.createDataFrame([(t,) for t in texts], "t string")
+    monkeypatch.setattr(pii, "KNOWN", known)
+    monkeypatch.setattr(pii, "stored", lambda df, label="": df)
+    found = pii._against(docs, spark.createDataFrame([(c,) for c in contexts], "context string"))
+    got = {r["context"]: r["against"] for r in found.collect()}
+    assert got == {c: want[c] for c in contexts if c in want}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate") and plan.count("Join") == 1
+
+
+def test_texts_are_searched_for_words_with_digits_once(spark):
+    docs = spark.createDataFrame([(1, "no digit"), (2, "a 12 b c3 d"), (3, ""), (4, "x@y z")], "doc_id long, t string")
+    found = pii._with_worded(docs)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1 and plan.count("split(") == 1
+    got = {r["doc_id"]: [(m["gap"], m["value"], m["ahead"][::-1].strip(), m["behind"].strip()) for m in r["worded"] or []] for r in found.collect()}
+    assert got == {1: [], 2: [(2, "12", "a", "b"), (3, "c3", "b", "d")], 3: [], 4: [(0, "x@y", "", "z")]}
