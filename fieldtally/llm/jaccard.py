@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldtally.llm.graphs import components
-from fieldtally.llm.tables import releasing, stored
+from fieldtally.llm.tables import likely, releasing, stored
 from fieldtally.llm.text import Hasher, LOWER, blocks, mix, shingles, signed, word_bounds
 
 #: Rounds of comparisons with one other node.
@@ -350,7 +350,9 @@ def node_groups(docs: DataFrame, signed_docs: DataFrame, size: int, percent: int
         "firsts",
     )
     told = docs.select(F.col("doc_id").cast("long").alias("first_id"), F.xxhash64("text").alias("first_hash"), "text")
-    texts = stored(told.join(firsts, ["first_id", "first_hash"]).select("node", "text").dropDuplicates(["node"]), "texts")
+    # Few documents have a node left, and only their texts are shuffled, once.
+    row = ["first_id", "first_hash"]
+    texts = stored(likely(told, firsts, row).dropDuplicates(row).join(firsts, row).select("node", "text"), "texts")
 
     compared, labels = None, None
     for turn in range(ROUNDS):

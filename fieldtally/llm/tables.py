@@ -7,12 +7,16 @@ from collections.abc import Callable
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fieldtally.session import new_folder
 
 #: Has Spark remove a query's shuffle files once the query is done.
 _TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Most words of 64 bits that :func:`likely` broadcasts.
+FILTER = 1 << 19
+
 #: Folders written so far by the innermost call of a :func:`releasing` function.
 _WRITTEN: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("written", default=None)
 
@@ -70,6 +74,22 @@ def releasing(make: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return run
 
 
+def likely(df: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of ``df`` whose keys ``wanted`` has, and few others: for a join by shuffle
+    that finds few of many wide rows.
+
+    The keys' hashes set bits, which are broadcast.  Beyond some ten million keys
+    the bits fill up and more rows pass, but never fewer than the join needs.
+    """
+    place, word, bits = (unused(df, n) for n in ("place", "word", "bits"))
+    at = F.pmod(F.xxhash64(*keys), F.lit(64 * FILTER))
+    words = wanted.select(at.alias(place)).groupBy(F.floor(F.col(place) / 64).alias(word)).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, CAST(`{place}` % 64 AS INT))")).alias(bits)
+    )
+    found = df.withColumn(place, at).withColumn(word, F.floor(F.col(place) / 64)).join(F.broadcast(stored(words, "likely")), word)
+    return found.where(F.getbit(F.col(bits), (F.col(place) % 64).cast("int")) == 1).select(*df.columns)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, lengthened until ``df`` has no such column."""
     taken = {c.lower() for c in df.columns}

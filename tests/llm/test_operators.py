@@ -660,3 +660,33 @@ def test_texts_are_searched_for_words_with_digits_once(spark):
     assert plan.count("regexp_extract_all(") == 1 and plan.count("split(") == 1
     got = {r["doc_id"]: [(m["gap"], m["value"], m["ahead"][::-1].strip(), m["behind"].strip()) for m in r["worded"] or []] for r in found.collect()}
     assert got == {1: [], 2: [(2, "12", "a", "b"), (3, "c3", "b", "d")], 3: [], 4: [(0, "x@y", "", "z")]}
+
+
+@pytest.mark.parametrize("words", [1 << 19, 1])
+def test_rows_that_a_join_needs_are_likely(spark, monkeypatch, words):
+    """None is lost, also where all bits are set; few others pass where they are not."""
+    monkeypatch.setattr(tables, "FILTER", words)
+    rows = [(i, -i, f"text {i}") for i in range(2000)] + [(None, 1, "no id"), (7, -7, "again"), (7, 0, "other hash")]
+    docs = spark.createDataFrame(rows, "doc_id long, hash long, place string")
+    wanted = spark.createDataFrame([(i, -i) for i in range(0, 2000, 7)], "doc_id long, hash long")
+    passed = [tuple(r) for r in tables.likely(docs, wanted, ["doc_id", "hash"]).collect()]
+    needed = {r for r in rows if r[0] is not None and r[0] % 7 == 0 and r[1] == -r[0]}
+    assert needed <= set(passed) and len(passed) == len(set(passed)) <= (len(needed) + 10 if words > 1 else len(rows))
+
+
+def test_texts_without_a_partner_are_not_shuffled(spark, monkeypatch):
+    rng = random.Random(4)
+    text = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(60))
+    near = text()
+    rows = [(i, text()) for i in range(300)] + [(300, near), (301, near + " more"), (302, near + " more"), (302, near + " more")]
+    passed = []
+
+    def spied(df, wanted, keys):
+        found = tables.likely(df, wanted, keys)
+        passed.append((df.columns, found.count()))
+        return found
+
+    monkeypatch.setattr(jaccard, "likely", spied)
+    got = by_id(jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85), ["component_id"])
+    assert got == {d: (min(d, 300),) for d, _ in rows}
+    assert passed and all("text" in columns and 2 <= n < 10 for columns, n in passed)
