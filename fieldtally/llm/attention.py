@@ -200,15 +200,19 @@ def train(flat: np.ndarray, rows: np.ndarray, classes: np.ndarray, real: np.ndar
     return flat
 
 
-def window_places(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows_in(lengths: np.ndarray, size: int = LENGTH) -> np.ndarray:
+    """Number of windows over texts of so many tokens."""
+    return np.maximum(1, -(-(lengths - OVERLAP) // (size - OVERLAP)))
+
+
+def window_places(lengths: np.ndarray, size: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows over texts of so many tokens in a row: first token, text's end, and how
     many tokens at the front only serve as context."""
-    step = LENGTH - OVERLAP
-    number = np.maximum(1, -(-(lengths - OVERLAP) // step))
+    number = windows_in(lengths, size)
     text = np.repeat(np.arange(len(lengths)), number)
     nth = np.arange(len(text)) - np.repeat(np.cumsum(number) - number, number)
     begin = np.concatenate([[0], np.cumsum(lengths)])
-    return begin[text] + nth * step, begin[text + 1], np.where(nth > 0, OVERLAP, 0)
+    return begin[text] + nth * (size - OVERLAP), begin[text + 1], np.where(nth > 0, OVERLAP, 0)
 
 
 def score(p: dict[str, np.ndarray], vocabulary: Vocabulary, ids: np.ndarray, before: np.ndarray, lengths: np.ndarray, batch: int = 128) -> np.ndarray:

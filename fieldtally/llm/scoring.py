@@ -1,7 +1,7 @@
 """Language-model scoring of documents.
 
 One pass over the texts to learn from gathers the counts of all words and of all subword
-ids, and all windows of ids of each text.  A causal self-attention model (:mod:`attention`)
+ids, and all windows of ids of each text, as stretches of many windows in a row.  A causal self-attention model (:mod:`attention`)
 is trained on these windows: shards of them are trained on at the same time, and their
 parameters averaged, twice.  A second pass scores every text.  Both learn and score in
 overlapping windows, each token once.
@@ -40,10 +40,11 @@ PART = 4096
 #: End of a text, which also stands before its first token.
 END_ID = 50256
 IDS = 50257
-#: Stands in a window's record where its text has ended.
-VOID = 0xFFFF
-#: Windows that are cut at once.
-CUT = 1 << 15
+#: Windows of a stretch, and its tokens: those that windows share are held once.
+TOGETHER = 16
+STRETCH = TOGETHER * (attention.LENGTH - attention.OVERLAP) + attention.OVERLAP
+#: Numbers before the ids in a stretch's record.
+HEAD = 3
 
 
 def held_out(doc_id: F.Column) -> F.Column:
@@ -61,36 +62,33 @@ def _tokens(encode: Encoder, texts: list[str]) -> tuple[np.ndarray, np.ndarray,
     return ids, before, lengths
 
 
-def cut(ids: np.ndarray, before: np.ndarray, lengths: np.ndarray, names: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All windows of texts in a row as keys, which deal them out, and records: how many
-    tokens at the front only serve as context, the id before the window, its ids."""
+def cut(ids: np.ndarray, before: np.ndarray, lengths: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """All windows of texts in a row, in stretches: keys, which deal them out, numbers of
+    windows, and records: how many tokens at the front only serve as context, the id
+    before them, the number of ids, the ids."""
+    first, end, context = attention.window_places(lengths, STRETCH)
+    size = np.minimum(end - first, STRETCH)
+    number = attention.windows_in(size)
     ends = np.cumsum(lengths)
-    all_first, all_end, all_context = attention.window_places(lengths)
-    for at in range(0, len(all_first), CUT):
-        first, end, context = (x[at : at + CUT] for x in (all_first, all_end, all_context))
-        where = first[:, None] + np.arange(attention.LENGTH)
-        record = np.empty((len(first), attention.LENGTH + 2), "<u2")
-        record[:, 0], record[:, 1] = context, before[first]
-        record[:, 2:] = np.where(where < end[:, None], ids[np.minimum(where, len(ids) - 1)], VOID)
-        text = np.searchsorted(ends, first, side="right")
-        place = (first - ends[text] + lengths[text]).astype(np.uint64)
-        yield signed(mix(mix(names[text].view(np.uint64), 4) + place, 5)), record
+    text = np.searchsorted(ends, first, side="right")
+    place = (first - ends[text] + lengths[text]).astype(np.uint64)
+    head = np.stack([context, before[first], size], axis=1).astype("<u2")
+    short = ids.astype("<u2")
+    records = [h.tobytes() + short[f : f + n].tobytes() for h, f, n in zip(head, first, size)]
+    return signed(mix(mix(names[text].view(np.uint64), 4) + place, 5)), number, records
 
 
 def gather(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """Rows of kind 0 (hash and count of words), 1 (id and count), 2 (key and record of a
-    window of ids) and 3 (number of texts), from the texts to learn from."""
+    """Rows of kind 0 (hash and count of words), 1 (id and count), 2 (key, number of windows
+    and record of a stretch of ids) and 3 (number of texts), from the texts to learn from."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, encode = Hasher(), Encoder(vocabulary, special=True)
         id_counts = np.zeros(IDS, np.int64)
         words, counts, size, texts = [], [], 0, 0
 
-        def rows(kind: int, key: np.ndarray, n: np.ndarray, records: np.ndarray | None = None) -> pa.RecordBatch:
-            windows = pa.nulls(len(key), pa.binary())
-            if records is not None:
-                offsets = np.arange(len(key) + 1, dtype=np.int32) * np.int32(records.itemsize * records.shape[1])
-                windows = pa.Array.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(offsets), pa.py_buffer(records)])
+        def rows(kind: int, key: np.ndarray, n: np.ndarray, records: list[bytes] | None = None) -> pa.RecordBatch:
+            windows = pa.nulls(len(key), pa.binary()) if records is None else pa.array(records, pa.binary())
             return pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(n), windows],
                 ["kind", "key", "n", "ids"],
@@ -118,8 +116,7 @@ def gather(docs: DataFrame, vocabulary: str) -> DataFrame:
                 ids, before, lengths = _tokens(encode, pc.fill_null(some.column("text"), "").to_pylist())
                 id_counts += np.bincount(ids, minlength=IDS)
                 names = some.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-                for key, records in cut(ids, before, lengths, names):
-                    yield rows(2, key, np.ones(len(key), np.int64), records)
+                yield rows(2, *cut(ids, before, lengths, names))
         if words:
             yield merged()
         seen = np.flatnonzero(id_counts)
@@ -131,10 +128,26 @@ def gather(docs: DataFrame, vocabulary: str) -> DataFrame:
 
 def _windows(raw: bytes, vocabulary: attention.Vocabulary) -> tuple[np.ndarray, ...]:
     """Rows, rows of the next ids, their classes, and which places hold tokens to predict,
-    from windows' records one after another."""
-    record = np.frombuffer(raw, "<u2").reshape(-1, attention.LENGTH + 2)
-    real = (record[:, 2:] != VOID) & (np.arange(attention.LENGTH) >= record[:, :1])
-    ids = np.where(record[:, 1:] == VOID, 0, record[:, 1:])
+    of all windows of stretches' records one after another.  The windows are mixed, so
+    that neighbours do not make a batch."""
+    record, heads, at = np.frombuffer(raw, "<u2"), [], 0
+    while at < len(record):
+        heads.append(at)
+        at += HEAD + int(record[at + 2])
+    heads = np.array(heads, np.int64)
+    size = record[heads + 2].astype(np.int64)
+    stretch = np.repeat(np.arange(len(heads)), attention.windows_in(size))
+    nth = np.arange(len(stretch)) - np.searchsorted(stretch, stretch)
+    order = np.argsort(mix(np.arange(len(stretch), dtype=np.uint64), 7))
+    stretch, nth = stretch[order], nth[order]
+    first = heads[stretch] + HEAD + nth * (attention.LENGTH - attention.OVERLAP)
+    end = (heads + HEAD + size)[stretch]
+    context = np.where(nth > 0, attention.OVERLAP, record[heads[stretch]])
+    where = first[:, None] + np.arange(attention.LENGTH)
+    real = (where < end[:, None]) & (np.arange(attention.LENGTH) >= context[:, None])
+    ids = np.empty((len(first), attention.LENGTH + 1), np.int64)
+    ids[:, 0] = record[np.where(nth > 0, first - 1, heads[stretch] + 1)]
+    ids[:, 1:] = np.where(where < end[:, None], record[np.minimum(where, len(record) - 1)], 0)
     row = vocabulary.row[ids]
     return row[:, :-1], row[:, 1:], vocabulary.of[ids[:, 1:]], real
 
@@ -152,9 +165,9 @@ def _parts(found: np.ndarray, weight: int) -> pa.Table:
 
 
 def _joined(table: pa.Table) -> pa.Table:
-    """A shard as one row: its windows' records in the order of their keys."""
+    """A shard as one row: its stretches' records in the order of their keys."""
     table = table.sort_by([("key", "ascending"), ("ids", "ascending")])
-    return pa.table({"number": pa.array([len(table)], pa.int64()), "ids": pa.array([b"".join(table.column("ids").to_pylist())], pa.binary())})
+    return pa.table({"number": pa.array([pc.sum(table.column("n")).as_py()], pa.int64()), "ids": pa.array([b"".join(table.column("ids").to_pylist())], pa.binary())})
 
 
 def _profiler(id_counts: np.ndarray):
@@ -198,14 +211,14 @@ def _averaged(parts: DataFrame) -> tuple[np.ndarray, float]:
 
 
 def learn(windows: DataFrame, id_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Parameters trained on windows (key, ids), and the classes of rows: in shards,
-    averaged after each round."""
+    """Parameters trained on stretches of windows (key, n, ids), and the classes of rows: in
+    shards, averaged after each round."""
     flat = attention.fresh()
-    shards = -(-windows.count() // SHARD)
+    shards = -(-(windows.agg(F.sum("n")).first()[0] or 0) // SHARD)
     if not shards:
         return flat, np.zeros(attention.ROWS, np.int64)
     groups = windows.withColumn("shard", F.pmod("key", F.lit(shards))).groupBy("shard")
-    dealt = stored(groups.applyInArrow(_joined, "number long, ids binary"), "shards")
+    dealt = stored(groups.applyInArrow(_joined, "number long, ids binary"), "shards", "zstd")
     schema = "part long, weight double, found array<float>"
     around, tasks = _averaged(dealt.mapInArrow(_profiler(id_counts), schema))
     of_rows = attention.cluster((around * np.float32(tasks)).reshape(attention.ROWS, -1))
@@ -218,13 +231,13 @@ def score(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
     spark, path = docs.sparkSession, vocabulary or default_vocabulary()
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    told = stored(gather(plain.where(~held_out(F.col("doc_id"))), path), "gathered")
+    told = stored(gather(plain.where(~held_out(F.col("doc_id"))), path), "gathered", "zstd")
     words = stored(told.where("kind = 0").groupBy(F.col("key").alias("word")).agg(F.sum("n").alias("c")), "words")
     # At most as many rows as the vocabulary has ids.
     id_counts = np.zeros(IDS)
     for r in told.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).collect():
         id_counts[r["key"]] = r["n"]
-    windows = told.where("kind = 2").select("key", "ids")
+    windows = told.where("kind = 2").select("key", "n", "ids")
     # The end id may also stand inside texts, so they are counted apart.
     texts = told.where("kind = 3").agg(F.sum("n")).first()[0] or 0
     flat, of_rows = learn(windows, id_counts)

@@ -21,7 +21,7 @@ FILTER = 1 << 19
 _WRITTEN: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("written", default=None)
 
 
-def stored(df: DataFrame, label: str = "stage") -> DataFrame:
+def stored(df: DataFrame, label: str = "stage", compression: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and go on from the files.
 
     Survives lost executors, and Spark then knows the size, so that it broadcasts only
@@ -35,7 +35,7 @@ def stored(df: DataFrame, label: str = "stage") -> DataFrame:
     before = spark.conf.get(_TIDY, None)
     spark.conf.set(_TIDY, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
     finally:
         if before is None:
             spark.conf.unset(_TIDY)

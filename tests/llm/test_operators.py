@@ -690,3 +690,28 @@ def test_texts_without_a_partner_are_not_shuffled(spark, monkeypatch):
     got = by_id(jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85), ["component_id"])
     assert got == {d: (min(d, 300),) for d, _ in rows}
     assert passed and all("text" in columns and 2 <= n < 10 for columns, n in passed)
+
+
+def test_windows_of_stretches_are_those_of_texts():
+    """Every window of every text comes out of the stretches, whatever the text's length,
+    and tokens that windows share are held once."""
+    rng = np.random.default_rng(2)
+    lengths = np.array([1, 8, 9, 31, 32, 33, 56, 57, 391, 392, 393, 776, 777, 4000])
+    ids = rng.integers(0, scoring.IDS, lengths.sum())
+    ids[:40] = scoring.END_ID
+    before = np.concatenate([[0], ids[:-1]])
+    before[np.cumsum(lengths) - lengths] = scoring.END_ID
+    key, number, records = scoring.cut(ids, before, lengths, np.arange(len(lengths)))
+    words = attention.Vocabulary(np.ones(scoring.IDS))
+    words.row = np.arange(scoring.IDS)
+    rows, nexts, _, real = scoring._windows(b"".join(records), words)
+    first, end, context = attention.window_places(lengths)
+    place = np.arange(attention.LENGTH)
+    where = first[:, None] + place
+    wanted = (where < end[:, None]) & (place >= context[:, None])
+    seen = lambda before, after, real: sorted((tuple(b[: r.nonzero()[0][-1] + 1]), tuple(a[r])) for b, a, r in zip(before, after, real))
+    at = np.minimum(where, len(ids) - 1)
+    assert seen(rows, nexts, real) == seen(before[at], ids[at], wanted)
+    assert number.sum() == len(rows) == len(first) and len(set(key.tolist())) == len(key) == len(records)
+    # 68 bytes for each 24 tokens before.
+    assert sum(map(len, records)) < 2.1 * lengths.sum()
