@@ -136,13 +136,17 @@ def hidden(p: dict[str, np.ndarray], rows: np.ndarray) -> np.ndarray:
 
 
 def class_scores(p: dict[str, np.ndarray], rows: np.ndarray, wanted: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """log10 probability of the classes at the wanted places of the windows."""
-    logits = hidden(p, rows)[wanted] @ p["out"]
+    """log10 probability of the classes at the wanted places of the windows.
+
+    Products go window by window and sums row by row, so that a window's scores do not
+    depend on how many others are scored with it.
+    """
+    logits = (hidden(p, rows) @ p["out"])[wanted]
     logits += p["bias"]
     np.minimum(logits, MOST, out=logits)
     own = logits[np.arange(len(classes)), classes]
     np.exp(logits, out=logits)
-    return (own - np.log(logits @ np.ones(CLASSES, np.float32))) * np.float32(np.log10(np.e))
+    return (own - np.log(logits.sum(axis=1))) * np.float32(np.log10(np.e))
 
 
 def gradient(p: dict[str, np.ndarray], rows: np.ndarray, classes: np.ndarray, real: np.ndarray, into: dict[str, np.ndarray]) -> float:

@@ -715,3 +715,17 @@ def test_windows_of_stretches_are_those_of_texts():
     assert number.sum() == len(rows) == len(first) and len(set(key.tolist())) == len(key) == len(records)
     # 68 bytes for each 24 tokens before.
     assert sum(map(len, records)) < 2.1 * lengths.sum()
+
+
+def test_equal_texts_score_alike_wherever_they_stand():
+    rng = np.random.default_rng(7)
+    words = attention.Vocabulary(rng.integers(0, 50, 300).astype(float), rng.integers(0, attention.CLASSES, attention.ROWS))
+    p = attention.views(attention.fresh())
+    one = rng.integers(0, 300, 100)
+    found = set()
+    for ahead in (*range(40), *range(2980, 3080, 4)):
+        ids = np.concatenate([rng.integers(0, 300, ahead + 1), one, rng.integers(0, 300, 3)])
+        before = np.concatenate([[299], ids[:-1]])
+        before[[0, ahead + 1, ahead + 101]] = 299
+        found.add(float(attention.score(p, words, ids, before, np.array([ahead + 1, 100, 3]))[1]))
+    assert len(found) == 1
