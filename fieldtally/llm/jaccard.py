@@ -158,7 +158,7 @@ def compare(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
         .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         .select("a", "b", "text_a", "text_b")
     )
-    return stored(joined.mapInArrow(work, _COMPARED), "compared")
+    return stored(joined.mapInArrow(work, _COMPARED), "compared", few=True)
 
 
 def whole_sets(nodes: DataFrame, size: int) -> DataFrame:
@@ -231,7 +231,7 @@ def _partnerless_gone(sets: DataFrame, buckets: DataFrame, percent: int) -> Data
     """
     tokens = sets.select("node", F.explode("held").alias("token"), "label")
     foreign = stored(
-        tokens.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("token"), "foreign"
+        tokens.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("token"), "foreign", few=True
     )
     counted = tokens.join(foreign, "token").groupBy("node").agg(F.count(F.lit(1)).alias("g"))
     sized = stored(
@@ -239,18 +239,18 @@ def _partnerless_gone(sets: DataFrame, buckets: DataFrame, percent: int) -> Data
         .withColumn("cap", F.floor((100 + percent) * F.col("g") / percent + 1e-9) - F.col("n"))
         # Partners are of this or a neighbouring band of sizes (a little wider than need be).
         .withColumn("band", F.floor(F.log("n") / F.log(F.lit(100 / percent + 0.001)))),
-        "sized",
+        "sized", few=True,
     )
-    stand = stored(buckets.select("token", "node").join(sized, "node"), "stand")
+    stand = stored(buckets.select("token", "node").join(sized, "node"), "stand", few=True)
     # Of each bucket and band: the smallest set and the widest bound, and those of another group than theirs.
     keys = ["token", "band"]
-    best = stored(stand.groupBy(*keys).agg(F.min(F.struct("n", "label")).alias("low"), F.max(F.struct("cap", "label")).alias("high")), "best")
+    best = stored(stand.groupBy(*keys).agg(F.min(F.struct("n", "label")).alias("low"), F.max(F.struct("cap", "label")).alias("high")), "best", few=True)
     others = stand.join(best, keys).groupBy(*keys).agg(
         F.first("low").alias("low"), F.first("high").alias("high"),
         F.min(F.when(F.col("label") != F.col("low.label"), F.col("n"))).alias("low_other"),
         F.max(F.when(F.col("label") != F.col("high.label"), F.col("cap"))).alias("high_other"),
     )
-    near = stand.withColumn("band", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)]))).join(stored(others, "others"), keys)
+    near = stand.withColumn("band", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)]))).join(stored(others, "others", few=True), keys)
     smallest = F.when(F.col("low.label") != F.col("label"), F.col("low.n")).otherwise(F.col("low_other"))
     widest = F.when(F.col("high.label") != F.col("label"), F.col("high.cap")).otherwise(F.col("high_other"))
     alive = near.where((smallest <= F.col("cap")) & (widest >= F.col("n"))).select("node").distinct()
@@ -262,29 +262,29 @@ def open_links(buckets: DataFrame, labels: DataFrame, texts: DataFrame, size: in
     """a and b of links that join all groups which rounds left apart."""
     here = _labelled(buckets, labels)
     tokens = here.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("token")
-    here = stored(here.join(stored(tokens, "open"), "token"), "here")
-    nodes = stored(here.select("node", "label").distinct(), "nodes")
-    sets = stored(whole_sets(texts.join(nodes, "node"), size), "sets")
+    here = stored(here.join(stored(tokens, "open", few=True), "token"), "here", few=True)
+    nodes = stored(here.select("node", "label").distinct(), "nodes", few=True)
+    sets = stored(whole_sets(texts.join(nodes, "node"), size), "sets", few=True)
     many = sets.count()
     while True:
-        left = stored(_partnerless_gone(sets, here, percent), "left")
+        left = stored(_partnerless_gone(sets, here, percent), "left", few=True)
         before, many = many, left.count()
         # Sets of those that stay go on; when few more go, the blocks settle the rest.
-        sets = stored(sets.select("node", "held").join(left, "node").select("node", "label", "n", "held", "cap"), "sets")
+        sets = stored(sets.select("node", "held").join(left, "node").select("node", "label", "n", "held", "cap"), "sets", few=True)
         if 10 * many > 9 * before or many == 0:
             break
 
     stars = here.join(left.select("node"), "node")
-    centers = stored(stars.groupBy("token").agg(F.min("node").alias("a")), "centers")
+    centers = stored(stars.groupBy("token").agg(F.min("node").alias("a")), "centers", few=True)
     edges = stars.join(centers, "token").select("a", F.col("node").alias("b")).distinct()
     family = components(edges)
     weight = stored(
         family.select("node", F.col("label").alias("family")).join(left.select("node", "n"), "node").groupBy("family").agg(F.ceil(F.sum("n") / TOGETHER).alias("blocks")),
-        "weight",
+        "weight", few=True,
     )
     place = F.pmod(F.xxhash64("node"), F.col("blocks"))
     placed = stored(
-        family.select("node", F.col("label").alias("family")).join(weight, "family").select("node", "family", "blocks", place.alias("place")), "placed"
+        family.select("node", F.col("label").alias("family")).join(weight, "family").select("node", "family", "blocks", place.alias("place")), "placed", few=True
     )
     dealt = sets.join(placed, "node").withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     keys = [F.col("family"), F.least("place", "with").alias("i"), F.greatest("place", "with").alias("j")]
@@ -347,12 +347,12 @@ def node_groups(docs: DataFrame, signed_docs: DataFrame, size: int, percent: int
     firsts = stored(
         signed_docs.join(nodes, "node").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"))
         .select("node", F.col("row.doc_id").alias("first_id"), F.col("row.text_hash").alias("first_hash")),
-        "firsts",
+        "firsts", few=True,
     )
     told = docs.select(F.col("doc_id").cast("long").alias("first_id"), F.xxhash64("text").alias("first_hash"), "text")
     # Few documents have a node left, and only their texts are shuffled, once.
     row = ["first_id", "first_hash"]
-    texts = stored(likely(told, firsts, row).dropDuplicates(row).join(firsts, row).select("node", "text"), "texts")
+    texts = stored(likely(told, firsts, row).dropDuplicates(row).join(firsts, row).select("node", "text"), "texts", few=True)
 
     compared, labels = None, None
     for turn in range(ROUNDS):
@@ -362,7 +362,7 @@ def node_groups(docs: DataFrame, signed_docs: DataFrame, size: int, percent: int
             .agg(F.min(F.struct(_round_key(F.col("node"), turn).alias("key"), "node", "label")).alias("c"), F.min("label").alias("low"), F.max("label").alias("high"))
             .where("low != high")
             .select("token", F.col("c.node").alias("center"), F.col("c.label").alias("center_label")),
-            "centers",
+            "centers", few=True,
         )
         met = here.join(centers, "token").where("label != center_label").groupBy("node", "center").count()
         pairs = met.groupBy("node").agg(F.max(F.struct("count", "center")).alias("best")).select(
@@ -370,11 +370,11 @@ def node_groups(docs: DataFrame, signed_docs: DataFrame, size: int, percent: int
         ).distinct()
         if compared is not None:
             pairs = pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
+        pairs = stored(pairs, "pairs", few=True)
         if pairs.isEmpty():
             break
         new = compare(pairs, texts, size, percent)
-        compared = new if compared is None else stored(compared.union(new), "compared")
+        compared = new if compared is None else stored(compared.union(new), "compared", few=True)
         labels = components(compared.where("linked"))
     if compared is None:
         return spark.createDataFrame([], "node long, label long")
@@ -390,14 +390,14 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     linkable = rows.where("n > 0 and doc_id is not null")
     labels = node_groups(docs, linkable, size, percent)
     filled = linkable.select("doc_id", "n", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    filled = stored(filled.select("doc_id", "n", "label"), "filled")
+    filled = stored(filled.select("doc_id", "n", "label"), "filled", few=True)
     # Groups that one id stands in, with different texts, are one.
     several = filled.groupBy("doc_id").agg(F.min("label").alias("a"), F.max("label").alias("high")).where("a != high")
-    edges = stored(filled.join(several, "doc_id").where("label != a").select("a", F.col("label").alias("b")).distinct(), "same_id")
+    edges = stored(filled.join(several, "doc_id").where("label != a").select("a", F.col("label").alias("b")).distinct(), "same_id", few=True)
     if not edges.isEmpty():
         whole = components(edges).select(F.col("node").alias("label"), F.col("label").alias("whole"))
-        filled = stored(filled.join(whole, "label", "left").select("doc_id", "n", F.coalesce("whole", "label").alias("label")), "filled")
-    first = stored(filled.groupBy("label").agg(F.min("doc_id").alias("component_id")), "first")
+        filled = stored(filled.join(whole, "label", "left").select("doc_id", "n", F.coalesce("whole", "label").alias("label")), "filled", few=True)
+    first = stored(filled.groupBy("label").agg(F.min("doc_id").alias("component_id")), "first", few=True)
     alone = rows.where("n = 0 or doc_id is null")
     return (
         filled.join(first, "label")
@@ -409,7 +409,7 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 def first_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The first document of each group, unchanged."""
     found = join(docs, size, percent)
-    gone = stored(found.where("doc_id != component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    gone = stored(found.where("doc_id != component_id").select(F.col("doc_id").alias("gone", few=True)).distinct(), "gone", few=True)
     return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
 
 

@@ -17,17 +17,33 @@ _TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Most words of 64 bits that :func:`likely` broadcasts.
 FILTER = 1 << 19
 
+#: Bytes of tables read that a file of a table written with ``few`` stands for.
+FILE = 8 << 20
+
 #: Folders written so far by the innermost call of a :func:`releasing` function.
 _WRITTEN: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("written", default=None)
 
 
-def stored(df: DataFrame, label: str = "stage", compression: str | None = None) -> DataFrame:
+def files_for(df: DataFrame) -> int:
+    """Files for a table made of others without becoming much larger than they are: one for
+    each ``FILE`` bytes that they hold, and two for each core at least."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    held = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    # Spark takes a size that it does not know for one beyond all bounds.
+    return min(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-held // FILE)), 2**31 - 1)
+
+
+def stored(df: DataFrame, label: str = "stage", compression: str | None = None, few: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and go on from the files.
 
     Survives lost executors, and Spark then knows the size, so that it broadcasts only
-    what is small.  The shuffle files that led there go at once.
+    what is small.  The shuffle files that led there go at once.  ``few`` is for tables that
+    may be small: a file takes its time to make, whatever it holds, so they get no more than
+    :func:`files_for` says, however many partitions a shuffle has.
     """
     spark = df.sparkSession
+    if few:
+        df = df.coalesce(files_for(df))
     path = new_folder(spark, label)
     written = _WRITTEN.get()
     if written is not None:
@@ -49,11 +65,12 @@ def _remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def releasing(make: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+def releasing(make: Callable[..., DataFrame], few: bool = False) -> Callable[..., DataFrame]:
     """Have a function write its result, and then remove all that it stored on the way.
 
     The result's files are complete by then, so whatever a lost executor takes with it is
     read from them.  Frames made inside must not leave the function by another way.
+    ``few`` holds for the result as in :func:`stored`.
     """
 
     @functools.wraps(make)
@@ -64,7 +81,7 @@ def releasing(make: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
             made = make(*args, **kwargs)
             _WRITTEN.reset(outer)
             outer = None
-            return stored(made, make.__name__.strip("_"))
+            return stored(made, make.__name__.strip("_"), few=few)
         finally:
             if outer is not None:
                 _WRITTEN.reset(outer)
@@ -86,7 +103,7 @@ def likely(df: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
     words = wanted.select(at.alias(place)).groupBy(F.floor(F.col(place) / 64).alias(word)).agg(
         F.bit_or(F.expr(f"shiftleft(1L, CAST(`{place}` % 64 AS INT))")).alias(bits)
     )
-    found = df.withColumn(place, at).withColumn(word, F.floor(F.col(place) / 64)).join(F.broadcast(stored(words, "likely")), word)
+    found = df.withColumn(place, at).withColumn(word, F.floor(F.col(place) / 64)).join(F.broadcast(stored(words, "likely", few=True)), word)
     return found.where(F.getbit(F.col(bits), (F.col(place) % 64).cast("int")) == 1).select(*df.columns)
 
 

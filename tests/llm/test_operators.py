@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldtally.llm import (
-    attention, decontamination, jaccard, language, merging, packing, pii, quality, scoring, substrings, suffixes, toxicity,
+    attention, decontamination, graphs, jaccard, language, merging, packing, pii, quality, scoring, substrings, suffixes, toxicity,
 )
 from fieldtally.llm import tables
 from fieldtally.llm import text as text_module
@@ -729,3 +729,33 @@ def test_equal_texts_score_alike_wherever_they_stand():
         before[[0, ahead + 1, ahead + 101]] = 299
         found.add(float(attention.score(p, words, ids, before, np.array([ahead + 1, 100, 3]))[1]))
     assert len(found) == 1
+
+
+def test_small_tables_of_groups_have_few_files(spark, monkeypatch):
+    """A file takes its time, so a small table has no file for each partition of a shuffle;
+    a larger one has more."""
+    held = {}
+
+    def counted(session, path):
+        held[path.split("/")[-1].split("-")[0], path] = len(session.read.parquet(path).inputFiles())
+        remove(session, path)
+
+    remove = tables._remove
+    monkeypatch.setattr(tables, "_remove", counted)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    links = spark.createDataFrame([(i, i + 1) for i in range(0, 3000, 2)], "a long, b long").localCheckpoint()
+    shared = tables.stored(links)
+    least = 2 * spark.sparkContext.defaultParallelism
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = graphs.components(shared)
+        assert {r["node"]: r["label"] for r in found.collect()} == {i: i - i % 2 for i in range(3000)}
+        assert {k for k, _ in held} == {"edges", "lowest"} and max(held.values()) <= least < 64
+        assert len(found.inputFiles()) <= least
+        monkeypatch.setattr(tables, "FILE", 200)
+        assert tables.files_for(shared) > 2 * least and len(graphs.components(shared).inputFiles()) > least
+        assert tables.files_for(links) > 1000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
