@@ -41,14 +41,13 @@ def profiles(rows: np.ndarray, nexts: np.ndarray, real: np.ndarray) -> np.ndarra
     the rows before and after it, summed, and how often it was met."""
     sketch = np.random.default_rng(9).normal(0, 1, (ROWS, SKETCH)).astype(np.float32)
     out = np.zeros((ROWS, 2 * SKETCH + 1), np.float32)
-    one, two = rows[real], nexts[real]
+    # Each pair of neighbours once, with how often it was met.
+    pairs, often = np.unique(rows[real] * ROWS + nexts[real], return_counts=True)
+    one, two = pairs // ROWS, pairs % ROWS
     for which, other, at in ((two, one, 0), (one, two, SKETCH)):
-        order = np.argsort(which, kind="stable")
-        ranked = which[order]
-        first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.zeros(0, np.int64)
-        if len(first):
-            out[ranked[first], at : at + SKETCH] = np.add.reduceat(sketch[other[order]], first, axis=0)
-    out[:, -1] = np.bincount(two, minlength=ROWS)
+        for d in range(SKETCH):
+            out[:, at + d] = np.bincount(which, weights=often * sketch[:, d].astype(np.float64)[other], minlength=ROWS)
+    out[:, -1] = np.bincount(two, weights=often, minlength=ROWS)
     return out
 
 
@@ -97,32 +96,16 @@ def fresh(seed: int = 5) -> np.ndarray:
     return flat
 
 
-MASK = np.where(np.tri(LENGTH, dtype=bool), 0, -1e9).astype(np.float32)
 SCALE = np.float32(WIDTH**-0.5)
-
-
-def _attend(p: dict[str, np.ndarray], rows: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Hidden states of windows ``[window, place]`` of embedding rows, and what led there."""
-    x = p["embed"][rows] + p["place"]
-    q, k, v = x @ p["q"], x @ p["k"], x @ p["v"]
-    a = np.matmul(q, k.transpose(0, 2, 1))
-    a *= SCALE
-    a += MASK
-    a -= a.max(axis=2, keepdims=True)
-    np.exp(a, out=a)
-    a /= a.sum(axis=2, keepdims=True)
-    o = np.matmul(a, v)
-    return x + o @ p["o"], x, q, k, v, a, o
-
-
-#: Logits are kept under this, so that exponentials need no running maximum.
+#: Logits are kept under this (in training also above its negative), so that exponentials
+#: need no running maximum.
 MOST = np.float32(60)
 CAUSAL = np.tri(LENGTH, dtype=np.float32)
 
 
 def hidden(p: dict[str, np.ndarray], rows: np.ndarray) -> np.ndarray:
-    """As the first of :func:`_attend`, for scoring: sums of exponentials come with the
-    product that uses them, as a column of ones beside the values."""
+    """Hidden states of windows ``[window, place]`` of embedding rows: sums of exponentials
+    come with the product that uses them, as a column of ones beside the values."""
     x = p["embed"][rows] + p["place"]
     q, k = x @ (p["q"] * SCALE), np.ascontiguousarray((x @ p["k"]).transpose(0, 2, 1))
     v = np.ones((*x.shape[:2], WIDTH + 1), np.float32)
@@ -149,41 +132,92 @@ def class_scores(p: dict[str, np.ndarray], rows: np.ndarray, wanted: np.ndarray,
     return (own - np.log(logits.sum(axis=1))) * np.float32(np.log10(np.e))
 
 
+def _softened(a: np.ndarray) -> None:
+    """Exponentials of logits, in place."""
+    np.clip(a, -MOST, MOST, out=a)
+    np.exp(a, out=a)
+
+
 def gradient(p: dict[str, np.ndarray], rows: np.ndarray, classes: np.ndarray, real: np.ndarray, into: dict[str, np.ndarray]) -> float:
-    """Mean loss over real places; its gradient goes to ``into``."""
-    h, x, q, k, v, a, o = _attend(p, rows)
-    logits = h @ p["out"] + p["bias"]
-    logits -= logits.max(axis=2, keepdims=True)
-    soft = np.exp(logits)
-    soft /= soft.sum(axis=2, keepdims=True)
-    w, t = np.nonzero(real)
-    number = max(1, len(w))
-    loss = -np.log(np.maximum(soft[w, t, classes[w, t]], 1e-30)).sum() / number
-    soft[w, t, classes[w, t]] -= 1
-    soft *= real[:, :, None] / np.float32(number)
+    """Mean loss over real places; its gradient goes to ``into``.
+
+    Queries, keys and values are one product, sums are products with ones, and only real
+    places get logits.
+    """
+    x = p["embed"][rows] + p["place"]
+    windows, length, width = x.shape
     flat = lambda z: z.reshape(-1, z.shape[-1])
-    into["out"][:] = flat(h).T @ flat(soft)
-    into["bias"][:] = flat(soft).sum(axis=0)
-    dh = soft @ p["out"].T
-    into["o"][:] = flat(o).T @ flat(dh)
+    weights = np.concatenate([p["q"] * SCALE, p["k"], p["v"]], axis=1)
+    qkv = (flat(x) @ weights).reshape(windows, length, 3 * width)
+    q, k, v = (qkv[:, :, i * width : (i + 1) * width] for i in range(3))
+    a = np.matmul(q, np.ascontiguousarray(k.transpose(0, 2, 1)))
+    _softened(a)
+    a *= CAUSAL
+    a /= (flat(a) @ np.ones(length, np.float32)).reshape(windows, length, 1)
+    o = flat(np.matmul(a, v))
+    h = flat(x) + o @ p["o"]
+
+    at = np.flatnonzero(real)
+    number = max(1, len(at))
+    share = np.float32(1 / number)
+    wanted, own = h[at], (np.arange(len(at)), classes.ravel()[at])
+    soft = wanted @ p["out"]
+    soft += p["bias"]
+    _softened(soft)
+    soft /= (soft @ np.ones(CLASSES, np.float32))[:, None]
+    loss = -np.log(np.maximum(soft[own], 1e-30)).sum() / number
+    soft[own] -= 1
+    wanted *= share
+    into["out"][:] = wanted.T @ soft
+    into["bias"][:] = np.full(len(at), share) @ soft
+
+    dh = np.zeros_like(h)
+    dh[at] = soft @ (p["out"].T * share)
+    into["o"][:] = o.T @ dh
     do = dh @ p["o"].T
-    da = np.matmul(do, v.transpose(0, 2, 1))
-    dv = np.matmul(a.transpose(0, 2, 1), do)
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * SCALE
-    dq, dk = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q)
-    dx = dh.copy()
-    for name, d in (("q", dq), ("k", dk), ("v", dv)):
-        into[name][:] = flat(x).T @ flat(d)
-        dx += d @ p[name].T
-    into["place"][:] = dx.sum(axis=0)
-    order = np.argsort(rows, axis=None, kind="stable")
+    # What a row's weights share is the product with its own output.
+    mean = (do * o) @ np.ones(width, np.float32)
+    do = do.reshape(x.shape)
+    ds = np.matmul(do, np.ascontiguousarray(v.transpose(0, 2, 1)))
+    ds -= mean.reshape(windows, length, 1)
+    ds *= a
+    d = flat(np.concatenate([np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), do)], axis=2))
+    change = flat(x).T @ d
+    into["q"][:], into["k"][:], into["v"][:] = change[:, :width] * SCALE, change[:, width : 2 * width], change[:, 2 * width :]
+    dx = dh + d @ weights.T
+    into["place"][:] = dx.reshape(x.shape).sum(axis=0)
+    # Sixteen bits are sorted by their digits.
+    order = np.argsort(rows.ravel().astype(np.uint16), kind="stable")
     ranked = rows.ravel()[order]
     first = np.concatenate([[0], np.flatnonzero(ranked[1:] != ranked[:-1]) + 1])
     into["embed"][:] = 0
-    into["embed"][ranked[first]] = np.add.reduceat(flat(dx)[order], first, axis=0)
+    into["embed"][ranked[first]] = np.add.reduceat(dx[order], first, axis=0)
     return float(loss)
 
 
+#: Parameters that a step changes at once: they stay near the processor.
+NEAR = 1 << 14
+
+
+def _moved(flat: np.ndarray, change: np.ndarray, first: np.ndarray, second: np.ndarray, rate: float, step: int) -> None:
+    """One step of Adam, in place; ``change`` is used up."""
+    two = (1 - 0.99**step) ** 0.5
+    pace, least = np.float32(rate * two / (1 - 0.9**step)), np.float32(1e-8 * two)
+    for at in range(0, len(flat), NEAR):
+        f, c, m, s = (z[at : at + NEAR] for z in (flat, change, first, second))
+        m *= np.float32(0.9)
+        s *= np.float32(0.99)
+        c *= np.float32(0.1)
+        m += c
+        c *= c
+        s += c
+        np.sqrt(s, out=c)
+        c += least
+        np.divide(m, c, out=c)
+        c *= pace
+        f -= c
+
+
 def train(flat: np.ndarray, rows: np.ndarray, classes: np.ndarray, real: np.ndarray, rate: float, batch: int = 64, least: int = 300) -> np.ndarray:
     """Parameters after Adam over the windows in the order given: once, or as often as
     makes ``least`` steps."""
@@ -197,10 +231,7 @@ def train(flat: np.ndarray, rows: np.ndarray, classes: np.ndarray, real: np.ndar
         at = starts[(step - 1) % len(starts)]
         some = slice(at, at + batch)
         gradient(p, rows[some], classes[some], real[some], into)
-        first += (change - first) * np.float32(0.1)
-        second += (change * change - second) * np.float32(0.01)
-        one, two = 1 - 0.9**step, 1 - 0.99**step
-        flat -= np.float32(rate / one) * first / (np.sqrt(second / np.float32(two)) + np.float32(1e-8))
+        _moved(flat, change, first, second, rate, step)
     return flat
 
 

@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import tracemalloc
 import zlib
 
 import brute
@@ -759,3 +760,34 @@ def test_small_tables_of_groups_have_few_files(spark, monkeypatch):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_profiles_and_steps_are_plain_ones_without_copies():
+    """What stands around a row is summed by distinct pairs, without a projection for each
+    token, and steps of Adam need no copies of all parameters."""
+    rng = np.random.default_rng(3)
+    rows, nexts = (rng.integers(0, 50, (8000, 32)) for _ in range(2))
+    real = rng.random(rows.shape) < 0.8
+    tracemalloc.start()
+    found = attention.profiles(rows, nexts, real)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 120 * real.sum()
+    sketch = np.random.default_rng(9).normal(0, 1, (attention.ROWS, attention.SKETCH)).astype(np.float32).astype(float)
+    want = np.zeros((attention.ROWS, 2 * attention.SKETCH + 1))
+    np.add.at(want[:, : attention.SKETCH], nexts[real], sketch[rows[real]])
+    np.add.at(want[:, attention.SKETCH : -1], rows[real], sketch[nexts[real]])
+    want[:, -1] = np.bincount(nexts[real], minlength=attention.ROWS)
+    assert np.allclose(found, want, rtol=1e-4, atol=1e-2)
+
+    flat, first, second = rng.normal(size=attention.SIZE).astype(np.float32), *np.zeros((2, attention.SIZE), np.float32)
+    plain, m, s = flat.astype(float), np.zeros(attention.SIZE), np.zeros(attention.SIZE)
+    for step in (1, 2, 3):
+        change = rng.normal(size=attention.SIZE).astype(np.float32)
+        m, s = 0.9 * m + 0.1 * change, 0.99 * s + 0.01 * change.astype(float) ** 2
+        plain -= 0.01 * m / (1 - 0.9**step) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
+        tracemalloc.start()
+        attention._moved(flat, change, first, second, 0.01, step)
+        assert tracemalloc.get_traced_memory()[1] < attention.SIZE
+        tracemalloc.stop()
+    assert np.allclose(flat, plain, atol=1e-5)
