@@ -409,7 +409,7 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 def first_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The first document of each group, unchanged."""
     found = join(docs, size, percent)
-    gone = stored(found.where("doc_id != component_id").select(F.col("doc_id").alias("gone", few=True)).distinct(), "gone", few=True)
+    gone = stored(found.where("doc_id != component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone", few=True)
     return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
 
 
