@@ -141,13 +141,17 @@ def _windows(raw: bytes, vocabulary: attention.Vocabulary) -> tuple[np.ndarray,
     order = np.argsort(mix(np.arange(len(stretch), dtype=np.uint64), 7))
     stretch, nth = stretch[order], nth[order]
     first = heads[stretch] + HEAD + nth * (attention.LENGTH - attention.OVERLAP)
-    end = (heads + HEAD + size)[stretch]
+    left = (heads + HEAD + size)[stretch] - first
     context = np.where(nth > 0, attention.OVERLAP, record[heads[stretch]])
-    where = first[:, None] + np.arange(attention.LENGTH)
-    real = (where < end[:, None]) & (np.arange(attention.LENGTH) >= context[:, None])
-    ids = np.empty((len(first), attention.LENGTH + 1), np.int64)
-    ids[:, 0] = record[np.where(nth > 0, first - 1, heads[stretch] + 1)]
-    ids[:, 1:] = np.where(where < end[:, None], record[np.minimum(where, len(record) - 1)], 0)
+    place = np.arange(attention.LENGTH)
+    real = (place < left[:, None]) & (place >= context[:, None])
+    # Each window with the id before it, in two bytes an id.
+    longer = np.concatenate([record, np.zeros(attention.LENGTH, "<u2")])
+    ids = np.lib.stride_tricks.sliding_window_view(longer, attention.LENGTH + 1)[first - 1]
+    begin = np.flatnonzero(nth == 0)
+    ids[begin, 0] = record[heads[stretch[begin]] + 1]
+    short = np.flatnonzero(left < attention.LENGTH)
+    ids[short, 1:] *= place < left[short, None]
     row = vocabulary.row[ids]
     return row[:, :-1], row[:, 1:], vocabulary.of[ids[:, 1:]], real
 

@@ -791,3 +791,51 @@ def test_profiles_and_steps_are_plain_ones_without_copies():
         assert tracemalloc.get_traced_memory()[1] < attention.SIZE
         tracemalloc.stop()
     assert np.allclose(flat, plain, atol=1e-5)
+
+
+def test_context_asks_nothing_and_steps_need_no_new_room(monkeypatch):
+    """Windows with and without context get plain attention's loss, gradient and scores,
+    and a step after the first makes few arrays anew."""
+    rng = np.random.default_rng(4)
+    flat = attention.fresh().astype(np.float64)
+    flat[-attention.CLASSES :] = rng.normal(size=attention.CLASSES)
+    p = attention.views(flat)
+    rows, classes = rng.integers(0, 50, (64, attention.LENGTH)), rng.integers(0, attention.CLASSES, (64, attention.LENGTH))
+    real = np.ones(rows.shape, bool)
+    real[::3, : attention.OVERLAP] = False
+    real[1, 20:] = real[3, 20:] = False
+
+    def plain() -> np.ndarray:
+        x = p["embed"][rows] + p["place"]
+        a = x @ p["q"] @ (x @ p["k"]).transpose(0, 2, 1) * attention.WIDTH**-0.5
+        a = np.where(np.tri(attention.LENGTH, dtype=bool), np.exp(a), 0)
+        logits = (x + a / a.sum(axis=2, keepdims=True) @ (x @ p["v"]) @ p["o"]) @ p["out"] + p["bias"]
+        logits -= np.log(np.exp(logits).sum(axis=2, keepdims=True))
+        return np.take_along_axis(logits, classes[:, :, None], 2)[:, :, 0][real]
+
+    assert attention.class_scores(p, rows, real, classes[real]) == pytest.approx(plain() / math.log(10), rel=1e-5)
+    found = np.zeros(attention.SIZE)
+    assert attention.gradient(p, rows, classes, real, attention.views(found)) == pytest.approx(-plain().mean(), rel=1e-6)
+    at = 0
+    for name, shape in attention.SHAPES.items():
+        i = at + (int(rows[0, 3]) * attention.WIDTH + 2 if name == "embed" else 5)
+        at += int(np.prod(shape))
+        sides = []
+        for step in (1e-5, -1e-5):
+            flat[i] += step
+            sides.append(-plain().mean())
+            flat[i] -= step
+        assert found[i] == pytest.approx((sides[0] - sides[1]) / 2e-5, rel=1e-3, abs=1e-9)
+
+    start, most, moved = flat.astype(np.float32), [], attention._moved
+
+    def watched(*args) -> None:
+        most.append(tracemalloc.get_traced_memory()[1] - tracemalloc.get_traced_memory()[0])
+        moved(*args)
+        tracemalloc.reset_peak()
+
+    monkeypatch.setattr(attention, "_moved", watched)
+    tracemalloc.start()
+    attention.train(start, rows, classes, real, 0.01, least=3)
+    tracemalloc.stop()
+    assert len(most) == 3 and max(most[1:]) < 1 << 19
