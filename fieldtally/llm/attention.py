@@ -275,31 +275,22 @@ def gradient(p: dict[str, np.ndarray], rows: np.ndarray, classes: np.ndarray, re
     return float(-np.log(np.maximum(chances, 1e-30)).sum() / max(1, len(chances)))
 
 
-#: Parameters that a step changes at once: they stay near the processor.  Embeddings are
-#: a whole number of such parts.
+#: Parameters that a step changes at once: they stay near the processor.
 NEAR = 1 << 14
-assert ROWS * WIDTH % NEAR == 0
 
 
-def _moved(flat: np.ndarray, change: np.ndarray, first: np.ndarray, second: np.ndarray, rate: float, step: int, met: np.ndarray | None = None, found: np.ndarray | None = None) -> None:
-    """One step of Adam, in place; ``change`` is used up.  Of embeddings, only the rows
-    ``met`` change by ``found``, if given, and all others by 0."""
+def _moved(flat: np.ndarray, change: np.ndarray, first: np.ndarray, second: np.ndarray, rate: float, step: int) -> None:
+    """One step of Adam, in place; ``change`` is used up."""
     two = (1 - 0.99**step) ** 0.5
     pace, least = np.float32(rate * two / (1 - 0.9**step)), np.float32(1e-8 * two)
-    if met is not None:
-        # What comes in is decayed below with what is there.
-        views(first)["embed"][met] += found * np.float32(0.1 / 0.9)
-        found *= found
-        views(second)["embed"][met] += found * np.float32(0.01 / 0.99)
     for at in range(0, len(flat), NEAR):
         f, c, m, s = (z[at : at + NEAR] for z in (flat, change, first, second))
         m *= np.float32(0.9)
         s *= np.float32(0.99)
-        if met is None or at >= ROWS * WIDTH:
-            c *= np.float32(0.1)
-            m += c
-            c *= c
-            s += c
+        c *= np.float32(0.1)
+        m += c
+        c *= c
+        s += c
         np.sqrt(s, out=c)
         c += least
         np.divide(m, c, out=c)
@@ -307,20 +298,62 @@ def _moved(flat: np.ndarray, change: np.ndarray, first: np.ndarray, second: np.n
         f -= c
 
 
+class Rows:
+    """Adam of embeddings, of which a step meets few: as :func:`_moved` with 0 for the rest.
+
+    Moments are held as what they were without the decay of all rows, with the root of the
+    second, so that a step writes only to rows it meets before it changes all embeddings.
+    """
+
+    #: Steps after which the decay is put in, before numbers grow too large.
+    DECAY = 256
+
+    def __init__(self, embed: np.ndarray) -> None:
+        self.embed = embed
+        self.first, self.second, self.root = (np.zeros_like(embed) for _ in range(3))
+        self.spare = np.empty(NEAR, embed.dtype)
+        self.age = 0
+
+    def move(self, met: np.ndarray, found: np.ndarray, rate: float, step: int) -> None:
+        """``found`` is used up."""
+        if self.age == self.DECAY:
+            for held, decay in ((self.first, 0.9), (self.second, 0.99), (self.root, 0.99**0.5)):
+                held *= np.float32(decay**self.age)
+            self.age = 0
+        self.age += 1
+        self.first[met] += found * np.float32(0.1 * 0.9**-self.age)
+        found *= found
+        found *= np.float32(0.01 * 0.99**-self.age)
+        found += self.second[met]
+        self.second[met] = found
+        self.root[met] = np.sqrt(found, out=found)
+        two, shrunk = (1 - 0.99**step) ** 0.5, 0.99 ** (self.age / 2)
+        pace, least = np.float32(rate * two / (1 - 0.9**step) * 0.9**self.age / shrunk), np.float32(1e-8 * two / shrunk)
+        flat = [z.reshape(-1) for z in (self.embed, self.first, self.root)]
+        for at in range(0, self.embed.size, NEAR):
+            f, m, r = (z[at : at + NEAR] for z in flat)
+            c = self.spare[: len(f)]
+            np.add(r, least, out=c)
+            np.divide(m, c, out=c)
+            c *= pace
+            f -= c
+
+
 def train(flat: np.ndarray, rows: np.ndarray, classes: np.ndarray, real: np.ndarray, rate: float, batch: int = 64, least: int = 300) -> np.ndarray:
     """Parameters after Adam over the windows in the order given: once, or as often as
     makes ``least`` steps."""
     flat = flat.copy()
     p, change, room = views(flat), np.zeros(SIZE, np.float32), Room()
-    into = views(change)
-    first, second = np.zeros(SIZE, np.float32), np.zeros(SIZE, np.float32)
+    into, embeddings, rest = views(change), Rows(p["embed"]), slice(p["embed"].size, SIZE)
+    first, second = np.zeros(SIZE - rest.start, np.float32), np.zeros(SIZE - rest.start, np.float32)
     starts = list(range(0, len(rows), batch))
     steps = max(least, len(starts)) if starts else 0
     for step in range(1, steps + 1):
         at = starts[(step - 1) % len(starts)]
         some = slice(at, at + batch)
         met, found, _ = _change(p, rows[some], classes[some], real[some], into, room)
-        _moved(flat, change, first, second, rate, step, met, found)
+        embeddings.move(met, found, rate, step)
+        _moved(flat[rest], change[rest], first, second, rate, step)
     return flat
 
 

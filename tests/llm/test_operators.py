@@ -839,3 +839,23 @@ def test_context_asks_nothing_and_steps_need_no_new_room(monkeypatch):
     attention.train(start, rows, classes, real, 0.01, least=3)
     tracemalloc.stop()
     assert len(most) == 3 and max(most[1:]) < 1 << 19
+
+
+def test_rows_move_as_all_parameters_do():
+    """Embeddings move as if each step changed all of them, across puttings in of the decay,
+    and a step writes to the moments of the rows it meets alone."""
+    rng = np.random.default_rng(8)
+    embed = rng.normal(size=(attention.ROWS, attention.WIDTH)).astype(np.float32)
+    plain, first, second = embed.ravel().copy(), *np.zeros((2, embed.size), np.float32)
+    moving = attention.Rows(embed)
+    for step in range(1, 2 * moving.DECAY + 20):
+        met = np.unique(rng.integers(0, 200, 40) ** 2 // 8)
+        found = rng.normal(size=(len(met), attention.WIDTH)).astype(np.float32) * np.float32(1e-3)
+        change = np.zeros_like(embed)
+        change[met] = found
+        attention._moved(plain, change.ravel(), first, second, 0.01, step)
+        before = moving.first.copy()
+        moving.move(met, found, 0.01, step)
+        if step != moving.DECAY + 1 and step != 2 * moving.DECAY + 1:
+            assert set(np.flatnonzero((before != moving.first).any(axis=1))) <= set(met)
+    assert np.abs(embed.ravel() - plain).max() < 2e-5
