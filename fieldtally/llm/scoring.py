@@ -1,9 +1,9 @@
 """Language-model scoring of documents.
 
-One pass over the texts to learn from gathers the counts of all words and of all subword
+One pass over the texts gathers the ids of each, and from those to learn from the counts of all words and of all subword
 ids, and all windows of ids of each text, as stretches of many windows in a row.  A causal self-attention model (:mod:`attention`)
 is trained on these windows: shards of them are trained on at the same time, and their
-parameters averaged, twice.  A second pass scores every text.  Both learn and score in
+parameters averaged, twice.  A pass over the ids scores every text.  Both learn and score in
 overlapping windows, each token once.
 
 Beside the model's score stands that of words alone.  Counts of the ``POPULAR`` most
@@ -43,6 +43,8 @@ IDS = 50257
 #: Windows of a stretch, and its tokens: those that windows share are held once.
 TOGETHER = 16
 STRETCH = TOGETHER * (attention.LENGTH - attention.OVERLAP) + attention.OVERLAP
+#: Tokens of whole texts scored at once.
+SCORED = 1 << 18
 #: Numbers before the ids in a stretch's record.
 HEAD = 3
 
@@ -80,7 +82,10 @@ def cut(ids: np.ndarray, before: np.ndarray, lengths: np.ndarray, names: np.ndar
 
 def gather(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Rows of kind 0 (hash and count of words), 1 (id and count), 2 (key, number of windows
-    and record of a stretch of ids) and 3 (number of texts), from the texts to learn from."""
+    and record of a stretch of ids) and 3 (number of texts), from the texts to learn from,
+    which are all but those marked by a column ``held``; and, with that column, of kind 4
+    (doc_id and all ids) from every text."""
+    marked = "held" in docs.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, encode = Hasher(), Encoder(vocabulary, special=True)
@@ -101,10 +106,13 @@ def gather(docs: DataFrame, vocabulary: str) -> DataFrame:
             return rows(0, signed(key[first]), np.add.reduceat(n, first))
 
         for batch in batches:
-            texts += batch.num_rows
+            held = batch.column("held").to_numpy(zero_copy_only=False) if marked else np.zeros(batch.num_rows, bool)
+            texts += int(np.count_nonzero(~held))
             for first, last, data, at in blocks(batch.column("text")):
-                starts, ends, _ = word_bounds(data, at)
-                key, n = np.unique(hasher.ranges(hasher.sums(LOWER[data]), starts, ends), return_counts=True)
+                learned = ~held[first:last]
+                starts, ends, text = word_bounds(data, at)
+                counted = learned[text]
+                key, n = np.unique(hasher.ranges(hasher.sums(LOWER[data]), starts[counted], ends[counted]), return_counts=True)
                 if len(key):
                     words.append(key)
                     counts.append(n)
@@ -114,9 +122,17 @@ def gather(docs: DataFrame, vocabulary: str) -> DataFrame:
                     words, counts, size = [], [], 0
                 some = batch.slice(first, last - first)
                 ids, before, lengths = _tokens(encode, pc.fill_null(some.column("text"), "").to_pylist())
+                if marked:
+                    short, to = ids.astype("<u2"), np.cumsum(lengths)
+                    whole = pa.array([short[e - n : e].tobytes() for n, e in zip(lengths, to)], pa.binary())
+                    kinds = pa.array(np.full(len(lengths), 4, np.int32))
+                    yield pa.RecordBatch.from_arrays([kinds, some.column("doc_id"), pa.array(lengths), whole], ["kind", "key", "n", "ids"])
+                    there = np.repeat(learned, lengths)
+                    some, ids, before, lengths = some.filter(pa.array(learned)), ids[there], before[there], lengths[learned]
                 id_counts += np.bincount(ids, minlength=IDS)
-                names = some.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-                yield rows(2, *cut(ids, before, lengths, names))
+                if len(lengths):
+                    names = some.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+                    yield rows(2, *cut(ids, before, lengths, names))
         if words:
             yield merged()
         seen = np.flatnonzero(id_counts)
@@ -156,6 +172,24 @@ def _windows(raw: bytes, vocabulary: attention.Vocabulary) -> tuple[np.ndarray,
     return row[:, :-1], row[:, 1:], vocabulary.of[ids[:, 1:]], real
 
 
+def _texts(batch: pa.RecordBatch, encode: Encoder) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of rows of kind 4 in blocks: first row, row after the last, bytes of the texts and
+    their offsets, and ids with the id before each and lengths.  Ids settle their text."""
+    records = batch.column("ids").to_pylist()
+    at = np.cumsum([0, *(len(r) // 2 for r in records)])
+    first = 0
+    while first < len(records):
+        last = max(first + 1, int(np.searchsorted(at, at[first] + SCORED, side="right")) - 1)
+        ids = np.frombuffer(b"".join(records[first:last]), "<u2").astype(np.int64)
+        lengths = np.diff(at[first : last + 1])
+        start = np.cumsum(lengths) - lengths
+        before = np.append(0, ids[:-1])
+        before[start] = END_ID
+        raw = [encode.encoding.decode_bytes(ids[a : a + n - 1].tolist()) for a, n in zip(start, lengths)]
+        yield first, last, np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), ids, before, lengths
+        first = last
+
+
 def _parts(found: np.ndarray, weight: int) -> pa.Table:
     """A flat array in parts that Spark can average apart."""
     cuts = range(0, len(found), PART)
@@ -235,7 +269,7 @@ def score(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
     spark, path = docs.sparkSession, vocabulary or default_vocabulary()
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    told = stored(gather(plain.where(~held_out(F.col("doc_id"))), path), "gathered", "zstd")
+    told = stored(gather(plain.withColumn("held", held_out(F.col("doc_id"))), path), "gathered", "zstd")
     words = stored(told.where("kind = 0").groupBy(F.col("key").alias("word")).agg(F.sum("n").alias("c")), "words")
     # At most as many rows as the vocabulary has ids.
     id_counts = np.zeros(IDS)
@@ -260,7 +294,7 @@ def score(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         hasher, encode = Hasher(), Encoder(path, special=True)
         p, ids_known = attention.views(flat), attention.Vocabulary(id_counts, of_rows)
         for batch in batches:
-            for first, last, data, at in blocks(batch.column("text"), 1 << 19):
+            for first, last, data, at, ids, before, lengths in _texts(batch, encode):
                 some = batch.slice(first, last - first)
                 starts, ends, text = word_bounds(data, at)
                 key = signed(hasher.ranges(hasher.sums(LOWER[data]), starts, ends))
@@ -273,10 +307,9 @@ def score(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
                 known = np.bincount(text[hit], minlength=size) + int(texts > 0)
                 rest, rest_text = key[~hit], text[~hit]
                 cuts = np.searchsorted(rest_text, np.arange(size + 1)).astype(np.int32)
-                ids, before, lengths = _tokens(encode, pc.fill_null(some.column("text"), "").to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        some.column("doc_id"), pa.array(number.astype(np.int64) + 1), pa.array(known.astype(np.int64)), pa.array(base),
+                        some.column("key"), pa.array(number.astype(np.int64) + 1), pa.array(known.astype(np.int64)), pa.array(base),
                         pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.ascontiguousarray(rest))),
                         pa.array(attention.score(p, ids_known, ids, before, lengths)),
                     ],
@@ -284,7 +317,7 @@ def score(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
                 )
 
     schema = "doc_id long, n_tokens long, known long, base double, rest array<long>, score double"
-    scored = stored(plain.mapInArrow(work, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
+    scored = stored(told.where("kind = 4").select("key", "ids").mapInArrow(work, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
     # Words of which the popular ones are none stand at count 0 so far.
     more = (
         scored.select("row", F.explode("rest").alias("word"))

@@ -859,3 +859,26 @@ def test_rows_move_as_all_parameters_do():
         if step != moving.DECAY + 1 and step != 2 * moving.DECAY + 1:
             assert set(np.flatnonzero((before != moving.first).any(axis=1))) <= set(met)
     assert np.abs(embed.ravel() - plain).max() < 2e-5
+
+
+def test_texts_are_encoded_once(spark):
+    """One pass keeps the ids of every text, which give the text back, and learns from those
+    that are not held out."""
+    docs = spark.createDataFrame([(d, t) for d, t, *_ in AWKWARD], "doc_id long, text string")
+    told = scoring.gather(docs.withColumn("held", scoring.held_out(F.col("doc_id"))), packing.default_vocabulary()).collect()
+    whole = pa.table({"key": pa.array([r["key"] for r in told if r["kind"] == 4], pa.int64()), "ids": pa.array([bytes(r["ids"]) for r in told if r["kind"] == 4], pa.binary())})
+    encode = packing.Encoder(packing.default_vocabulary(), special=True)
+    found = []
+    for first, last, data, at, ids, before, lengths in scoring._texts(whole.to_batches()[0], encode):
+        assert np.array_equal(np.concatenate([np.append(np.frombuffer(encode(data[a:b].tobytes().decode()), "<u4"), scoring.END_ID) for a, b in zip(at, at[1:])]), ids)
+        assert lengths.sum() == len(ids) == len(before) and (before[np.cumsum(lengths) - lengths] == scoring.END_ID).all()
+        found += [(k, data[a:b].tobytes().decode()) for k, a, b in zip(whole.column("key").to_pylist()[first:last], at, at[1:])]
+    assert sorted(found, key=str) == sorted(((d, t or "") for d, t, *_ in AWKWARD), key=str)
+    learned = scoring.gather(docs.where(~scoring.held_out(F.col("doc_id"))), packing.default_vocabulary()).collect()
+    for kind in (0, 1, 2, 3):
+        counts = [collections.Counter() for _ in range(2)]
+        for rows, count in zip((told, learned), counts):
+            for r in rows:
+                if r["kind"] == kind:
+                    count[kind == 3 or r["key"], bytes(r["ids"] or b"")] += r["n"]
+        assert +counts[0] == +counts[1]
